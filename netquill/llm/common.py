@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-cases A-Z and nothing else; lower() does that fast where there are only ASCII bytes."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, also where lambdas in body use it again and again."""
+    return F.transform(F.array(value), body)[0]
+
+
+def upto(n: Column) -> Column:
+    """0, 1, ..., n - 1; empty if n is under 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def words_of(text: Column) -> Column:

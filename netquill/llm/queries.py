@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm import lpt, mixing, simhash
+from netquill.llm import lpt, mixing, outliers, simhash, winnow
 from netquill.llm.common import table
 
 
@@ -48,5 +48,37 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op7_sharding": op7_sharding}
-ORACLE = {"op3_mixing": OP3_SQL}
+def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = outliers.quality_rules(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance"))
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP10_SQL = r"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS win
+  FROM i, range(1, greatest(len(w) - 9, 1) + 1) t(p) WHERE len(w) > 0
+), d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), lens AS (SELECT DISTINCT n FROM iw
+), dw AS (
+  SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM d, lens, range(1, len(w) - n + 2) t(p)
+), hit AS (
+  SELECT doc_id, p, n, item_id FROM dw JOIN iw USING (n, win)
+), pos AS (
+  SELECT doc_id, count(DISTINCT p + o) AS n_hit FROM hit, range(0, n) r(o) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM hit GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_outliers": op6_outliers, "op7_sharding": op7_sharding, "op10_winnowing": op10_winnowing}
+ORACLE = {"op3_mixing": OP3_SQL, "op10_winnowing": OP10_SQL}
