@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm import lpt, mixing, outliers, simhash, winnow
+from netquill.llm import lpt, mixing, outliers, secrets, simhash, url_alias, winnow
 from netquill.llm.common import table
 
 
@@ -53,6 +53,20 @@ def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance"))
 
 
+def op8_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+#: The fixed rules of the op9 contract.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op9_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = url_alias.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return got.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -80,5 +94,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_outliers": op6_outliers, "op7_sharding": op7_sharding, "op10_winnowing": op10_winnowing}
+QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_outliers": op6_outliers, "op7_sharding": op7_sharding, "op8_markov": op8_markov, "op9_redirects": op9_redirects, "op10_winnowing": op10_winnowing}
 ORACLE = {"op3_mixing": OP3_SQL, "op10_winnowing": OP10_SQL}
