@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm import lpt, mixing, outliers, secrets, simhash, url_alias, winnow
+from netquill.llm import kneser_ney, lpt, mixing, outliers, secrets, simhash, url_alias, winnow
 from netquill.llm.common import table
 
 
@@ -15,6 +15,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")[0]).alias("fingerprint"), "component_id")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    got = kneser_ney.judge(docs, table(spark, sf_dir, "labels"))
+    perplexity = F.when(F.col("nq_n") > 0, F.exp(F.col("nq_nll") / F.col("nq_n")))
+    return got.select("doc_id", "lang", F.col("nq_n").alias("n_scored"), F.round(perplexity, 6).alias("perplexity"), F.round("nq_score", 6).alias("score"), F.col("nq_worst").alias("threshold"), F.col("nq_kept").alias("kept"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -94,5 +101,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op6_outliers": op6_outliers, "op7_sharding": op7_sharding, "op8_markov": op8_markov, "op9_redirects": op9_redirects, "op10_winnowing": op10_winnowing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_kneser_ney": op2_kneser_ney, "op3_mixing": op3_mixing, "op6_outliers": op6_outliers, "op7_sharding": op7_sharding, "op8_markov": op8_markov, "op9_redirects": op9_redirects, "op10_winnowing": op10_winnowing}
 ORACLE = {"op3_mixing": OP3_SQL, "op10_winnowing": OP10_SQL}
