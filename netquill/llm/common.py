@@ -24,14 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="netquill-"))
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back.
 
     The files outlive any executor and go when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/netquill/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where.getParent())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquill.llm import kneser_ney, lpt, mixing, outliers, secrets, simhash, url_alias, winnow
+from netquill.llm import kneser_ney, lpt, mixing, outliers, secrets, simhash, suffix_dedup, token_scan, url_alias, winnow
 from netquill.llm.common import table
 
 
@@ -55,6 +55,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the 50k byte-level vocabulary in each document."""
+    got = token_scan.count_tokens(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_tokens", "stream", "ordinal")
+
+
+def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = outliers.quality_rules(table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance"))
@@ -101,5 +112,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_kneser_ney": op2_kneser_ney, "op3_mixing": op3_mixing, "op6_outliers": op6_outliers, "op7_sharding": op7_sharding, "op8_markov": op8_markov, "op9_redirects": op9_redirects, "op10_winnowing": op10_winnowing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_kneser_ney": op2_kneser_ney, "op3_mixing": op3_mixing, "op4_separators": op4_separators, "op5_suffix_arrays": op5_suffix_arrays, "op6_outliers": op6_outliers, "op7_sharding": op7_sharding, "op8_markov": op8_markov, "op9_redirects": op9_redirects, "op10_winnowing": op10_winnowing}
 ORACLE = {"op3_mixing": OP3_SQL, "op10_winnowing": OP10_SQL}
