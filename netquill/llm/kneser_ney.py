@@ -138,7 +138,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     trusted = trusted_ids(labels)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, F.col("id") == F.col("tid"), "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted.hint("merge"), F.col("id") == F.col("tid"), "left_semi")
     score = scorer(spark, model(gram_counts(texts.select("text"))))
     scored = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), score(F.col(text_col)).alias("s"))
     own = stash(scored.select("id", "lang", "s.nll", "s.n"), "scores").join(trusted, F.col("id") == F.col("tid"), "left_semi")
