@@ -87,7 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = stash(rows.select("id", "key", F.col("p.n_words").alias("n_words"), "p.hs"), "picked")
     met = rows.select("key", F.explode("hs").alias("h")).join(wanted, "h").groupBy("key", "item_key").agg(F.collect_set("h").alias("found"))
     met = stash(met, "met")
-    texts = docs.select(key.alias("key"), F.col(text_col).alias("t")).join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
+    texts = docs.select(key.alias("key"), F.col(text_col).alias("t")).join(met.select("key").distinct().hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
     texts = texts.select("key", _words(F.col("t")).alias("dw"))
     laid = met.join(texts, "key").join(own, "item_key").select("key", "item_ids", let(F.struct("dw", "iw", "found"), lambda s: _hit_places(s.dw, s.iw, s.found, window)).alias("hits")).where(F.size("hits") > 0)
     per = laid.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
@@ -98,4 +98,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """The rows of docs without any hit, with the same columns."""
     bad = contamination(docs, benchmark, id_col, text_col, **more).where("n_hit > 0").select(F.col("key").alias("nq_key")).distinct()
     keyed = docs.withColumn("nq_own_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return keyed.join(bad, F.col("nq_own_key") == F.col("nq_key"), "left_anti").drop("nq_own_key")
+    return keyed.join(bad.hint("merge"), F.col("nq_own_key") == F.col("nq_key"), "left_anti").drop("nq_own_key")
