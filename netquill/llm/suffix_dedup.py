@@ -440,7 +440,7 @@ def repeated_stretches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     asks = judged.where("kind = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "place")).alias("asks"))
     asks = stash(asks, "asks")
     texts = _distinct_texts(docs, text_col)
-    pulled = texts.join(asks, ["k1", "k2"]).select("k1", "k2", "text", "asks").sortWithinPartitions("k1", "k2").mapInArrow(_map_extract, "h bigint, c bigint, k1 bigint, k2 bigint, place bigint, bytes binary")
+    pulled = texts.join(asks.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "asks").sortWithinPartitions("k1", "k2").mapInArrow(_map_extract, "h bigint, c bigint, k1 bigint, k2 bigint, place bigint, bytes binary")
     sorted_ = stash(pulled.repartition("h", "c").sortWithinPartitions("h", "c").mapInArrow(_map_shards, _ROW), "shards")
     runs = sorted_.where("kind = 2").select("h", "c", "k1", "k2", "place", "a").repartition("h", "c").sortWithinPartitions("h", "c")
     merged = runs.mapInArrow(_map_merge, _ROW)
@@ -457,7 +457,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     found = repeated_stretches(docs, text_col).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "a")).alias("spans"))
     found = stash(found, "spans")
-    cuts = _distinct_texts(docs, text_col).join(found, ["k1", "k2"]).select("k1", "k2", "text", "spans").sortWithinPartitions("k1", "k2")
+    cuts = _distinct_texts(docs, text_col).join(found.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "spans").sortWithinPartitions("k1", "k2")
     cuts = stash(cuts.mapInArrow(_map_cut, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"), "cuts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = _with_key(docs.select(F.col(id_col).alias("id"), text.alias("t")), F.col("t")).select("id", F.octet_length("t").cast("long").alias("n_bytes"), "sha", "k1", "k2")
