@@ -26,7 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = simhash.near_duplicates(docs)
     go = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("nq_id")).distinct()
-    left = docs.join(stash(go, "copies"), F.col("doc_id") == F.col("nq_id"), "left_anti")
+    left = docs.join(stash(go, "copies").hint("merge"), F.col("doc_id") == F.col("nq_id"), "left_anti")
     known, unknown = left.where("doc_id is not null"), left.where("doc_id is null")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
     known = known.withColumn("nq_n", first).where("nq_n = 1").drop("nq_n")
