@@ -28,6 +28,8 @@ BUCKET_ROWS = 50_000
 #: Rows a trie task gathers before it walks them (whole buckets).
 CHUNK_ROWS = 200_000
 SLICE = 1 << 16
+#: Words of 64 bits that a candidate pair is tested on.
+CHECK_WORDS = 3
 
 
 def _hashes(raw: bytes, k: int):
@@ -267,13 +269,14 @@ def _walk(rows: pa.Table, width: int, budget: int, check_bits: int | None):
         yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[lab[far]])], names=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 32, tables: int = 16, budget: int = 2, check: float | None = 0.1515) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 32, tables: int = 24, budget: int = 2, check: float | None = 0.18) -> DataFrame:
     """(id, fp array<long>, component_id) for each row of docs.
 
     Two texts link if, in one of the tables of width bits, at most budget bits
-    differ and, where check is given, at most that share of 128 further-tested
-    bits differ (0.1515 is the angle of two shingle sets with a Jaccard
-    similarity of 0.8). component_id is the smallest id reachable, itself
+    differ and, where check is given, at most that share of the first
+    64 * CHECK_WORDS bits differ (two shingle sets of Jaccard similarity 0.8
+    differ in 0.1515 of the bits on average; 0.18 leaves room for chance).
+    component_id is the smallest id reachable, itself
     included. With tables=1, width=64 and check=None links are exactly the pairs
     within the budget; with more tables a link is found with the probability
     that README.md tables.
@@ -290,9 +293,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stash(fps.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp")), "classes")
     per = 64 // width
     top = [F.expr(f"shiftleft(shiftrightunsigned(fp[{t // per}], {width * (t % per)}), {64 - width})") for t in range(tables)]
-    chk = F.slice("fp", 1, 2) if check is not None else F.lit(None).cast("array<bigint>")
+    chk = F.slice("fp", 1, CHECK_WORDS) if check is not None else F.lit(None).cast("array<bigint>")
     nodes = classes.select("node", chk.alias("chk"), F.posexplode(F.array(*top)).alias("t", "v"))
-    edges = stash(trie_edges(nodes, width, budget, None if check is None else int(check * 128)), "edges")
+    edges = stash(trie_edges(nodes, width, budget, None if check is None else int(check * 64 * CHECK_WORDS)), "edges")
     linked = components(edges)
     member = stash(linked.join(classes.select("node", "first"), "node"), "members")
     lowest = member.groupBy("component").agg(F.min("first").alias("lowest"))
