@@ -7,6 +7,10 @@ lower-order continuation counts are keyed joins of those shards. The finished
 table (A**4 floats, 21 MB, a fixed size) goes to the executors, which score
 whole texts. Each language's threshold is a quantile of its trusted documents'
 scores, from mergeable counts in narrow bins.
+
+Documents fall into two folds by id, and each is scored by the model of the
+other fold's trusted texts. So no text is scored by a model that has seen it,
+and trusted and other documents are held to one measure.
 """
 
 from __future__ import annotations
@@ -47,19 +51,37 @@ def codes(text: str) -> np.ndarray:
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(g int, n long) over all rows of texts (one string column)."""
+    """(fold int, g int, n long) over all rows of texts (text string, fold int: 0 or 1)."""
 
     def run(batches):
-        total = np.zeros(A**ORDER, np.int64)
+        total = np.zeros((2, A**ORDER), np.int64)
         for b in batches:
-            for t in b.column(0):
+            for t, fold in zip(b.column(0), b.column(1).to_pylist()):
                 if t.is_valid:
-                    np.add.at(total, codes(t.as_py()), 1)
-        g = np.flatnonzero(total)
-        for i in range(0, len(g), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(g[i : i + (1 << 16)].astype(np.int32)), pa.array(total[g[i : i + (1 << 16)]])], names=["g", "n"])
+                    np.add.at(total[fold], codes(t.as_py()), 1)
+        for fold in (0, 1):
+            g = np.flatnonzero(total[fold])
+            for i in range(0, len(g), 1 << 16):
+                part = g[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(part.astype(np.int32)), pa.array(total[fold][part])], names=["fold", "g", "n"])
+
+    return texts.mapInArrow(run, "fold int, g int, n bigint").groupBy("fold", "g").agg(F.sum("n").alias("n"))
+
+
+def fold_of(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(2)).cast("int")
+
 
-    return texts.mapInArrow(run, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+def models(counts: DataFrame) -> np.ndarray:
+    """Row f: the table for documents of fold f, from the other fold's counts; from all where that has none."""
+    counts = stash(counts, "counts")
+    out = []
+    for f in (0, 1):
+        other = counts.where(F.col("fold") == 1 - f).select("g", "n")
+        if other.isEmpty():
+            other = counts.groupBy("g").agg(F.sum("n").alias("n"))
+        out.append(model(other))
+    return np.stack(out)
 
 
 def model(counts: DataFrame) -> np.ndarray:
@@ -88,17 +110,17 @@ def model(counts: DataFrame) -> np.ndarray:
 
 
 def scorer(spark, table: np.ndarray):
-    """A column function: text -> struct(nll double, n long), over the whole text."""
+    """A column function: (text, fold) -> struct(nll double, n long), over the whole text."""
     shared = spark.sparkContext.broadcast(table)
 
     @F.arrow_udf("nll double, n bigint")
-    def score(text: pa.Array) -> pa.Array:
-        logs = shared.value
+    def score(text: pa.Array, fold: pa.Array) -> pa.Array:
+        logs, fold = shared.value, fold.to_pylist()
         nll, n = np.zeros(len(text)), np.zeros(len(text), np.int64)
         for i, t in enumerate(text):
             if t.is_valid:
                 c = codes(t.as_py())
-                nll[i], n[i] = -float(logs[c].sum(dtype=np.float64)), len(c)
+                nll[i], n[i] = -float(logs[fold[i]][c].sum(dtype=np.float64)), len(c)
         return pa.StructArray.from_arrays([pa.array(nll), pa.array(n)], names=["nll", "n"])
 
     return score
@@ -139,14 +161,15 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     trusted = trusted_ids(labels)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted.hint("merge"), F.col("id") == F.col("tid"), "left_semi")
-    score = scorer(spark, model(gram_counts(texts.select("text"))))
-    scored = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), score(F.col(text_col)).alias("s"))
+    measure = scorer(spark, models(gram_counts(texts.select("text", fold_of(F.col("id")).alias("fold")))))
+    score = measure(F.col(text_col), fold_of(F.col(id_col)))
+    scored = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), score.alias("s"))
     own = stash(scored.select("id", "lang", "s.nll", "s.n"), "scores").join(trusted, F.col("id") == F.col("tid"), "left_semi")
     limits = stash(thresholds(own.where("n > 0"), quantile), "thresholds")
     per = limits.where("not every").select(F.col("lang").alias("nq_lang"), F.struct("mean", "worst").alias("nq_own"))
     rest = limits.where("every").select(F.struct("mean", "worst").alias("nq_rest"))  # one row, or none
     rest = spark.range(1).join(rest, F.lit(True), "left").select("nq_rest")
-    got = docs.withColumn("nq_s", score(F.col(text_col))).join(per, F.col(lang_col).eqNullSafe(F.col("nq_lang")), "left").join(F.broadcast(rest), F.lit(True), "left")
+    got = docs.withColumn("nq_s", score).join(per, F.col(lang_col).eqNullSafe(F.col("nq_lang")), "left").join(F.broadcast(rest), F.lit(True), "left")
     limit = F.coalesce("nq_own", "nq_rest")
     value = smoothed(F.col("nq_s.nll"), F.col("nq_s.n"), limit["mean"])
     got = got.withColumn("nq_nll", F.col("nq_s.nll")).withColumn("nq_n", F.col("nq_s.n")).withColumn("nq_score", value).withColumn("nq_worst", limit["worst"])

@@ -164,7 +164,7 @@ def brute_kn(samples, order=4):
 
 def test_kneser_ney_table_against_dictionaries(spark):
     samples = ["the cat sat on the mat.", "the dog sat.", "a cat ate it", "Été 12 !! | x"]
-    table = kneser_ney.model(kneser_ney.gram_counts(spark.createDataFrame([(s,) for s in samples], "t string")))
+    table = kneser_ney.model(kneser_ney.gram_counts(spark.createDataFrame([(s, 0) for s in samples], "t string, fold int")).select("g", "n"))
     p = brute_kn(samples)
     a = kneser_ney.A
     for text in (*samples, "the mat ate", "zzz"):
