@@ -30,13 +30,15 @@ class Settings:
     patience: int = 5
     clip: float | None = None
     noise: float = 0.0
+    covariance: float = 0.0
     seed: int = 0
 
 
 class Autoencoder:
     """Two hidden layers each way; Gaussian likelihood for numbers, softmax for each block of flags.
 
-    clip and noise: each row's gradient is cut to that norm and Gaussian noise of
+    covariance: weight of the squared gap between a batch's covariance and that
+    of what is decoded from it. clip and noise: each row's gradient is cut to that norm and Gaussian noise of
     noise * clip is added to the sum (DP-SGD); accounting is the caller's.
     """
 
@@ -72,6 +74,11 @@ class Autoencoder:
         out = self._output(raw)
         d5 = out - x
         loss = 0.5 * (d5**2).sum(1).mean()
+        if self.s.covariance and n > 1:
+            centred = out - out.mean(0)
+            gap = centred.T @ centred / n - np.cov(x.T, bias=True).reshape(x.shape[1], -1)
+            loss += self.s.covariance * float((gap**2).sum())
+            d5 = d5 + 4 * self.s.covariance * centred @ gap
         layers = [None] * 6
         layers[5] = (h4, d5)
         d4 = (d5 @ self.w[5].T) * (h4 > 0)

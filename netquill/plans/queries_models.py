@@ -105,15 +105,18 @@ def transform_ip(s, d):
 _MIX = mixture.Mixture({"in_bytes": [0.5, 0.3, 0.2]}, {"in_bytes": [10000.0, 40000.0, 80000.0]}, {"in_bytes": [8000.0, 15000.0, 9000.0]}, {"in_bytes": 0.0}, {"in_bytes": 1e9}, {"in_bytes": 2})
 
 
-@query(f"""WITH {_K}, p AS (SELECT k, n, in_bytes, [ln(0.5::DOUBLE) - ln(8000::DOUBLE) - (in_bytes - 10000) ** 2 / 128000000.0::DOUBLE, ln(0.3::DOUBLE) - ln(15000::DOUBLE) - (in_bytes - 40000) ** 2 / 450000000.0::DOUBLE, ln(0.2::DOUBLE) - ln(9000::DOUBLE) - (in_bytes - 80000) ** 2 / 162000000.0::DOUBLE] AS s FROM k),
- c AS (SELECT k, n, in_bytes, list_position(s, list_max(s)) AS j FROM p) SELECT k, n, (j - 1)::INT AS in_bytes__component, round(greatest(least((in_bytes - [10000.0, 40000.0, 80000.0][j]::DOUBLE) / (4 * [8000.0, 15000.0, 9000.0][j]::DOUBLE), 0.99), -0.99), 12) AS in_bytes__normalized FROM c""")
+_MIX_SQL = f"""WITH {_K}, p AS (SELECT k, n, in_bytes, [ln(0.5::DOUBLE) - ln(8000::DOUBLE) - (in_bytes - 10000) ** 2 / 128000000.0::DOUBLE, ln(0.3::DOUBLE) - ln(15000::DOUBLE) - (in_bytes - 40000) ** 2 / 450000000.0::DOUBLE, ln(0.2::DOUBLE) - ln(9000::DOUBLE) - (in_bytes - 80000) ** 2 / 162000000.0::DOUBLE] AS s FROM k),
+ c AS (SELECT k, n, in_bytes, list_position(s, list_max(s)) AS j FROM p), z AS (SELECT k, n, j, greatest(least((in_bytes - [10000.0, 40000.0, 80000.0][j]::DOUBLE) / (4 * [8000.0, 15000.0, 9000.0][j]::DOUBLE), 0.99), -0.99) AS z FROM c) """
+
+
+@query(_MIX_SQL + "SELECT k, n, (j - 1)::INT AS in_bytes__component, round(z, 12) AS in_bytes__normalized FROM z")
 def transform_mixture(s, d):
     return _round(_MIX.forward(_keyed(s, d).select("k", "n", "in_bytes")), 12, "in_bytes__normalized")
 
 
-@query(f"WITH {_K} SELECT k, n, round(in_bytes, 2) AS in_bytes FROM k WHERE in_bytes BETWEEN 1000 AND 90000")
+@query(_MIX_SQL + "SELECT k, n, round(greatest(z * 4 * [8000.0, 15000.0, 9000.0][j]::DOUBLE + [10000.0, 40000.0, 80000.0][j]::DOUBLE, 0), 2) AS in_bytes FROM z")
 def transform_mixture_inverse(s, d):
-    return _MIX.inverse(_MIX.forward(_keyed(s, d).select("k", "n", "in_bytes").where("in_bytes between 1000 and 90000")))
+    return _MIX.inverse(_MIX.forward(_keyed(s, d).select("k", "n", "in_bytes")))
 
 
 @query()
@@ -312,11 +315,11 @@ def sample_worker_split(s, d):
 # Nearest neighbours ---------------------------------------------------------
 
 
-@query("""WITH q AS (SELECT DISTINCT l_partkey::DOUBLE AS value FROM lineitem), v AS (SELECT DISTINCT (p_partkey * 7)::DOUBLE AS k FROM part WHERE p_partkey % 5 = 0)
+@query("""WITH q AS (SELECT DISTINCT l_partkey::DOUBLE AS value FROM lineitem), v AS (SELECT DISTINCT (p_partkey * 7)::DOUBLE AS k FROM part)
  SELECT value, (SELECT k FROM v ORDER BY abs(k - value), k LIMIT 1) AS nearest FROM q""")
 def nearest_port(s, d):
     q = load(s, d, "lineitem").select(F.col("l_partkey").cast("double").alias("value"))
-    v = load(s, d, "part").where("p_partkey % 5 = 0").select((F.col("p_partkey") * 7).cast("double").alias("value"))
+    v = load(s, d, "part").select((F.col("p_partkey") * 7).cast("double").alias("value"))
     return nearest.nearest_value(q, v)
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquill.operators import bayes, elastic, generator, utility
+from netquill.operators import bayes, elastic, generator, sequences, utility
 from netquill.plans.queries_stats import _round
 from netquill.queries import load, query
 from netquill.sources import tables
@@ -124,8 +124,10 @@ def classifier_scores(s, d):
 
 @query()
 def classifier_comparison(s, d):
-    t = load(s, d, "lineitem").where("l_orderkey % 40 < 4").select(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), (F.col("l_extendedprice") > 36000).cast("int").alias("label"), (F.col("l_orderkey") % 4).alias("part"))
-    return utility.compare(t.where("part = 0"), t.where("part = 1"), t.where("part >= 2"), ["q", "p", "d"], "label", ["logistic", "naive_bayes", "quadratic"])
+    t = load(s, d, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), (F.col("l_extendedprice") > 36000).cast("int").alias("label"), F.col("l_orderkey").alias("k"))
+    train, test = sequences.split(t, "k", 0.5)
+    real, synthetic = sequences.split(train, "k", 0.5, seed=1)
+    return utility.compare(real, synthetic, test, ["q", "p", "d"], "label", ["logistic", "naive_bayes", "quadratic"])
 
 
 @query()
