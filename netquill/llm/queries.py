@@ -85,6 +85,41 @@ def op9_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+_ADDRESS = r"""CASE WHEN {h} <> '' THEN regexp_replace({h}, '^www\.', '') || regexp_replace({p}, '/+$', '') || CASE WHEN {q} = '' THEN '' ELSE '?' || {q} END END"""
+_QUERY = r"""array_to_string(list_filter(string_split(regexp_extract({u}, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[a-z]+|ref|gclid|fbclid)(=.*)?$')), '&')"""
+_HOST = r"""translate(regexp_extract(regexp_extract({u}, '(?s)^.*?://(.*)$', 1), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+_PATH = r"""regexp_extract(regexp_extract({u}, '(?s)^.*?://(.*)$', 1), '^[^/?#]*([^?#]*)', 1)"""
+
+
+def _rule_sql(h: str, p: str) -> str:
+    """List of the fitting rule and its verdict, longest first."""
+    cases = []
+    for verdict, rule in sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1])):
+        own, _, tail = rule.partition("/")
+        cases.append(f"WHEN ({h} = '{own}' OR ends_with({h}, '.{own}')) AND starts_with({p}, '/{tail}') THEN ['{rule}', '{verdict}']")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _parsed(name: str, source: str, keep: str) -> str:
+    u = "coalesce(url, '')"
+    return f"""{name}0 AS (SELECT {keep}, {_HOST.format(u=u)} AS host, {_PATH.format(u=u)} AS path, {_QUERY.format(u=u)} AS query FROM {source}),
+ {name} AS (SELECT *, {_ADDRESS.format(h='host', p='path', q='query')} AS node, {_rule_sql('host', 'path')} AS r FROM {name}0)"""
+
+
+_LINK = r"""coalesce(nullif(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), nullif(regexp_extract(html, '(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1), ''))"""
+_HOP = r"""nullif(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>]+)', 1), '')"""
+OP9_SQL = f"""
+WITH RECURSIVE {_parsed('p', 'pages', 'page_id, url, html')},
+l0 AS (SELECT node AS src, host AS own, unnest([{_LINK}, {_HOP}]) AS href FROM p WHERE node IS NOT NULL),
+l1 AS (SELECT src, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN 'http://' || own || href END AS url FROM l0 WHERE href IS NOT NULL),
+{_parsed('t', 'l1', 'src, url')},
+e AS (SELECT src AS a, node AS b FROM t WHERE node IS NOT NULL UNION SELECT node, src FROM t WHERE node IS NOT NULL),
+bad AS (SELECT DISTINCT node FROM p WHERE r[2] = 'block' AND node IS NOT NULL UNION SELECT node FROM t WHERE r[2] = 'block' AND node IS NOT NULL),
+reach AS (SELECT node FROM bad UNION SELECT e.b FROM reach JOIN e ON e.a = reach.node)
+SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN node IN (SELECT node FROM reach) THEN 'block' ELSE 'allow' END) AS verdict FROM p
+"""
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -113,4 +148,4 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_kneser_ney": op2_kneser_ney, "op3_mixing": op3_mixing, "op4_separators": op4_separators, "op5_suffix_arrays": op5_suffix_arrays, "op6_outliers": op6_outliers, "op7_sharding": op7_sharding, "op8_markov": op8_markov, "op9_redirects": op9_redirects, "op10_winnowing": op10_winnowing}
-ORACLE = {"op3_mixing": OP3_SQL, "op10_winnowing": OP10_SQL}
+ORACLE = {"op3_mixing": OP3_SQL, "op9_redirects": OP9_SQL, "op10_winnowing": OP10_SQL}
