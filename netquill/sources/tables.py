@@ -30,7 +30,7 @@ def read(spark: SparkSession, paths: str | list[str], kind: str = "csv", schema:
     paths = [paths] if isinstance(paths, str) else list(paths)
     if kind == "parquet":
         return reader.parquet(*paths)
-    options = {"header": True, "encoding": encoding, "nullValue": nulls, "ignoreLeadingWhiteSpace": True}
+    options = {"header": True, "encoding": {"latin1": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(encoding.lower(), encoding), "nullValue": nulls, "ignoreLeadingWhiteSpace": True}
     return reader.options(**options, **({} if schema else {"inferSchema": True})).csv(paths)
 
 
