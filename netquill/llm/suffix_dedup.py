@@ -1,14 +1,15 @@
 """Removal of repeated byte strings by suffix arrays.
 
 Every SPAN-byte string has an anchor, the K-byte gram of least hash in it, so
-equal strings have equal anchors. One map task hashes each anchor's context (all
-bytes of the strings that hold the anchor). Contexts found twice are removed
-whole. A context found once, but with a long core that another context of its
-anchor shares, goes with its bytes to a suffix-array shard: Larsson-Sadakane
-refinement sorts its suffixes, Kasai's pass gives the common prefixes, and
-neighbours that share SPAN bytes at different places of the input are repeats.
-Anchors with very many different contexts are dealt over several shards, which
-are merged by binary search in sorted runs of the distinct strings' hashes.
+equal strings have equal anchors at equal offsets. The strings of one anchor are
+taken in four classes by offset; a class has a block (all bytes of its strings)
+and a core (the bytes that they all hold). A block found twice is removed whole.
+Where only the core is found twice, the block's bytes go to a suffix-array
+shard: Larsson-Sadakane refinement sorts its suffixes, Kasai's pass gives the
+common prefixes, and neighbours that share SPAN bytes at different places of the
+input are repeats. Anchors with very many different blocks are dealt over
+several shards, which are merged by binary search in sorted runs of the distinct
+strings' hashes.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ from netquill.llm.common import stash
 
 SPAN, K = 200, 64
 WIDE = SPAN - K + 1
-#: Cores: strings whose anchor begins at byte STEP * j to STEP * (j + 1) - 1 all hold core j.
-STEP = 34
-CORE = SPAN - STEP
-#: Bytes hashed at a time, and bytes of context in one suffix array.
-PIECE, SHARD_BYTES = 1 << 21, 6 << 20
-#: Contexts of one anchor in one shard.
-SHARD_CONTEXTS = 16_384
-CHUNK_ROWS = 400_000
+#: Class j of an anchor: the strings in which it begins at byte STEP * j to STEP * (j + 1) - 1.
+CLASSES, STEP = 4, 35
+#: Bytes that all strings of a class hold, and that any of them holds.
+CORE, BLOCK = SPAN - STEP + 1, SPAN + STEP - 1
+#: Bytes hashed at a time, and bytes of blocks in one suffix array.
+PIECE, SHARD_BYTES = 1 << 21, 1 << 20
+#: Blocks of one anchor and class in one shard.
+SHARD_BLOCKS = 4_096
+CHUNK_ROWS = 300_000
 # Fixed values of the hash: odd 64-bit multipliers.
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -49,8 +51,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _anchors(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Places of the anchors of the strings that start in the ranges [begin, end)."""
+def _anchors(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the strings that start in the ranges [begin, end): their places, and the first and last start of each one's strings."""
     n = len(h)
     mask = (np.uint64(1) << np.uint64(n.bit_length())) - np.uint64(1)
     grid = np.full((-(-n // WIDE) + 1) * WIDE, np.uint64(2**64 - 1))
@@ -63,8 +65,12 @@ def _anchors(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     ok = np.zeros(m + 1, np.int64)
     np.add.at(ok, begin, 1)
     np.add.at(ok, end, -1)
-    at = (low[np.cumsum(ok[:m]) > 0] & mask).astype(np.int64)
-    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+    starts = np.flatnonzero(np.cumsum(ok[:m]) > 0)
+    at = (low[starts] & mask).astype(np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    first = np.flatnonzero(new)
+    return at[first], starts[first], starts[np.append(first[1:], len(at)) - 1] if len(at) else starts
 
 
 def _mix(h: np.ndarray, salt) -> np.ndarray:
@@ -96,37 +102,49 @@ def _piece(texts, part):
     return data, doc, at, lo, at + s - lo, at + e - lo, size
 
 
-def contexts(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Anchors of all texts: doc, pos (of the context in its text), left, length, h, c and the cores' hashes a and b."""
-    out = {k: [] for k in ("doc", "pos", "left", "length", "h", "c", "a", "b")}
-    for data, doc, at, lo, first, end, size in _pieces(texts):
+def _part_hash(g: np.ndarray, start: np.ndarray, stop: np.ndarray, salt) -> np.ndarray:
+    """48 bits of the hash of the bytes from start to stop, never 0, from the hashes of grams that cover them."""
+    x = np.zeros(len(start), np.uint64)
+    for o in range(0, BLOCK, K):
+        x = _mix(x ^ g[np.minimum(start + o, stop - K)], salt)
+    return (x >> np.uint64(16)) | np.uint64(1)
+
+
+def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Anchors of all texts: doc, pos in its text, h, and the hashes of the classes' cores (a, 16 bits each, which only choose what is compared) and blocks (b, c, d, 48 bits each).
+
+    A class without strings of this anchor has zeros. A block ends where its text
+    does, and how much it lacks is part of its hash.
+    """
+    out = {k: [] for k in ("doc", "pos", "h", "a", "b", "c", "d")}
+    for data, doc, at, lo, begin, end, size in _pieces(texts):
         g = gram_hashes(data)
-        p = _anchors(g, first, end)
+        p, first, last = _anchors(g, begin, end)
         if not len(p):
             continue
         part = np.searchsorted(at, p, "right") - 1
         zero = at[part] - lo[part]  # where the text's byte 0 is, or would be
-        start = np.maximum(zero, p + K - SPAN)
-        stop = np.minimum(zero + size[part], p + SPAN)
-        c = np.zeros(len(p), np.uint64)
-        for j in range(6):
-            c = _mix(c ^ g[np.minimum(start + K * j, stop - K)], (stop - start) * 512 + (p - start))
-        core = []
-        for j in range(4):
-            s = p - STEP * j
-            ok = (s >= zero) & (s + CORE <= zero + size[part])
-            s = np.where(ok, s, 0)
-            x = np.zeros(len(p), np.uint64)
-            for o in (0, K, CORE - K):
-                x = _mix(x ^ g[np.minimum(s + o, len(g) - 1)], j + 1)
-            core.append(np.where(ok, (x >> np.uint64(32)) | np.uint64(1), 0))
-        for k, v in (("doc", doc[part]), ("pos", start - zero), ("left", p - start), ("length", stop - start), ("h", _mix(g[p], 0)), ("c", c), ("a", (core[0] << np.uint64(32)) | core[1]), ("b", (core[2] << np.uint64(32)) | core[3])):
+        cores, blocks = [], []
+        for j in range(CLASSES):
+            high = p - STEP * j  # the class's last start; its first is high - STEP + 1
+            own = (first <= high) & (last > high - STEP)
+            s = np.where(own, high, 0)
+            cores.append(np.where(own, _part_hash(g, s, s + CORE, j), 0))
+            s = high - STEP + 1
+            lo_, hi_ = np.maximum(s, zero), np.minimum(s + BLOCK, zero + size[part])
+            lack = CLASSES + j + 8 * (lo_ - s) + 4096 * (hi_ - lo_)
+            blocks.append(np.where(own, _part_hash(g, np.where(own, lo_, 0), np.where(own, hi_, SPAN), np.where(own, lack, 0)), 0))
+        a = sum(((c & np.uint64(0xFFFF)) | (c > 0)) << np.uint64(16 * j) for j, c in enumerate(cores))
+        bcd = [blocks[j] | (((blocks[3] >> np.uint64(16 * j)) & np.uint64(0xFFFF)) << np.uint64(48)) for j in range(3)]
+        for k, v in zip(out, (doc[part], p - zero, _mix(g[p], 0), a, *bcd)):
             out[k].append(v)
-    got = {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k in "hcab" else np.int64) for k, v in out.items()}
-    at = got["pos"] + got["left"]  # two pieces of a text may find one anchor
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (got["doc"][1:] != got["doc"][:-1]) | (at[1:] != at[:-1])
-    return {k: v[fresh] for k, v in got.items()}
+    got = {k: np.concatenate(v) if v else np.zeros(0, np.int64 if k in ("doc", "pos") else np.uint64) for k, v in out.items()}
+    if len(got["pos"]):  # two pieces of a text may each have some strings of an anchor
+        fresh = np.ones(len(got["pos"]), bool)
+        fresh[1:] = (got["doc"][1:] != got["doc"][:-1]) | (got["pos"][1:] != got["pos"][:-1])
+        at = np.flatnonzero(fresh)
+        got = {k: np.bitwise_or.reduceat(v, at) if k in "abcd" else v[at] for k, v in got.items()}
+    return got
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +156,19 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, new
 
 
-_ROW = "kind int, h bigint, c bigint, k1 bigint, k2 bigint, place bigint, a bigint, b bigint"
+def _core(a: np.ndarray, j: int) -> np.ndarray:
+    return (a.view(np.uint64) >> np.uint64(16 * j)) & np.uint64(0xFFFF)
+
+
+def _block(bcd: list[np.ndarray], j: int) -> np.ndarray:
+    low = np.uint64((1 << 48) - 1)
+    if j < 3:
+        return bcd[j].view(np.uint64) & low
+    return sum((x.view(np.uint64) >> np.uint64(48)) << np.uint64(16 * i) for i, x in enumerate(bcd))
+
+
+_ROW = "kind int, h bigint, k1 bigint, k2 bigint, place bigint, a bigint, b bigint, c bigint, d bigint"
+_NAMES = ["h", "k1", "k2", "place", "a", "b", "c", "d"]
 
 
 def _key(raw: bytes) -> tuple[int, int]:
@@ -146,38 +176,54 @@ def _key(raw: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:16], "big", signed=True)
 
 
-def _row(kind, h, c, k1, k2, place, a, b) -> pa.RecordBatch:
-    n = len(k1)
-    full = lambda x: pa.array(np.ascontiguousarray(np.broadcast_to(np.asarray(x), n)).view(np.int64) if np.asarray(x).dtype == np.uint64 else np.broadcast_to(np.asarray(x, np.int64), n).copy())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[full(x) for x in (h, c, k1, k2, place, a, b)]], names=["kind", "h", "c", "k1", "k2", "place", "a", "b"])
+def _row(kind: int, **cols) -> pa.RecordBatch:
+    """A batch of _ROW; columns that are not given are 0."""
+    n = len(cols["k1"])
+    as_long = lambda x: x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
+    full = [pa.array(as_long(np.ascontiguousarray(cols[k])) if k in cols else np.zeros(n, np.int64)) for k in _NAMES]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *full], names=["kind", *_NAMES])
 
 
-def _packed(pos, left, length, many) -> np.ndarray:
-    """pos, left, length and whether the context is known twice, in 63 bits."""
-    return (pos.astype(np.int64) << 20) | (left.astype(np.int64) << 11) | (length.astype(np.int64) << 1) | many.astype(np.int64)
+def _stretches(k1, k2, start, stop):
+    """The same bytes in fewest stretches."""
+    by = np.lexsort((start, k2, k1))
+    k1, k2, start, stop = k1[by], k2[by], start[by], stop[by]
+    doc = np.ones(len(by), bool)
+    doc[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    base = (np.cumsum(doc) - 1) * np.int64(1 << 40)  # texts one after the other
+    reach = np.maximum.accumulate(stop + base)
+    new = doc.copy()
+    new[1:] |= (start + base)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return k1[at], k2[at], start[at], (reach - base)[np.append(at[1:], len(by)) - 1] if len(by) else stop
 
 
-def _unpacked(place):
-    return place >> 20, (place >> 11) & 511, (place >> 1) & 1023, place & 1
+def _known(k1, k2, start, stop) -> pa.RecordBatch:
+    k1, k2, start, stop = _stretches(k1, k2, start, stop)
+    return _row(0, h=_mix(k1.view(np.uint64), 1), k1=k1, k2=k2, place=start, a=stop)
 
 
-def _map_contexts(batches):
-    """A row of kind 0 for each stretch known to repeat (place: start, a: end), of kind 1 for each different context of a batch."""
+def _map_anchors(batches):
+    """Kind 0: stretches [place, a) known to repeat. Kind 1: each different anchor of a batch; place is twice its place, plus 1 if it is known twice."""
     for b in batches:
         texts = [t.as_py() or b"" for t in b.column(0).cast(pa.large_binary())]
         keys = np.array([_key(t) if len(t) >= SPAN else (0, 0) for t in texts], np.int64).reshape(-1, 2)
-        x = contexts(texts)
+        x = anchors(texts)
         if not len(x["h"]):
             continue
-        by, new = _groups(x["h"], x["c"])
+        by, new = _groups(x["h"], x["a"], x["b"], x["c"], x["d"])
         run = np.cumsum(new) - 1
-        n = np.bincount(run)
+        many = np.bincount(run) > 1
         k1, k2 = keys[x["doc"], 0], keys[x["doc"], 1]
-        twice = by[n[run] > 1]
-        if len(twice):
-            yield _row(0, x["h"][twice], 0, k1[twice], k2[twice], x["pos"][twice], x["pos"][twice] + x["length"][twice], 0)
+        found = []
+        for j in range(CLASSES):
+            i = by[many[run] & (_core(x["a"], j)[by] > 0)]
+            s = x["pos"][i] - STEP * (j + 1) + 1
+            found.append((k1[i], k2[i], np.maximum(s, 0), s + BLOCK))
+        if sum(len(f[0]) for f in found):
+            yield _known(*map(np.concatenate, zip(*found)))
         rep = by[new]
-        yield _row(1, x["h"][rep], x["c"][rep], k1[rep], k2[rep], _packed(x["pos"][rep], x["left"][rep], x["length"][rep], n > 1), x["a"][rep], x["b"][rep])
+        yield _row(1, k1=k1[rep], k2=k2[rep], place=2 * x["pos"][rep] + many, **{k: x[k][rep] for k in "habcd"})
 
 
 def _by_key(batches, columns: int, limit: int, weigh=None):
@@ -203,42 +249,40 @@ def _by_key(batches, columns: int, limit: int, weigh=None):
 
 
 def _map_judge(batches):
-    """Kind 0: stretches that repeat. Kind 1: contexts whose bytes are needed (c: the shard within the anchor's group)."""
+    """Kind 0: stretches that repeat. Kind 1: blocks whose bytes are needed (h: anchor and class, a: shard, b: 1 if known to repeat, place: start)."""
     for t in _by_key(batches, 1, CHUNK_ROWS):
-        h, kind, c, k1, k2, place, a, b = (t.column(i).to_numpy() for i in range(8))
+        h, kind, k1, k2, place, a, b, c, d = (t.column(i).to_numpy() for i in range(9))
         known = kind == 0
         if known.any():
-            yield _row(0, h[known], 0, k1[known], k2[known], place[known], a[known], 0)
-        h, c, k1, k2, place, a, b = (x[~known] for x in (h, c, k1, k2, place, a, b))
+            yield _row(0, h=h[known], k1=k1[known], k2=k2[known], place=place[known], a=a[known])
+        h, k1, k2, place, a, b, c, d = (x[~known] for x in (h, k1, k2, place, a, b, c, d))
         if not len(h):
             continue
-        by, new = _groups(h, c)
-        run = np.cumsum(new) - 1
-        many = np.bincount(run) > 1
-        pos, _, length, flag = _unpacked(place[by])
-        many |= np.bincount(run, flag) > 0
-        once_here = many[run] & (flag == 0)  # the others are known already
-        if once_here.any():
-            i = by[once_here]
-            yield _row(0, h[i], 0, k1[i], k2[i], pos[once_here], pos[once_here] + length[once_here], 0)
-        rep = by[new]
-        need = np.zeros(len(rep), bool)
-        for word in (a, b):
-            for shift in (32, 0):
-                core = (word[rep].view(np.uint64) >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)
-                have = np.flatnonzero(core)
-                o, first = _groups(h[rep][have], core[have])
-                r = np.cumsum(first) - 1
-                size, single = np.bincount(r), np.bincount(r, ~many[have[o]])
-                need[have[o[(size[r] > 1) & (single[r] > 0)]]] = True
-        rep, many = rep[need], many[need]
-        if not len(rep):
-            continue
-        _, at, n = np.unique(h[rep], return_inverse=True, return_counts=True)
-        shards = -(-n[at] // SHARD_CONTEXTS)
-        shard = np.where(shards > 1, 1 + (c[rep].view(np.uint64) % shards.astype(np.uint64)).astype(np.int64), 0)
-        pos, left, length, _ = _unpacked(place[rep])
-        yield _row(1, h[rep], shard, k1[rep], k2[rep], _packed(pos, left, length, many), 0, 0)
+        pos, many = place >> 1, place & 1
+        for j in range(CLASSES):
+            core, block = _core(a, j), _block([b, c, d], j)
+            i = np.flatnonzero(core)
+            by, new = _groups(h[i], core[i], block[i])
+            i = i[by]
+            run = np.cumsum(new) - 1
+            twice = (np.bincount(run) > 1) | (np.bincount(run, many[i]) > 0)
+            told = twice[run] & (many[i] == 0)
+            if told.any():
+                s = pos[i[told]] - STEP * (j + 1) + 1
+                yield _known(k1[i[told]], k2[i[told]], np.maximum(s, 0), s + BLOCK)
+            rep = i[new]
+            group = np.cumsum(np.concatenate(([True], (h[rep][1:] != h[rep][:-1]) | (core[rep][1:] != core[rep][:-1])))) - 1 if len(rep) else rep
+            if not len(rep):
+                continue
+            need = (np.bincount(group)[group] > 1) & (np.bincount(group, ~twice)[group] > 0)
+            if not need.any():
+                continue
+            rep, twice = rep[need], twice[need]
+            _, at, n = np.unique(group[need], return_inverse=True, return_counts=True)
+            shards = -(-n[at] // SHARD_BLOCKS)
+            key = _mix(h[rep].view(np.uint64) ^ core[rep], j)
+            spread = (_mix(k1[rep].view(np.uint64), place[rep].view(np.uint64)) % shards.astype(np.uint64)).astype(np.int64)
+            yield _row(1, h=key, k1=k1[rep], k2=k2[rep], place=np.maximum(pos[rep] - STEP * (j + 1) + 1, 0), a=np.where(shards > 1, 1 + spread, 0), b=twice.astype(np.int64), c=pos[rep] - STEP * j + SPAN)
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -318,10 +362,10 @@ def common_prefixes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, order
 
 
 def _map_shards(batches):
-    """Kind 0: stretches that repeat within a shard. Kind 2: the distinct strings of shards of one anchor (h, c: 128-bit hash)."""
-    for t in _by_key(batches, 2, SHARD_BYTES, lambda b: int(pa.compute.sum(pa.compute.binary_length(b.column(5))).as_py() or 0)):
-        h, shard, k1, k2, place = (t.column(i).to_numpy() for i in range(5))
-        texts = [x.as_py() for x in t.column(5)]
+    """Kind 0: stretches that repeat within a shard. Kind 2: the distinct strings of shards of one anchor (h, a: 128-bit hash; b: known to repeat)."""
+    for t in _by_key(batches, 2, SHARD_BYTES, lambda b: b.column(6).nbytes):
+        h, shard, k1, k2, place, many = (t.column(i).to_numpy() for i in range(6))
+        texts = [x.as_py() for x in t.column(6)]
         size = np.array([len(x) for x in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         stop = np.cumsum(size)
@@ -331,33 +375,33 @@ def _map_shards(batches):
             continue
         shared = common_prefixes(data, start, stop, order)
         part = np.searchsorted(stop, order, "right")
-        pos, _, _, many = _unpacked(place)
-        where = pos[part] + order - start[part]
+        where = place[part] + order - start[part]
         run = np.cumsum(np.concatenate(([True], shared[1:] < SPAN))) - 1
         by, new = _groups(run, k1[part], k2[part], where)
         places = np.bincount(run[by][new], minlength=run[-1] + 1)
         repeats = (places > 1) | (np.bincount(run, many[part]) > 0)
         hit = repeats[run] & (many[part] == 0)
         if hit.any():
-            yield _row(0, h[part[hit]], 0, k1[part[hit]], k2[part[hit]], where[hit], where[hit] + SPAN, 0)
+            yield _known(k1[part[hit]], k2[part[hit]], where[hit], where[hit] + SPAN)
         several = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])) & (shard[part] > 0))
         if len(several):
             hashes = np.array([divmod(xxhash.xxh3_128_intdigest(data[o : o + SPAN].tobytes()), 1 << 64) for o in order[several].tolist()], np.uint64)
             i = part[several]
-            yield _row(2, hashes[:, 0], hashes[:, 1], k1[i], k2[i], where[several], repeats[run[several]].astype(np.int64), 0)
+            yield _row(2, h=hashes[:, 0], a=hashes[:, 1], k1=k1[i], k2=k2[i], place=where[several], b=repeats[run[several]].astype(np.int64))
 
 
 def _map_merge(batches):
     """Strings of different shards that are equal: binary search of each hash's range in the sorted run."""
     for t in _by_key(batches, 2, CHUNK_ROWS):
-        h, c, k1, k2, place, done = (t.column(i).to_numpy() for i in range(6))
-        by = np.lexsort((c, h))
-        wide = np.array(list(zip(h[by].tolist(), c[by].tolist())), dtype=[("h", "<i8"), ("c", "<i8")])
+        h, a, k1, k2, place, done = (t.column(i).to_numpy() for i in range(6))
+        by, new = _groups(h, a, k1, k2, place)  # one place may stand in several blocks
+        by = by[new]
+        wide = np.array(list(zip(h[by].tolist(), a[by].tolist())), dtype=[("h", "<i8"), ("a", "<i8")])
         lo, hi = np.searchsorted(wide, wide, "left"), np.searchsorted(wide, wide, "right")
         hit = by[(hi - lo > 1)]
         hit = hit[done[hit] == 0]
         if len(hit):
-            yield _row(0, h[hit], 0, k1[hit], k2[hit], place[hit], place[hit] + SPAN, 0)
+            yield _known(k1[hit], k2[hit], place[hit], place[hit] + SPAN)
 
 
 def _with_key(docs: DataFrame, text: Column) -> DataFrame:
@@ -386,7 +430,7 @@ def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _map_extract(batches):
-    """Bytes of the contexts asked for."""
+    """Bytes of the blocks asked for."""
     last = None
     for b in batches:
         rows = []
@@ -394,18 +438,17 @@ def _map_extract(batches):
             if (k1, k2) == last:  # another copy of a text
                 continue
             last = (k1, k2)
-            for x in asks:
-                pos, _, length, _ = _unpacked(x["place"])
-                rows.append((x["h"], x["c"], k1, k2, x["place"], text[pos : pos + length]))
-        cols = list(zip(*rows)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["h", "c", "k1", "k2", "place", "bytes"])
+            rows += [(x["h"], x["a"], k1, k2, x["place"], x["b"], text[x["place"] : x["c"]]) for x in asks]
+        cols = list(zip(*rows)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary())], names=["h", "a", "k1", "k2", "place", "b", "bytes"])
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """What is left without the spans, bytes removed, and maximal removed runs."""
+    """What is left without the spans, bytes removed, and maximal removed runs. Spans may go beyond the text's end."""
     left, at, removed, runs = [], 0, 0, 0
     end = -1
     for s, e in sorted(spans):
+        e = min(e, len(text))
         if s > end:
             runs += 1
             left.append(text[at:s])
@@ -434,15 +477,16 @@ def _map_cut(batches):
 
 def repeated_stretches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(k1, k2, place, a): stretches [place, a) of the text with that key that also start elsewhere."""
-    first = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_map_contexts, _ROW)
-    dealt = first.select("h", "kind", "c", "k1", "k2", "place", "a", "b").repartition("h").sortWithinPartitions("h")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_map_anchors, _ROW)
+    dealt = first.select("h", "kind", *_NAMES[1:]).repartition("h").sortWithinPartitions("h")
     judged = stash(dealt.mapInArrow(_map_judge, _ROW), "judged")
-    asks = judged.where("kind = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "place")).alias("asks"))
+    asks = judged.where("kind = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "b", "c", "place")).alias("asks"))
     asks = stash(asks, "asks")
     texts = _distinct_texts(docs, text_col)
-    pulled = texts.join(asks.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "asks").sortWithinPartitions("k1", "k2").mapInArrow(_map_extract, "h bigint, c bigint, k1 bigint, k2 bigint, place bigint, bytes binary")
-    sorted_ = stash(pulled.repartition("h", "c").sortWithinPartitions("h", "c").mapInArrow(_map_shards, _ROW), "shards")
-    runs = sorted_.where("kind = 2").select("h", "c", "k1", "k2", "place", "a").repartition("h", "c").sortWithinPartitions("h", "c")
+    pulled = texts.join(asks.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "asks").sortWithinPartitions("k1", "k2").mapInArrow(_map_extract, "h bigint, a bigint, k1 bigint, k2 bigint, place bigint, b bigint, bytes binary")
+    sorted_ = stash(pulled.repartition(parts, "h", "a").sortWithinPartitions("h", "a").mapInArrow(_map_shards, _ROW), "shards")
+    runs = sorted_.where("kind = 2").select("h", "a", "k1", "k2", "place", "b").repartition("h", "a").sortWithinPartitions("h", "a")
     merged = runs.mapInArrow(_map_merge, _ROW)
     found = judged.where("kind = 0").union(sorted_.where("kind = 0")).union(merged)
     return found.select("k1", "k2", "place", "a")
