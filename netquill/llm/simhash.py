@@ -8,6 +8,10 @@ trie nodes at a time, adds a differing bit when their branches part, and drops
 the pair of nodes once it exceeds the budget. It returns a spanning forest, not
 all pairs, so a group of near copies costs rows in proportion to its size.
 A bucket above a set size is cut again by the blocks of its remaining bits.
+
+Where a similarity is asked for, tries only propose: the components of their
+loose links are compared pair by pair on the shingle sets, in blocks of nodes,
+and only pairs that reach the similarity link.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ BUCKET_ROWS = 50_000
 #: Rows a trie task gathers before it walks them (whole buckets).
 CHUNK_ROWS = 200_000
 SLICE = 1 << 16
-#: Words of 64 bits that a candidate pair is tested on.
+#: Words of 64 bits that a pair is tested on before it becomes a candidate.
 CHECK_WORDS = 3
+#: Nodes of a loose component in one block; a task compares one block with itself or another.
+BLOCK_NODES = 1024
+#: Share of all fingerprint bits beyond which shingle sets are not compared (about a Jaccard similarity of 0.55).
+FAR = 0.25
 
 
 def _hashes(raw: bytes, k: int):
@@ -83,6 +91,33 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n64:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp array<bigint>")
 
 
+def shingle_set(raw: bytes | None, k: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the k-word shingles."""
+    parts = list(_hashes(raw or b"", k))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n64: int) -> DataFrame:
+    """(id, key long, node long, fp array<long>) for each row: hashes of the text and of its shingle set, and the bits of the set."""
+    kind = docs.schema[id_col].dataType
+
+    def run(batches):
+        for b in batches:
+            node, got = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, n64), np.uint64)
+            for i, t in enumerate(b.column(2).cast(pa.large_binary())):
+                h = shingle_set(t.as_py(), shingle)
+                node[i] = xxhash.xxh64_intdigest(h.tobytes(), 42)
+                for j in range(n64 if len(h) else 0):
+                    x = h if j == 0 else _mixed(h, j)
+                    c = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    got[i, j] = np.packbits((c * 2 > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0]
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, n64, dtype=np.int32)), pa.array(got.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), fp], names=["id", "key", "node", "fp"])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, f"id {kind.simpleString()}, key bigint, node bigint, fp array<bigint>")
+
+
 def _labels(n: int, a: np.ndarray, b: np.ndarray, lab: np.ndarray) -> np.ndarray:
     """Labels (smallest index of a component) after joining a[i] with b[i]."""
     while len(a):
@@ -269,34 +304,123 @@ def _walk(rows: pa.Table, width: int, budget: int, check_bits: int | None):
         yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[lab[far]])], names=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 32, tables: int = 24, budget: int = 2, check: float | None = 0.18) -> DataFrame:
+def exact_edges(docs: DataFrame, text_col: str, shingle: int, loose: DataFrame, similarity: float) -> DataFrame:
+    """Spanning edges (u, v) of the pairs in a loose component whose shingle sets have at least that Jaccard similarity.
+
+    loose: (node, component, key, fp), one row for each node. Every pair of a
+    component meets in one task, by blocks of BLOCK_NODES nodes.
+    """
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    one = texts.join(loose, "key").groupBy("key", "node", "component").agg(F.first("text").alias("text"), F.first("fp").alias("fp"))
+
+    def sets(batches):
+        for b in batches:
+            got = [shingle_set(t.as_py(), shingle) for t in b.column(2).cast(pa.large_binary())]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int32)
+            flat = np.concatenate([*got, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["node", "component", "fp", "sh"])
+
+    held = stash(one.select("node", "component", "text", "fp").mapInArrow(sets, "node bigint, component bigint, fp array<bigint>, sh array<bigint>"), "shingles")
+    size = held.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = held.join(size, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["component", "i", "j"]
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = rows.select(*key, "own", "node", "fp", "sh").repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches):
+        now, group = None, []
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
+            own, node = b.column(3).to_pylist(), b.column(4).to_pylist()
+            for r, k in enumerate(keys):
+                if k != now and group:
+                    yield from _compare(now, group, similarity)
+                    group = []
+                now = k
+                group.append((own[r], node[r], b.column(5)[r].values.to_numpy().view(np.uint64), b.column(6)[r].values.to_numpy().view(np.uint64)))
+        if group:
+            yield from _compare(now, group, similarity)
+
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def _compare(key: tuple, group: list, similarity: float):
+    """Verified edges between the two blocks of a group, or within its only one; nearest pairs first."""
+    _, i, j = key
+    first = [g for g in group if g[0] == i]
+    second = first if i == j else [g for g in group if g[0] == j]
+    if not first or not second:
+        return
+    fa, fb = np.stack([g[2] for g in first]), np.stack([g[2] for g in second])
+    na, nb = np.array([len(g[3]) for g in first]), np.array([len(g[3]) for g in second])
+    most, found = int(FAR * 64 * fa.shape[1]), []
+    for a in range(len(first)):
+        d = np.bitwise_count(fb ^ fa[a]).sum(1, dtype=np.int64)
+        ok = (d <= most) & (np.minimum(nb, na[a]) >= similarity * np.maximum(nb, na[a]) - 1e-6)
+        if i == j:
+            ok[: a + 1] = False
+        b = np.flatnonzero(ok)
+        found.append(np.stack((d[b], np.full(len(b), a), b), axis=1))
+    pairs = np.concatenate(found)
+    up: dict[int, int] = {}
+
+    def root(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    us, vs = [], []
+    for _, a, b in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+        u, v = first[a], second[b]
+        ru, rv = root(u[1]), root(v[1])
+        if ru == rv:
+            continue
+        both = len(np.intersect1d(u[3], v[3], assume_unique=True))
+        union = len(u[3]) + len(v[3]) - both
+        if union and both / union >= similarity:
+            up[max(ru, rv)] = min(ru, rv)
+            us.append(u[1])
+            vs.append(v[1])
+    if us:
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 32, tables: int = 40, budget: int = 2, check: float | None = 0.24, similarity: float = 0.8) -> DataFrame:
     """(id, fp array<long>, component_id) for each row of docs.
 
-    Two texts link if, in one of the tables of width bits, at most budget bits
-    differ and, where check is given, at most that share of the first
-    64 * CHECK_WORDS bits differ (two shingle sets of Jaccard similarity 0.8
-    differ in 0.1515 of the bits on average; 0.18 leaves room for chance).
-    component_id is the smallest id reachable, itself
-    included. With tables=1, width=64 and check=None links are exactly the pairs
-    within the budget; with more tables a link is found with the probability
-    that README.md tables.
+    Two texts link if their shingle sets have at least that Jaccard similarity,
+    compared exactly. Compared are all pairs of a loose component: there two
+    texts hang together if, in one of the tables of width bits, at most budget
+    bits differ and at most the share check of the first 64 * CHECK_WORDS bits
+    (two sets of similarity 0.8 differ in 0.1515 of the bits on average).
+    No pair below the similarity links; one that reaches it is missed with the
+    probability that README.md tables. component_id is the smallest id
+    reachable, itself included. With tables=1, width=64 and check=None there is
+    no comparison, and links are exactly the pairs of fingerprints (in which a
+    repeated shingle counts each time) within the budget.
 
     Null ids are allowed: they never lower a component_id and get null only if
     no linked row has an id. Null, empty and white-space texts have an all-zero
-    fingerprint and link like any other. Repeated rows get equal results. Other
+    fingerprint and are equal to each other. Repeated rows get equal results. Other
     columns are left out. An empty table gives an empty result.
     """
     n64 = -(-width * tables // 64)
-    fps = stash(fingerprints(docs, id_col, text_col, shingle, n64), "fingerprints")
-    node = F.col("fp")[0] if n64 == 1 else F.xxhash64("fp")
-    fps = fps.withColumn("node", node)
-    classes = stash(fps.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp")), "classes")
+    if check is None:
+        fps = stash(fingerprints(docs, id_col, text_col, shingle, n64), "fingerprints")
+        fps = fps.withColumn("node", F.col("fp")[0] if n64 == 1 else F.xxhash64("fp")).withColumn("key", F.lit(0).cast("long"))
+    else:
+        fps = stash(set_fingerprints(docs, id_col, text_col, shingle, n64), "fingerprints")
+    classes = stash(fps.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.min("key").alias("key")), "classes")
     per = 64 // width
     top = [F.expr(f"shiftleft(shiftrightunsigned(fp[{t // per}], {width * (t % per)}), {64 - width})") for t in range(tables)]
     chk = F.slice("fp", 1, CHECK_WORDS) if check is not None else F.lit(None).cast("array<bigint>")
     nodes = classes.select("node", chk.alias("chk"), F.posexplode(F.array(*top)).alias("t", "v"))
     edges = stash(trie_edges(nodes, width, budget, None if check is None else int(check * 64 * CHECK_WORDS)), "edges")
     linked = components(edges)
+    if check is not None:
+        loose = stash(linked.join(classes.select("node", "key", "fp"), "node"), "loose")
+        linked = components(stash(exact_edges(docs, text_col, shingle, loose, similarity), "exact_edges"))
     member = stash(linked.join(classes.select("node", "first"), "node"), "members")
     lowest = member.groupBy("component").agg(F.min("first").alias("lowest"))
     named = member.join(lowest, "component").select("node", "lowest")

@@ -126,6 +126,34 @@ def test_near_duplicates_of_high_similarity_and_not_of_low(spark):
     assert all(got[i] == 0 for i in range(20)) and all(got[i] == i for i in got if i >= 100)
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_near_duplicates_decide_on_the_shingle_sets(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_NODES", block)
+    rng, rows, want = np.random.default_rng(5), [], {}
+
+    def word():
+        return f"w{rng.integers(10**9)}"
+
+    for k in range(120):  # 96 shingles, of which t differ: 86 of 106 for t = 10, 85 of 107 for t = 11, 84 of 108 for t = 12
+        words = [word() for _ in range(100)]
+        t = (10, 11, 12)[k % 3]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 100 - t] + [word() for _ in range(t)]))]
+        want[2 * k], want[2 * k + 1] = 2 * k, 2 * k + (t > 10)
+    words = [word() for _ in range(100)]  # a chain: only neighbours reach 0.8
+    for k in range(9):
+        rows.append((1000 + k, " ".join(words)))
+        want[1000 + k] = 1000
+        words = words[8:] + [word() for _ in range(8)]
+    line = " ".join(word() for _ in range(6))  # one line repeated outweighs the rest of a text, but not of its shingle set
+    for k in range(2):
+        rows.append((2000 + k, " ".join([line] * 40 + [word() for _ in range(30)])))
+        want[2000 + k] = 2000 + k
+    got = {r.id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    above = [i for i in want if want[i] != i]
+    assert all(got[i] == i for i in want if want[i] == i)
+    assert sum(got[i] == want[i] for i in above) >= 0.97 * len(above)
+
+
 def test_simhash_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
