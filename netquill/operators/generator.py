@@ -1,23 +1,23 @@
-"""A small variational autoencoder in numpy: trained on a bounded sample, decoding in parallel.
+"""A small variational autoencoder in numpy: trained in passes over all rows, decoding in parallel.
 
-Training rows are a documented sample (SAMPLE_ROWS); generation is exact in
-number and repeatable, as each row's latent numbers come from its id.
+Each epoch deals all rows to partitions at random and streams them to the
+driver, which holds one partition at a time. Generation is exact in number and
+repeatable, as each row's latent numbers come from its id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netquill.operators.clean import to_type
 from netquill.plans.transform_plan import Prepared, prepare, restore
 
-SAMPLE_ROWS = 50_000
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -101,15 +101,27 @@ class Autoencoder:
             grads = [(g + self.rng.normal(0, sigma, g.shape), h + self.rng.normal(0, sigma, h.shape)) for g, h in grads]
         return loss, grads
 
-    def fit(self, x: np.ndarray) -> Autoencoder:
-        """Adam; stops once the loss has not improved for patience epochs, and keeps the best weights."""
+    def _batches(self, chunks: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+        rest = None
+        for x in chunks:
+            x = x[self.rng.permutation(len(x))]
+            x = x if rest is None else np.concatenate((rest, x))
+            full = len(x) // self.s.batch * self.s.batch
+            for i in range(0, full, self.s.batch):
+                yield x[i : i + self.s.batch]
+            rest = x[full:]
+        if rest is not None and len(rest):
+            yield rest
+
+    def fit(self, chunks: Callable[[int], Iterable[np.ndarray]]) -> Autoencoder:
+        """chunks(epoch): all rows, in parts. Adam; stops once the loss has not improved for patience epochs, and keeps the best weights."""
         m = [(np.zeros_like(w), np.zeros_like(b)) for w, b in zip(self.w, self.b)]
         v = [(np.zeros_like(w), np.zeros_like(b)) for w, b in zip(self.w, self.b)]
         step, best, kept, waited = 0, np.inf, None, 0
-        for _ in range(self.s.epochs):
-            order, losses = self.rng.permutation(len(x)), []
-            for i in range(0, len(x), self.s.batch):
-                loss, grads = self._gradients(x[order[i : i + self.s.batch]])
+        for epoch in range(self.s.epochs):
+            losses = []
+            for x in self._batches(chunks(epoch)):
+                loss, grads = self._gradients(x)
                 losses.append(loss)
                 step += 1
                 for layer, pair in enumerate(grads):
@@ -117,6 +129,8 @@ class Autoencoder:
                         m[layer][j][...] = 0.9 * m[layer][j] + 0.1 * g
                         v[layer][j][...] = 0.999 * v[layer][j] + 0.001 * g * g
                         target -= self.s.rate * (m[layer][j] / (1 - 0.9**step)) / (np.sqrt(v[layer][j] / (1 - 0.999**step)) + 1e-8)
+            if not losses:
+                break
             mean = float(np.mean(losses))
             if mean < best - 1e-4:
                 best, kept, waited = mean, ([w.copy() for w in self.w], [b.copy() for b in self.b]), 0
@@ -138,13 +152,26 @@ class Autoencoder:
         return out
 
 
-def train(prepared: Prepared, settings: Settings = Settings(), rows: int = SAMPLE_ROWS) -> Autoencoder:
+def stream(data: DataFrame, seed: int) -> Iterator[np.ndarray]:
+    """All rows as arrays of doubles (null: 0), dealt to partitions at random, one partition at the driver at a time."""
+    width = len(data.columns)
+    dealt = data.repartition(data.sparkSession.sparkContext.defaultParallelism * 4, F.rand(seed))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({"x": [np.nan_to_num(pdf.to_numpy(float)).tobytes()]})
+
+    for r in dealt.mapInPandas(run, "x binary").toLocalIterator():
+        yield np.frombuffer(r.x, float).reshape(-1, width)
+
+
+def train(prepared: Prepared, settings: Settings = Settings()) -> Autoencoder:
     names, blocks, at = prepared.data.columns, [], 0
     for size in prepared.categories.values():
         blocks.append((at, at + size))
         at += size
-    x = to_type(prepared.data).limit(rows).toPandas()[names].to_numpy(float)
-    return Autoencoder(len(names), blocks, settings).fit(np.nan_to_num(x))
+    data = to_type(prepared.data).select(*[F.col(f"`{c}`") for c in names])
+    return Autoencoder(len(names), blocks, settings).fit(lambda epoch: stream(data, settings.seed + epoch))
 
 
 def generate(spark: SparkSession, model: Autoencoder, prepared: Prepared, n: int, partitions: int | None = None) -> DataFrame:

@@ -202,6 +202,16 @@ def test_description_survives_json(spark, tmp_path):
     assert bayes.Description.load(str(tmp_path / "d.json")).attributes == d.attributes and "n" not in [a.name for a in d.attributes]
 
 
+def test_generator_trains_on_all_rows(spark, monkeypatch):
+    seen, own = [], generator.Autoencoder._gradients
+    monkeypatch.setattr(generator.Autoencoder, "_gradients", lambda self, x: (seen.append((len(x), x[:, :2].sum(0))), own(self, x))[1])
+    late = spark.range(60_000).selectExpr("id % 7 AS x", "if(id < 50000, 'a', 'b') AS c")
+    generator.synthesise(late, ["x"], ["c"], 1, settings=generator.Settings(epochs=2))
+    assert sum(n for n, _ in seen) == 120_000
+    assert sorted(sum(s for _, s in seen).tolist()) == [20_000, 100_000]  # the late category too
+    assert all(0 < s.min() for n, s in seen if n == 256)  # and in every batch, not at the end
+
+
 def test_generator_gives_the_asked_rows(spark, numbers):
     got = generator.synthesise(numbers, ["x"], ["c"], 77, settings=generator.Settings(epochs=3))
     assert got.count() == 77 and got.columns == ["x", "c"] and {r.c for r in got.select("c").distinct().collect()} <= {"a", "b", "c"}
