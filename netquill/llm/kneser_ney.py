@@ -1,143 +1,256 @@
-"""Quality by the perplexity of an interpolated modified Kneser-Ney model.
-
-The model is over characters in A classes, of order 4, so its tables have at
-most A**4 cells at any size of the corpus. Counts of all trusted text are taken
-in each partition and summed in hash shards; discounts, context totals and
-lower-order continuation counts are keyed joins of those shards. The finished
-table (A**4 floats, 21 MB, a fixed size) goes to the executors, which score
-whole texts. Each language's threshold is a quantile of its trusted documents'
-scores, from mergeable counts in narrow bins.
-
-Documents fall into two folds by id, and each is scored by the model of the
-other fold's trusted texts. So no text is scored by a model that has seen it,
-and trusted and other documents are held to one measure.
+"""Quality by the perplexity of an interpolated modified Kneser-Ney model of word pairs.
+
+Words are runs of bytes other than ASCII white space, as they stand, by their
+64-bit hash; a mark stands before the first and after the last. Pairs of all
+trusted texts are counted in each task and summed in hash shards. Context
+totals, continuation counts and discounts come from those counts, and the
+model is a table with a row for each word and each pair that was seen, so it
+grows with the corpus and no task holds it.
+
+With a(v, w) the discounted share of a pair, g(v) the mass that a context leaves
+and p(w) the continuation probability, log(a + g p) = log p(w) + log g(v) +
+log(1 + a / (g p)). The first two belong to words, the last to the pair and is 0
+for one never seen. So a text's log-likelihood is a sum of values of its words and
+pairs: its grams are joined with the table and summed, once for each different
+text, in PASSES parts of the texts, so that only a part's grams lie on disk. Words
+and pairs of more than 1 / HOT of all counts, of which there can be HOT at most,
+are looked up where the text is; the others are the sharded join.
+
+Texts fall into two folds by hash, and each is scored by the model of the other
+fold's trusted texts. So no text is scored by a model that has seen it, and
+trusted and other documents are held to one measure. Each language's threshold is
+a quantile of its trusted documents' scores, from mergeable counts in narrow bins.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquill.llm.common import stash
+from netquill.llm.common import drop_stash, matched, release, row_of, stash, text_key
 
-A, ORDER = 48, 4
 #: Share of trusted documents of a language that stay.
 QUANTILE = 0.995
-#: Characters at the language's mean that every text is taken to have besides its own.
-PRIOR_CHARS = 60.0
+#: Words at the language's mean that every text is taken to have besides its own.
+PRIOR_WORDS = 20.0
 BINS = 2000.0
+#: Words of a block whose pairs a task counts at once.
+BLOCK = 1 << 21
+#: A word or pair of more than 1 / HOT of all counts is hot.
+HOT = 1 << 17
+PASSES = 4
+#: Different words whose hash a task remembers.
+CACHE = 1 << 20
+#: The mark before the first and after the last word.
+MARK = np.uint64(0x9E3779B97F4A7C15)
+TURN = 23
+LEAST_MASS = 1e-9
+
+
+class _Hashes(dict):
+    """XXH64 (seed 42) of a word, worked out once."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return got
+
+
+def sequence(raw: bytes, hashes: dict) -> np.ndarray:
+    """The mark, the words' hashes and the mark; empty without words."""
+    words = raw.split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    out = np.empty(len(words) + 2, np.uint64)
+    out[0] = out[-1] = MARK
+    out[1:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return out
 
 
-def _classes() -> np.ndarray:
-    """Class of each ASCII code: letters 0-25, capitals 26, digits 27, blanks 28, newline 29, marks 30-35; beyond ASCII 36-45; others 46."""
-    out = np.full(128, 46, np.uint8)
-    out[97:123], out[65:91], out[48:58] = np.arange(26), 26, 27
-    for k, chars in ((28, " \t\r\x0b\x0c"), (29, "\n"), (30, "."), (31, ","), (32, "!?;:"), (33, "#*$%&<>@^~=+\\"), (34, "|"), (35, "'\"-()[]/")):
-        out[[ord(c) for c in chars]] = k
-    return out
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return v ^ ((w << np.uint64(TURN)) | (w >> np.uint64(64 - TURN)))
 
 
-CLASSES = _classes()
+def _pair_key(v: str, w: str) -> Column:
+    return F.expr(f"{v} ^ (shiftleft({w}, {TURN}) | shiftrightunsigned({w}, {64 - TURN}))")
 
 
-def codes(text: str) -> np.ndarray:
-    """One number under A**4 for each character: its class and those of the three before it."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    k = np.where(cp < 128, CLASSES[np.minimum(cp, 127)], 36 + cp % 10).astype(np.int32)
-    k = np.concatenate((np.full(ORDER - 1, 29, np.int32), k))
-    return ((k[:-3] * A + k[1:-2]) * A + k[2:-1]) * A + k[3:]
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(fold int, g int, n long) over all rows of texts (text string, fold int: 0 or 1)."""
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(v, w, n0, n1): how often w follows v in texts (text) of either fold, summed over blocks of each task and then in shards."""
 
     def run(batches):
-        total = np.zeros((2, A**ORDER), np.int64)
+        hashes, held, size = _Hashes(), ([], []), 0
+
+        def counted():
+            for fold in (0, 1):
+                if held[fold]:
+                    v = np.concatenate([s[:-1] for s in held[fold]])
+                    w = np.concatenate([s[1:] for s in held[fold]])
+                    _, at, n = np.unique(pair_key(v, w), return_index=True, return_counts=True)
+                    for i in range(0, len(at), 1 << 16):
+                        j, zero = at[i : i + (1 << 16)], np.zeros(min(1 << 16, len(at) - i), np.int64)
+                        both = (n[i : i + (1 << 16)], zero)
+                        yield pa.RecordBatch.from_arrays([_signed(v[j]), _signed(w[j]), pa.array(both[fold]), pa.array(both[1 - fold])], names=["v", "w", "n0", "n1"])
+                    held[fold].clear()
+
         for b in batches:
-            for t, fold in zip(b.column(0), b.column(1).to_pylist()):
+            for t in b.column(0).cast(pa.large_binary()):
                 if t.is_valid:
-                    np.add.at(total[fold], codes(t.as_py()), 1)
-        for fold in (0, 1):
-            g = np.flatnonzero(total[fold])
-            for i in range(0, len(g), 1 << 16):
-                part = g[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(part.astype(np.int32)), pa.array(total[fold][part])], names=["fold", "g", "n"])
+                    raw = t.as_py()
+                    s = sequence(raw, hashes)
+                    if len(s):
+                        held[xxhash.xxh64_intdigest(raw, 42) & 1].append(s)
+                        size += len(s)
+                if size >= BLOCK:
+                    yield from counted()
+                    size = 0
+        yield from counted()
+
+    rows = texts.mapInArrow(run, "v bigint, w bigint, n0 bigint, n1 bigint")
+    return rows.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    return texts.mapInArrow(run, "fold int, g int, n bigint").groupBy("fold", "g").agg(F.sum("n").alias("n"))
 
+def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
+    """Of counts 1, 2 and 3 or more, from how many grams have counts 1 to 4."""
+    y = n1 / max(1.0, n1 + 2 * n2)
+    raw = (1 - 2 * y * n2 / max(1.0, n1), 2 - 3 * y * n3 / max(1.0, n2), 3 - 4 * y * n4 / max(1.0, n3))
+    return [min(max(v, 0.0), float(k + 1)) for k, v in enumerate(raw)]
 
-def fold_of(id_: Column) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(2)).cast("int")
 
+def _off(n: Column, d: list[float]) -> Column:
+    return F.when(n >= 3, d[2]).when(n == 2, d[1]).when(n == 1, d[0]).otherwise(0.0)
+
+
+def values(counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(key, val0, val1) of all words and pairs, the hot rows of it, and each model's log-probability of a word never seen.
+
+    val0 and val1 are of the models of fold 0 and fold 1; one that has no texts is
+    that of all. A text's log-likelihood is the sum of its grams' values and of the
+    log-probability of an unseen word for each of its words and the end.
+    """
+    pairs = stash(counts, "pairs")
+    has = pairs.agg(F.sum("n0"), F.sum("n1")).first()
+    if not has[0] or not has[1]:
+        pairs = pairs.withColumn("n0", F.col("n0") + F.col("n1")).withColumn("n1", F.col("n0"))
+    models = (0, 1)
+    at = pairs.agg(F.sum(F.col("n0") + F.col("n1")), *[F.count_if(F.col(f"n{m}") == k) for m in models for k in (1, 2, 3, 4)]).first()
+    total, off = at[0] or 0, [discounts(*map(float, at[1 + 4 * m : 5 + 4 * m])) for m in models]
+    one = lambda c: F.sum(c.cast("long"))
+    as_context = [c for m in models for c in (F.col(f"n{m}").alias(f"c{m}"), *[(F.col(f"n{m}") == k).cast("long").alias(f"n{k}_{m}") for k in (1, 2)], (F.col(f"n{m}") >= 3).cast("long").alias(f"n3_{m}"), F.lit(0).cast("long").alias(f"t{m}"))]
+    as_word = [c for m in models for c in (*[F.lit(0).cast("long").alias(k) for k in (f"c{m}", f"n1_{m}", f"n2_{m}", f"n3_{m}")], (F.col(f"n{m}") > 0).cast("long").alias(f"t{m}"))]
+    both = pairs.select(F.col("v").alias("x"), *as_context).union(pairs.select(F.col("w").alias("x"), *as_word))
+    words = stash(both.groupBy("x").agg(*[F.sum(c).alias(c) for c in both.columns[1:]]), "words")
+    release(words.sparkSession)
+    seen = words.agg(*[c for m in models for c in (F.sum(f"t{m}"), one(F.col(f"t{m}") > 0), *[one(F.col(f"t{m}") == k) for k in (1, 2, 3, 4)], one(F.col(f"t{m}") >= 3))]).first()
+    unseen, cols = [], []
+    for m in models:
+        t, v, k1, k2, k3, k4, more = (float(x or 0) for x in seen[7 * m : 7 * m + 7])
+        d = discounts(k1, k2, k3, k4)
+        rest = max((d[0] * k1 + d[1] * k2 + d[2] * more) / max(t, 1.0), LEAST_MASS) / (v + 1) if t else 1.0
+        unseen.append(math.log(rest))
+        n = F.col(f"t{m}")
+        cols.append(((n - _off(n, d)) / max(t, 1.0) + F.lit(rest)).alias(f"p{m}"))
+        mass = reduce(lambda a, b: a + b, [F.col(f"n{k}_{m}") * off[m][k - 1] for k in (1, 2, 3)]) / F.col(f"c{m}")
+        cols.append(F.when(F.col(f"c{m}") > 0, F.greatest(mass, F.lit(LEAST_MASS))).otherwise(F.lit(1.0)).alias(f"g{m}"))
+    words = words.select("x", (F.col("c0") + F.col("c1")).alias("c"), "c0", "c1", *cols)
+    hot = F.col("c") > F.lit(total / HOT)
+    of_words = words.select(F.col("x").alias("key"), *[(F.log(f"p{m}") + F.log(f"g{m}") - F.lit(unseen[m])).cast("float").alias(f"val{m}") for m in models], hot.alias("hot"))
+    left = words.select(F.col("x").alias("v"), *[c for m in models for c in (f"c{m}", f"g{m}")], hot.alias("hot"))
+    right = words.select(F.col("x").alias("w"), "p0", "p1", hot.alias("hot"))
+
+    def with_words(rows: DataFrame, side: DataFrame, name: str) -> DataFrame:
+        """A hot word's row goes to the pairs, at most HOT rows; the other pairs are joined by key."""
+        new = [c for c in side.columns if c not in (name, "hot")]
+        few = F.broadcast(side.where("hot").select(name, F.struct(*new).alias("known")))
+        tried = rows.join(few, name, "left")
+        cold = tried.where("known is null").drop("known").join(side.where("not hot").drop("hot"), name)
+        return tried.where("known is not null").select(*rows.columns, "known.*").unionByName(cold.select(*rows.columns, *new))
+
+    full = with_words(with_words(pairs.select("v", "w", "n0", "n1"), left, "v"), right, "w")
+    gain = [F.when(F.col(f"n{m}") > 0, F.log1p((F.col(f"n{m}") - _off(F.col(f"n{m}"), off[m])) / (F.col(f"c{m}") * F.col(f"g{m}") * F.col(f"p{m}")))).otherwise(F.lit(0.0)).cast("float").alias(f"val{m}") for m in models]
+    of_pairs = full.select(_pair_key("v", "w").alias("key"), *gain, (F.col("n0") + F.col("n1") > F.lit(total / HOT)).alias("hot"))
+    table = stash(of_words.union(of_pairs), "values")
+    drop_stash(pairs)
+    return table.drop("hot"), table.where("hot").drop("hot"), unseen
+
+
+def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame, unseen: list[float], passes: int = PASSES) -> DataFrame:
+    """(t, nll, n) of each different text with a word: t is xxhash64 of the text, n its words and the end."""
+    spark = docs.sparkSession
+    known = hot.toArrow()  # at most 2 * HOT rows
+    key = known.column("key").to_numpy().view(np.uint64)
+    by = np.argsort(key)
+    shared = spark.sparkContext.broadcast((key[by], np.stack([known.column(f"val{m}").to_numpy()[by].astype(np.float64) for m in (0, 1)])))
 
-def models(counts: DataFrame) -> np.ndarray:
-    """Row f: the table for documents of fold f, from the other fold's counts; from all where that has none."""
-    counts = stash(counts, "counts")
+    def run(batches):
+        hashes, seen = _Hashes(), set()
+        keys, vals = shared.value
+        for b in batches:
+            t_, key_, n_, ll_, w_ = [], [], [], [], []
+            for t, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
+                if t in seen:
+                    continue
+                seen.add(t)
+                s = sequence(raw.as_py(), hashes)
+                if not len(s):
+                    continue
+                model = 1 - (t & 1)
+                grams, n = np.unique(np.concatenate((s[:-1], pair_key(s[:-1], s[1:]))), return_counts=True)
+                at = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
+                found = keys[at] == grams if len(keys) else np.zeros(len(grams), bool)
+                ll = float((vals[model][at[found]] * n[found]).sum()) + (len(s) - 1) * unseen[model]
+                cold = grams[~found]
+                t_.append(np.full(len(cold) + 1, t, np.int64))
+                key_.append(np.append(cold, np.array([t], np.int64).view(np.uint64)).view(np.int64))
+                n_.append(np.append(n[~found], 0).astype(np.int32))
+                ll_.append(np.append(np.zeros(len(cold)), ll))
+                w_.append(np.append(np.zeros(len(cold), np.int64), len(s) - 1))
+                if sum(map(len, t_)) >= 1 << 16:
+                    yield _batch(t_, key_, n_, ll_, w_)
+                    t_, key_, n_, ll_, w_ = [], [], [], [], []
+            if t_:
+                yield _batch(t_, key_, n_, ll_, w_)
+
+    texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     out = []
-    for f in (0, 1):
-        other = counts.where(F.col("fold") == 1 - f).select("g", "n")
-        if other.isEmpty():
-            other = counts.groupBy("g").agg(F.sum("n").alias("n"))
-        out.append(model(other))
-    return np.stack(out)
-
-
-def model(counts: DataFrame) -> np.ndarray:
-    """log p of the last character of each code, A**4 float32. Without counts: uniform."""
-    tables = {ORDER: stash(counts, "counts4")}
-    for n in range(ORDER - 1, 0, -1):  # how many different characters precede each shorter run
-        tables[n] = stash(tables[n + 1].groupBy((F.col("g") % A**n).alias("g")).agg(F.count("*").alias("n")), f"counts{n}")
-    p = np.full(A, 1.0 / A, np.float32)
-    for n in range(1, ORDER + 1):
-        t = tables[n]
-        few = {r.n: r.k for r in t.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
-        n1, n2, n3, n4 = (float(few.get(k, 0)) for k in (1, 2, 3, 4))
-        y = n1 / max(1.0, n1 + 2 * n2)
-        d = [min(max(v, 0.0), float(k + 1)) for k, v in enumerate((1 - 2 * y * n2 / max(1.0, n1), 2 - 3 * y * n3 / max(1.0, n2), 3 - 4 * y * n4 / max(1.0, n3)))]
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        own = t.select("g", F.col("n").cast("double").alias("n"), off.alias("off"), F.floor(F.col("g") / A).cast("int").alias("context"))
-        contexts = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("freed"))
-        seen = own.join(contexts, "context").select("g", ((F.col("n") - F.col("off")) / F.col("total")).alias("alpha")).toPandas()  # at most A**n rows
-        back = contexts.select("context", (F.col("freed") / F.col("total")).alias("lam")).toPandas()
-        lam = np.ones(A ** (n - 1), np.float32)
-        lam[back["context"].to_numpy(np.int64)] = back["lam"].to_numpy()
-        p = np.tile(p, A) if n > 1 else p  # the shorter history's estimate for each longer one
-        p = p * np.repeat(lam, A)
-        p[seen["g"].to_numpy(np.int64)] += seen["alpha"].to_numpy().astype(np.float32)
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
-
-
-def scorer(spark, table: np.ndarray):
-    """A column function: (text, fold) -> struct(nll double, n long), over the whole text."""
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.arrow_udf("nll double, n bigint")
-    def score(text: pa.Array, fold: pa.Array) -> pa.Array:
-        logs, fold = shared.value, fold.to_pylist()
-        nll, n = np.zeros(len(text)), np.zeros(len(text), np.int64)
-        for i, t in enumerate(text):
-            if t.is_valid:
-                c = codes(t.as_py())
-                nll[i], n[i] = -float(logs[fold[i]][c].sum(dtype=np.float64)), len(c)
-        return pa.StructArray.from_arrays([pa.array(nll), pa.array(n)], names=["nll", "n"])
-
-    return score
+    for k in range(passes):
+        part = texts.where(F.pmod(F.shiftright("t", 1), F.lit(passes)) == k)
+        grams = part.mapInArrow(run, "t bigint, key bigint, n int, ll double, words bigint")
+        value = F.when(F.col("t") % 2 == 0, F.col("val1")).otherwise(F.col("val0"))
+        sums = grams.join(table, "key", "left").groupBy("t").agg(F.sum(F.col("ll") + F.col("n") * F.coalesce(value, F.lit(0.0))).alias("ll"), F.sum("words").alias("words"), F.count_if(F.col("words") > 0).alias("tasks"))
+        out.append(stash(sums.select("t", (-F.col("ll") / F.col("tasks")).alias("nll"), (F.col("words") / F.col("tasks")).cast("long").alias("n")), f"scores{k}"))
+        release(spark)
+    shared.unpersist()
+    return reduce(DataFrame.union, out)
+
+
+def _batch(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["t", "key", "n", "ll", "words"])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Documents whose labels all say good and none says toxic."""
-    per = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("tid")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return per.where("q = 1 and t = 0").select("tid")
+    per = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    return per.where("q = 1 and t = 0").select("id")
 
 
 def smoothed(nll: Column, n: Column, mean: Column) -> Column:
-    return (nll + F.lit(PRIOR_CHARS) * mean) / (n + F.lit(PRIOR_CHARS))
+    return (nll + F.lit(PRIOR_WORDS) * mean) / (n + F.lit(PRIOR_WORDS))
 
 
 def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
-    """(lang, mean, worst) from trusted rows of (lang, nll, n); a row with every = true holds for other languages."""
+    """(every, lang, mean, worst) from trusted rows of (lang, nll, n); the row with every = true holds for other languages."""
     both = scores.select(F.lit(False).alias("every"), "lang", "nll", "n").union(scores.select(F.lit(True), F.lit(None).cast("string"), "nll", "n"))
     means = both.groupBy("every", "lang").agg((F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
     means = stash(means, "means")
@@ -149,34 +262,41 @@ def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """docs and nq_nll, nq_n, nq_score, nq_worst, nq_kept for each row.
-
-    A text is kept if its mean negative log-likelihood per character, smoothed by
-    PRIOR_CHARS, is at most the quantile of its language's trusted documents. A
-    language without any is held to the quantile of all. Null and empty texts are
-    not kept. Without trusted documents every text that isn't empty is kept.
-    Repeated rows get equal results, null ids are never trusted, and further
-    columns, whatever their names, come back unchanged.
+    """(id, lang, k1, k2, n, nll, score, worst, kept) for each row of docs.
+
+    A text is kept if its mean negative log-likelihood per word, smoothed by
+    PRIOR_WORDS, is at most (ties included) the quantile of its language's trusted
+    documents. A language without any is held to the quantile of all. Texts are
+    read whole. Null and empty texts, and those of white space, are not kept.
+    Without trusted documents every text with a word is kept. Repeated rows get
+    equal results, null ids are never trusted, null languages are one language,
+    and other columns are left out. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    trusted = trusted_ids(labels)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted.hint("merge"), F.col("id") == F.col("tid"), "left_semi")
-    measure = scorer(spark, models(gram_counts(texts.select("text", fold_of(F.col("id")).alias("fold")))))
-    score = measure(F.col(text_col), fold_of(F.col(id_col)))
-    scored = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), score.alias("s"))
-    own = stash(scored.select("id", "lang", "s.nll", "s.n"), "scores").join(trusted, F.col("id") == F.col("tid"), "left_semi")
+    text = F.col(text_col).cast("string")
+    trusted = stash(trusted_ids(labels), "trusted")
+    good = matched(docs.select(F.col(id_col).alias("id"), text.alias("text")), trusted, ["id"], "left_semi")
+    table, hot, unseen = values(pair_counts(good.select("text")))
+    scores = stash(text_scores(docs, text_col, table, hot, unseen), "scores")
+    drop_stash(table)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), *text_key(text))
+    scored = rows.join(scores, F.col("k1") == F.col("t"), "left").select("id", "lang", "k1", "k2", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("nll", F.lit(0.0)).alias("nll"))
+    scored = stash(scored, "scored")
+    own = matched(scored, trusted, ["id"], "left_semi")
     limits = stash(thresholds(own.where("n > 0"), quantile), "thresholds")
-    per = limits.where("not every").select(F.col("lang").alias("nq_lang"), F.struct("mean", "worst").alias("nq_own"))
-    rest = limits.where("every").select(F.struct("mean", "worst").alias("nq_rest"))  # one row, or none
-    rest = spark.range(1).join(rest, F.lit(True), "left").select("nq_rest")
-    got = docs.withColumn("nq_s", score).join(per, F.col(lang_col).eqNullSafe(F.col("nq_lang")), "left").join(F.broadcast(rest), F.lit(True), "left")
-    limit = F.coalesce("nq_own", "nq_rest")
-    value = smoothed(F.col("nq_s.nll"), F.col("nq_s.n"), limit["mean"])
-    got = got.withColumn("nq_nll", F.col("nq_s.nll")).withColumn("nq_n", F.col("nq_s.n")).withColumn("nq_score", value).withColumn("nq_worst", limit["worst"])
-    kept = (F.col("nq_n") > 0) & F.coalesce(F.col("nq_score") <= F.col("nq_worst"), F.lit(True))
-    return got.withColumn("nq_kept", kept).drop("nq_s", "nq_lang", "nq_own", "nq_rest")
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
-    """The kept rows of docs, with the same columns."""
-    return judge(docs, labels, **more).where("nq_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    per = limits.where("not every").select(F.col("lang").alias("of"), F.struct("mean", "worst").alias("own"))
+    rest = limits.where("every").first()
+    other = F.struct(F.lit(rest.mean).alias("mean"), F.lit(rest.worst).alias("worst")) if rest else F.lit(None).cast("struct<mean:double,worst:double>")
+    got = scored.join(per, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("limit", F.coalesce("own", other))
+    got = got.select("id", "lang", "k1", "k2", "n", "nll", smoothed(F.col("nll"), F.col("n"), F.col("limit.mean")).alias("score"), F.col("limit.worst").alias("worst"))
+    return got.withColumn("kept", (F.col("n") > 0) & F.coalesce(F.col("score") <= F.col("worst"), F.lit(True)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **more) -> DataFrame:
+    """The rows of docs that judge() keeps, with the same columns, whatever their names.
+
+    Rows of equal text and language stay or go together; null and empty texts go.
+    """
+    key = F.xxhash64(F.coalesce("lang", F.lit("")), F.col("lang").isNull()).alias("of_lang")
+    bad = judge(docs, labels, id_col, text_col, lang_col, **more).where("not kept").select("k1", "k2", key).distinct()
+    keyed = docs.select(row_of(docs), F.col(lang_col).cast("string").alias("lang"), *text_key(F.col(text_col).cast("string"))).select("row", "k1", "k2", key)
+    return matched(keyed, stash(bad, "rejected"), ["k1", "k2", "of_lang"], "left_anti").select("row.*")

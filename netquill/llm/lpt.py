@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquill.llm.common import stash
+from netquill.llm.common import row_of, stash
 
 BUNDLES = 16384
 #: Parts of a shard within which slots are numbered by one task each.
@@ -59,14 +59,15 @@ def shard_plan(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     """(id, size, text_crc32, shard, slot) for each row of docs.
 
     size is the text's UTF-8 bytes plus 1; a null text has none, CRC 0, and nulls
-    form one group. Rows with equal texts, repeated rows too, share a shard. Slots
+    form one group. Rows with equal texts, repeated rows too, share a shard, and
+    texts count by their whole length; ties of size go by the text's hashes. Slots
     of a shard run from 0 without gaps, in an order fixed by id and text. Null
     ids are allowed. Other columns are left out. An empty table gives an empty
     result.
     """
     rows = stash(docs.select(F.col(id_col).alias("id"), *group_key(F.col(text_col))), "sizes")
     groups = rows.groupBy("k1", "k2", "size").agg(F.sum("size").alias("bytes"))
-    part = F.pmod(F.xxhash64("id"), F.lit(SLOT_PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("id", "k1", "k2"), F.lit(SLOT_PARTS)).cast("int")
     got = _with_shard(rows, groups, shards).withColumn("part", part)
     counts = got.groupBy("shard", "part").agg(F.count("*").alias("n"))  # at most shards * SLOT_PARTS rows
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +78,15 @@ def shard_plan(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
 
 
 def with_shards(docs: DataFrame, shards: int = 16, text_col: str = "text", name: str = "shard") -> DataFrame:
-    """docs and the column name with each row's shard."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *group_key(F.col(text_col)))
+    """docs and the column name with each row's shard; a column that already has this name is replaced.
+
+    Rows with equal texts, repeated rows too, share a shard; null texts form one
+    group, and an empty text another. Texts count by their whole length, and ties
+    of size go by the text's hashes, so reruns agree. Null ids and further
+    columns, whatever their names, come back unchanged. An empty table gives an
+    empty result.
+    """
+    rows = docs.select(row_of(docs), *group_key(F.col(text_col)))
     groups = stash(rows.groupBy("k1", "k2", "size").agg(F.sum("size").alias("bytes")), "groups")
-    return _with_shard(rows, groups, shards).select("row.*", F.col("shard").alias(name))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != name.lower()]
+    return _with_shard(rows, groups, shards).select(*kept, F.col("shard").alias(name))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquill.llm.common import n_words, stash
+from netquill.llm.common import n_words, row_of, stash
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
@@ -58,8 +58,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Null texts have size 0; null sources form one source; rows without an id
     draw by their size alone; repeated rows get equal decisions. A source
-    without words has target 0 and is not emitted. Other columns are left out.
-    An empty table gives an empty result.
+    without words has target 0 and is not emitted. Texts are counted whole. Sources
+    whose ceiling comes at the same level (ties) go by name. Other columns are left
+    out. An empty table gives an empty result.
     """
     rows = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
     got = _planned(rows, "id", seed, **targets)
@@ -67,8 +68,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **targets) -> DataFrame:
-    """docs with each row repeated as mix_plan() decides; the same columns."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(whole, F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    """docs with each row repeated as mix_plan() decides; the same columns, whatever their names.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are taken as
+    mix_plan() says: a text without words has size 0 and still draws its copies.
+    """
+    rows = docs.select(row_of(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     got = _planned(rows, "id", seed, **targets)
     return got.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).select("row.*")

@@ -16,10 +16,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    got = kneser_ney.judge(docs, table(spark, sf_dir, "labels"))
-    perplexity = F.when(F.col("nq_n") > 0, F.exp(F.col("nq_nll") / F.col("nq_n")))
-    return got.select("doc_id", "lang", F.col("nq_n").alias("n_scored"), F.round(perplexity, 6).alias("perplexity"), F.round("nq_score", 6).alias("score"), F.col("nq_worst").alias("threshold"), F.col("nq_kept").alias("kept"))
+    got = kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    perplexity = F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n")))
+    return got.select(F.col("id").alias("doc_id"), "lang", F.col("n").alias("n_scored"), F.round(perplexity, 4).alias("perplexity"), F.round("score", 6).alias("score"), F.col("worst").alias("threshold"), "kept")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +105,19 @@ def _parsed(name: str, source: str, keep: str) -> str:
  {name} AS (SELECT *, {_ADDRESS.format(h='host', p='path', q='query')} AS node, {_rule_sql('host', 'path')} AS r FROM {name}0)"""
 
 
-_LINK = r"""coalesce(nullif(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), nullif(regexp_extract(html, '(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1), ''))"""
-_HOP = r"""nullif(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>]+)', 1), '')"""
-OP9_SQL = f"""
+_LINKS = [
+    r"""(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)""", r"""(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b""",
+    r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)""", r"""(?i)<meta\b[^>]*\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b""",
+]
+OP9_SQL = rf"""
 WITH RECURSIVE {_parsed('p', 'pages', 'page_id, url, html')},
-l0 AS (SELECT node AS src, host AS own, unnest([{_LINK}, {_HOP}]) AS href FROM p WHERE node IS NOT NULL),
-l1 AS (SELECT src, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN 'http://' || own || href END AS url FROM l0 WHERE href IS NOT NULL),
-{_parsed('t', 'l1', 'src, url')},
+l0 AS (SELECT DISTINCT node AS src, host AS own, path AS base, unnest({' || '.join(f"regexp_extract_all(html, '{x}', 1)" for x in _LINKS)}) AS href FROM p WHERE node IS NOT NULL AND html IS NOT NULL),
+l1 AS (SELECT src, own, base, regexp_replace(regexp_replace(href, '(?i)&(amp|#38|#x26);', '&', 'g'), '#.*$', '') AS link FROM l0),
+l2 AS (SELECT *, regexp_extract(link, '^([^?]*)', 1) AS cut FROM l1),
+l3 AS (SELECT *, substr(link, length(cut) + 1) AS query0, CASE WHEN starts_with(cut, '/') THEN cut ELSE CASE WHEN contains(base, '/') THEN regexp_replace(base, '[^/]*$', '') ELSE '/' END || cut END AS full0 FROM l2),
+l4 AS (SELECT *, CASE WHEN contains(full0, '/.') THEN list_reduce(string_split(full0, '/')[2:], lambda a, x: CASE WHEN x = '.' THEN a WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END, '') || CASE WHEN regexp_matches(full0, '/\.\.?$') THEN '/' ELSE '' END ELSE full0 END AS plain FROM l3),
+l5 AS (SELECT src, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link = '' OR own = '' OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(link, '//') THEN 'http:' || link WHEN cut = '' THEN 'http://' || own || base || query0 ELSE 'http://' || own || plain || query0 END AS url FROM l4),
+{_parsed('t', 'l5', 'src, url')},
 e AS (SELECT src AS a, node AS b FROM t WHERE node IS NOT NULL UNION SELECT node, src FROM t WHERE node IS NOT NULL),
 bad AS (SELECT DISTINCT node FROM p WHERE r[2] = 'block' AND node IS NOT NULL UNION SELECT node FROM t WHERE r[2] = 'block' AND node IS NOT NULL),
 reach AS (SELECT node FROM bad UNION SELECT e.b FROM reach JOIN e ON e.a = reach.node)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquill.llm.common import stash
+from netquill.llm.common import matched, row_of, stash, text_key
 from netquill.llm.components import components
 
 #: Rows of a trie bucket above which it is cut by further blocks.
@@ -32,6 +32,8 @@ BUCKET_ROWS = 50_000
 #: Rows a trie task gathers before it walks them (whole buckets).
 CHUNK_ROWS = 200_000
 SLICE = 1 << 16
+#: Hashes times words counted at once, 4 MB.
+GROUP_CELLS = 1 << 19
 #: Words of 64 bits that a pair is tested on before it becomes a candidate.
 CHECK_WORDS = 3
 #: Nodes of a loose component in one block; a task compares one block with itself or another.
@@ -65,15 +67,68 @@ def _mixed(h: np.ndarray, j: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprint_words(raw: bytes | None, shingle: int, n64: int) -> list[int]:
-    """n64 unsigned 64-bit words; a bit is set if it is in over half the hashes. No word: zeros."""
-    counts, total = [np.zeros(64, np.int64) for _ in range(n64)], 0
-    for h in _hashes(raw or b"", shingle):
-        total += len(h)
-        for j in range(n64):
-            x = h if j == 0 else _mixed(h, j)
-            counts[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return [int(np.packbits((c * 2 > total).astype(np.uint8), bitorder="little").view("<u8")[0]) if total else 0 for c in counts]
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """How often each bit is set over the first axis, as planes of binary digits: adders take three rows of one weight to a sum and a carry."""
+    planes = []
+    while True:
+        carries = []
+        while len(x) > 2:
+            m = len(x) // 3
+            a, b, c = x[:m], x[m : 2 * m], x[2 * m : 3 * m]
+            odd = a ^ b
+            carries.append((a & b) | (odd & c))
+            x = np.concatenate((odd ^ c, x[3 * m :]))
+        if len(x) == 2:
+            carries.append(x[:1] & x[1:])
+            x = x[:1] ^ x[1:]
+        planes.append(x[0])
+        if not carries:
+            return planes
+        x = np.concatenate(carries)
+
+
+def _bit_counts(x: np.ndarray) -> np.ndarray:
+    """x (rows, sets, words): the counts of each set's bits, (sets, words * 64)."""
+    counts = np.zeros((x.shape[1], x.shape[2] * 64), np.int64)
+    for k, plane in enumerate(_planes(x)):
+        counts += np.unpackbits(np.ascontiguousarray(plane).view(np.uint8), axis=1, bitorder="little").astype(np.int64) << k
+    return counts
+
+
+def majorities(hashes: list[np.ndarray], n64: int) -> np.ndarray:
+    """(sets, n64) words; a bit is set if it is in over half of the set's hashes. Sets of like size are counted at once."""
+    size = np.array([len(h) for h in hashes], np.int64)
+    out, order, i = np.zeros((len(hashes), n64), np.uint64), np.argsort(size, kind="stable"), 0
+
+    def put(sets: np.ndarray, counts: np.ndarray) -> None:
+        out[sets] = np.packbits((counts * 2 > size[sets][:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")
+
+    while i < len(order):
+        j, room = i + 1, GROUP_CELLS // n64
+        while j < len(order) and (j + 1 - i) * size[order[j]] <= room:
+            j += 1
+        sets, longest = order[i:j], int(size[order[j - 1]])
+        i = j
+        if longest * n64 > GROUP_CELLS:  # one very long set
+            h, counts = hashes[sets[0]], np.zeros((1, n64 * 64), np.int64)
+            for at in range(0, longest, SLICE):
+                part = h[at : at + SLICE]
+                counts += _bit_counts(np.stack([part if w == 0 else _mixed(part, w) for w in range(n64)], axis=1)[:, None, :])
+            put(sets, counts)
+        elif longest:
+            x = np.zeros((longest, len(sets), n64), np.uint64)
+            flat = np.concatenate([hashes[k] for k in sets])
+            n = size[sets]
+            of = np.repeat(np.arange(len(sets)), n)
+            row = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            for w in range(n64):
+                x[row, of, w] = flat if w == 0 else _mixed(flat, w)
+            put(sets, _bit_counts(x))
+    return out
+
+
+def _all_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
+    return np.concatenate([*_hashes(raw or b"", shingle), np.zeros(0, np.uint64)])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n64: int = 1) -> DataFrame:
@@ -82,8 +137,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n64:
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
-            got = np.array([fingerprint_words(t.as_py(), shingle, n64) for t in texts], np.uint64).reshape(-1, n64)
+            got = majorities([_all_hashes(t.as_py(), shingle) for t in b.column(1).cast(pa.large_binary())], n64)
             flat = pa.array(got.view(np.int64).reshape(-1))
             offsets = pa.array(np.arange(0, got.size + 1, n64, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "fp"])
@@ -93,29 +147,23 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n64:
 
 def shingle_set(raw: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct XXH64 of the k-word shingles."""
-    parts = list(_hashes(raw or b"", k))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return np.unique(_all_hashes(raw, k))
 
 
 def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n64: int) -> DataFrame:
-    """(id, key long, node long, fp array<long>) for each row: hashes of the text and of its shingle set, and the bits of the set."""
+    """(id, k1, k2, s1, s2 long, fp array<long>) for each row: keys of the text and of its shingle set, and the bits of the set."""
     kind = docs.schema[id_col].dataType
 
     def run(batches):
         for b in batches:
-            node, got = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, n64), np.uint64)
-            for i, t in enumerate(b.column(2).cast(pa.large_binary())):
-                h = shingle_set(t.as_py(), shingle)
-                node[i] = xxhash.xxh64_intdigest(h.tobytes(), 42)
-                for j in range(n64 if len(h) else 0):
-                    x = h if j == 0 else _mixed(h, j)
-                    c = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                    got[i, j] = np.packbits((c * 2 > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0]
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(3).cast(pa.large_binary())]
+            key = np.array([divmod(xxhash.xxh3_128_intdigest(h.tobytes()), 1 << 64) for h in sets], np.uint64).reshape(-1, 2)
+            got = majorities(sets, n64)
             fp = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, n64, dtype=np.int32)), pa.array(got.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), fp], names=["id", "key", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(np.ascontiguousarray(key[:, i]).view(np.int64)) for i in (0, 1)], fp], names=["id", "k1", "k2", "s1", "s2", "fp"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, f"id {kind.simpleString()}, key bigint, node bigint, fp array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), *text_key(text), text.alias("text")).mapInArrow(run, f"id {kind.simpleString()}, k1 bigint, k2 bigint, s1 bigint, s2 bigint, fp array<bigint>")
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray, lab: np.ndarray) -> np.ndarray:
@@ -307,11 +355,13 @@ def _walk(rows: pa.Table, width: int, budget: int, check_bits: int | None):
 def exact_edges(docs: DataFrame, text_col: str, shingle: int, loose: DataFrame, similarity: float) -> DataFrame:
     """Spanning edges (u, v) of the pairs in a loose component whose shingle sets have at least that Jaccard similarity.
 
-    loose: (node, component, key, fp), one row for each node. Every pair of a
-    component meets in one task, by blocks of BLOCK_NODES nodes.
+    loose: (node, component, k1, k2, fp), one row for each node and the key of one
+    of its texts. Every pair of a component meets in one task, by blocks of
+    BLOCK_NODES nodes.
     """
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    one = texts.join(loose, "key").groupBy("key", "node", "component").agg(F.first("text").alias("text"), F.first("fp").alias("fp"))
+    text = F.col(text_col).cast("string")
+    texts = matched(docs.select(*text_key(text), text.alias("text")), loose.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    one = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(loose, ["k1", "k2"])
 
     def sets(batches):
         for b in batches:
@@ -387,7 +437,7 @@ def _compare(key: tuple, group: list, similarity: float):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, width: int = 32, tables: int = 40, budget: int = 2, check: float | None = 0.24, similarity: float = 0.8) -> DataFrame:
-    """(id, fp array<long>, component_id) for each row of docs.
+    """(id, fp array<long>, component_id), and component, k1 and k2 where texts are compared, for each row of docs.
 
     Two texts link if their shingle sets have at least that Jaccard similarity,
     compared exactly. Compared are all pairs of a loose component: there two
@@ -396,22 +446,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (two sets of similarity 0.8 differ in 0.1515 of the bits on average).
     No pair below the similarity links; one that reaches it is missed with the
     probability that README.md tables. component_id is the smallest id
-    reachable, itself included. With tables=1, width=64 and check=None there is
-    no comparison, and links are exactly the pairs of fingerprints (in which a
+    reachable, itself included; component numbers the components, and k1 and k2
+    are the text's key. With tables=1, width=64 and check=None there is no
+    comparison, and links are exactly the pairs of fingerprints (in which a
     repeated shingle counts each time) within the budget.
 
     Null ids are allowed: they never lower a component_id and get null only if
     no linked row has an id. Null, empty and white-space texts have an all-zero
-    fingerprint and are equal to each other. Repeated rows get equal results. Other
-    columns are left out. An empty table gives an empty result.
+    fingerprint and are equal to each other. Texts are read whole. Repeated rows
+    get equal results. Other columns are left out. An empty table gives an empty
+    result.
     """
     n64 = -(-width * tables // 64)
     if check is None:
-        fps = stash(fingerprints(docs, id_col, text_col, shingle, n64), "fingerprints")
-        fps = fps.withColumn("node", F.col("fp")[0] if n64 == 1 else F.xxhash64("fp")).withColumn("key", F.lit(0).cast("long"))
+        if n64 != 1:
+            raise ValueError("several tables need a comparison")
+        fps = stash(fingerprints(docs, id_col, text_col, shingle, n64).withColumn("node", F.col("fp")[0]), "fingerprints")
+        classes = stash(fps.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp")), "classes")
     else:
         fps = stash(set_fingerprints(docs, id_col, text_col, shingle, n64), "fingerprints")
-    classes = stash(fps.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.min("key").alias("key")), "classes")
+        classes = fps.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.min(F.struct("k1", "k2")).alias("k"))
+        classes = stash(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "first", "fp", "k.k1", "k.k2"), "classes")
     per = 64 // width
     top = [F.expr(f"shiftleft(shiftrightunsigned(fp[{t // per}], {width * (t % per)}), {64 - width})") for t in range(tables)]
     chk = F.slice("fp", 1, CHECK_WORDS) if check is not None else F.lit(None).cast("array<bigint>")
@@ -419,13 +474,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = stash(trie_edges(nodes, width, budget, None if check is None else int(check * 64 * CHECK_WORDS)), "edges")
     linked = components(edges)
     if check is not None:
-        loose = stash(linked.join(classes.select("node", "key", "fp"), "node"), "loose")
+        loose = stash(linked.join(classes.select("node", "k1", "k2", "fp"), "node"), "loose")
         linked = components(stash(exact_edges(docs, text_col, shingle, loose, similarity), "exact_edges"))
     member = stash(linked.join(classes.select("node", "first"), "node"), "members")
     lowest = member.groupBy("component").agg(F.min("first").alias("lowest"))
-    named = member.join(lowest, "component").select("node", "lowest")
-    ids = stash(classes.select("node", "first").join(named, "node", "left").select("node", F.coalesce("lowest", "first").alias("component_id")), "component_ids")
-    return fps.join(ids, "node").select("id", "fp", "component_id")
+    named = member.join(lowest, "component").select("node", "component", "lowest")
+    own = [] if check is None else ["s1", "s2"]
+    ids = classes.select("node", "first", *own).join(named, "node", "left").select("node", *own, F.coalesce("component", "node").alias("component"), F.coalesce("lowest", "first").alias("component_id"))
+    ids = stash(ids, "component_ids")
+    if check is None:
+        return fps.join(ids, "node").select("id", "fp", "component_id")
+    return fps.join(ids, ["s1", "s2"]).select("id", "fp", "component_id", "component", "k1", "k2")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each group of near copies, with docs' columns, whatever their names.
+
+    Rows are told apart by id and text, so a row stays if only its id is that of a
+    near copy. Of a group the smallest id stays, any id before none, ties by the
+    text's key; of rows equal in both the one whose other columns hash lowest.
+    """
+
+    def keys(id_: Column) -> list[Column]:
+        known = [F.coalesce(id_.cast("string"), F.lit("")), id_.isNull(), F.col("k1"), F.col("k2")]
+        return [F.xxhash64(*known).alias("r1"), F.xxhash64(F.lit(1), *known).alias("r2")]
+
+    got = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **how)
+    got = got.groupBy("component", "id", "k1", "k2").agg(F.count("*").alias("n")).select("component", F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2").alias("x"), "n", *keys(F.col("id")))
+    got = stash(got, "rows")
+    best = got.groupBy("component").agg(F.min(F.struct("x", "n", "r1", "r2")).alias("b"), F.count("*").alias("m"))
+    best = stash(best.where((F.col("m") > 1) | (F.col("b.n") > 1)).select("component", "b.r1", "b.r2", "b.n"), "best")
+    go = got.join(best.select("component", F.col("r1").alias("b1"), F.col("r2").alias("b2")), "component").where((F.col("r1") != F.col("b1")) | (F.col("r2") != F.col("b2")))
+    keyed = docs.select(row_of(docs), F.col(id_col).alias("id"), *text_key(F.col(text_col).cast("string"))).select("row", *keys(F.col("id")))
+    left = matched(keyed, stash(go.select("r1", "r2"), "copies"), ["r1", "r2"], "left_anti")
+    twice = stash(best.where("n > 1").select("r1", "r2"), "twice")
+    once = matched(left, twice, ["r1", "r2"], "left_anti").select("row")
+    several = matched(left, twice, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return once.union(several).select("row.*")
 
 
 def hex16(word: Column) -> Column:

@@ -1,26 +1,30 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-Of every `window - K + 1` consecutive K-word hashes the least is kept, on both
-sides; two texts that share `window` words share such a hash. Documents'
-hashes are joined with the benchmark's; for each (document, item) pair that
-meets, the item is laid along the document on the diagonals of its hits and
-extended word by word, so a hash that merely collides reports nothing. Items of
-fewer than `window` words, for which winnowing guarantees nothing, are looked up
-by the hash of the whole item among all word runs of that length.
+Of every `window - K + 1` consecutive K-word hashes the least is the window's
+fingerprint, on both sides, so a document's window that equals an item's has a
+fingerprint of the benchmark. Each such hit is extended to its whole window, and
+the window's words are joined with the benchmark's windows, so a hash that merely
+collides reports nothing. Items of fewer than `window` words, for which winnowing
+guarantees nothing, are looked up by the hash of the whole item among all word
+runs of that length.
+
+Up to LITERALS benchmark fingerprints stand in the plan itself, and one scan of
+the documents finds all hits; more are joined, and the texts that met one are
+fetched again.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquill.llm.common import ascii_lower, let, stash, upto
+from netquill.llm.common import ascii_lower, let, matched, row_of, stash, text_key, upto
 
 #: Letters a-z, digits and every character beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 5
+#: Most fingerprints that a plan holds.
+LITERALS = 16_384
 
 
 def _words(text: Column) -> Column:
@@ -31,71 +35,80 @@ def _grams(words: Column, k: int) -> Column:
     return F.transform(upto(F.size(words) - (k - 1)), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
 
 
-def _picked(words: Column, window: int, short: list[int]) -> Column:
-    """The winnowed hashes of a text, and all hashes of runs of the short items' lengths."""
+def _least(words: Column, window: int) -> Column:
+    """The least K-word hash of each window, by the window's first word."""
     k = min(K, window)
     wide = window - k + 1
-
-    def least(h: Column) -> Column:
-        cells = [lambda i, j=j: F.get(h, i + j) for j in range(wide)]
-        return F.transform(upto(F.size(h) - (wide - 1)), lambda i: F.least(*[c(i) for c in cells]) if wide > 1 else cells[0](i))
-
-    parts = [let(_grams(words, k), least), *[_grams(words, n) for n in short]]
-    return F.array_distinct(reduce(lambda a, b: F.concat(a, b), parts))
+    cells = [lambda h, i, j=j: F.get(h, i + j) for j in range(wide)]
+    return let(_grams(words, k), lambda h: F.transform(upto(F.size(h) - (wide - 1)), lambda i: F.least(*[c(h, i) for c in cells]) if wide > 1 else cells[0](h, i)))
 
 
-def _starts(doc: Column, item: Column, d: Column, need: Column) -> Column:
-    """Places i of the item from which need words equal the document's at i + d."""
-    equal = F.transform(upto(F.size(item)), lambda i: F.coalesce(F.get(doc, i + d) == F.get(item, i), F.lit(False)))
-    return let(equal, lambda e: F.filter(upto(F.size(item) - need + 1), lambda i: F.forall(F.slice(e, i + 1, need), lambda x: x)))
+def _candidates(words: Column, window: int, short: list[int], wanted: list[int] | None) -> Column:
+    """(at, n, run) for each run of words whose hash is wanted (None: all runs): windows, and runs of the short items' lengths."""
 
+    def runs(hashes: Column, n: int) -> Column:
+        cell = lambda at: F.struct(at.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(words, at + 1, n), " ").alias("run"))
+        if wanted is None:
+            return F.transform(upto(F.size(hashes)), cell)
+        places = F.filter(F.transform(hashes, lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull())
+        return F.transform(places, cell)
 
-def _hit_places(doc: Column, item: Column, found: Column, window: int) -> Column:
-    """Distinct places of document words inside an occurrence of one of the item's windows."""
-    need = F.least(F.size(item), F.lit(window))
+    parts = [let(_least(words, window), lambda h: runs(h, window)), *[let(_grams(words, n), lambda h, n=n: runs(h, n)) for n in short]]
+    return F.concat(*parts)
 
-    def laid(k: int) -> Column:
-        own, theirs = _grams(doc, k), _grams(item, k)
-        at = lambda h: F.filter(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))), lambda s: F.array_contains(found, s.h))
-        diagonals = let(at(theirs), lambda t: F.flatten(F.transform(at(own), lambda a: F.transform(F.filter(t, lambda b: b.h == a.h), lambda b: a.i - b.i))))
-        return let(F.array_distinct(diagonals), lambda ds: F.flatten(F.transform(ds, lambda d: let(_starts(doc, item, d, need), lambda s: F.flatten(F.transform(s, lambda i: F.transform(upto(need), lambda o: i + d + o)))))))
 
-    cases = F.when(F.size(item) >= window, laid(min(K, window)))
-    for n in range(1, window):
-        cases = cases.when(F.size(item) == n, laid(n))
-    return F.array_distinct(cases)
+def _fingerprints(words: Column, window: int, short: list[int]) -> Column:
+    return F.array_distinct(F.concat(_least(words, window), *[_grams(words, n) for n in short]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """(id, key, n_words, n_hit, items array<string>) for each row of docs.
-
-    key is the MD5 of the text. Null and word-free texts have no words and no
-    hits. Repeated rows get equal results, and equal texts are judged once.
-    Items that are null or have no words are left out; an item without an id
-    counts for n_hit and is not in items. Other columns are left out. Empty
-    tables on either side are allowed.
+    """(id, k1, k2, n_words, n_hit, items array<string>) for each row of docs.
+
+    k1 and k2 are the text's key. Null and word-free texts have no words and no
+    hits. Texts are read whole; what is done for one grows with its length alone,
+    however often a passage repeats in it or among the items. Repeated rows get
+    equal results, and equal texts are judged once. Items that are null or have no
+    words are left out; an item without an id counts for n_hit and is not in
+    items; items with equal windows (ties) are all named. Other columns are left
+    out. Empty tables on either side are allowed.
     """
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    items = stash(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).distinct().select("item", _words(F.col("t")).alias("iw")).where(F.size("iw") > 0).withColumn("n", F.size("iw")), "items")
+    words = _words(F.col(text_col))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), _words(F.col(item_text_col)).alias("iw")).where(F.size("iw") > 0)
+    items = stash(items.withColumn("n", F.least(F.size("iw"), F.lit(window))), "items")
     short = sorted(r.n for r in items.where(F.col("n") < window).select("n").distinct().collect())  # fewer than window
-    own = items.groupBy("iw").agg(F.collect_set("item").alias("item_ids"))
-    own = stash(own.withColumn("item_key", F.xxhash64("iw")).withColumn("n", F.size("iw")), "texts")
-    wanted = own.select("item_key", F.explode(F.when(F.col("n") >= window, let(F.col("iw"), lambda w: _picked(w, window, []))).otherwise(reduce(lambda c, n: c.when(F.col("n") == n, _grams(F.col("iw"), n)), short, F.when(F.lit(False), F.array().cast("array<bigint>"))))).alias("h"))
-
-    picked = let(_words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _picked(w, window, short).alias("hs")))
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), picked.alias("p"))
-    rows = stash(rows.select("id", "key", F.col("p.n_words").alias("n_words"), "p.hs"), "picked")
-    met = rows.select("key", F.explode("hs").alias("h")).join(wanted, "h").groupBy("key", "item_key").agg(F.collect_set("h").alias("found"))
-    met = stash(met, "met")
-    texts = docs.select(key.alias("key"), F.col(text_col).alias("t")).join(met.select("key").distinct().hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
-    texts = texts.select("key", _words(F.col("t")).alias("dw"))
-    laid = met.join(texts, "key").join(own, "item_key").select("key", "item_ids", let(F.struct("dw", "iw", "found"), lambda s: _hit_places(s.dw, s.iw, s.found, window)).alias("hits")).where(F.size("hits") > 0)
-    per = laid.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
-    return rows.select("id", "key", "n_words").join(stash(per, "hits"), "key", "left").select("id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    starts = F.transform(upto(F.size("iw") - F.col("n") + 1), lambda i: F.array_join(F.slice("iw", i + 1, F.col("n")), " "))
+    windows = items.select("item", F.explode(starts).alias("run")).groupBy("run").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+    windows = stash(windows, "windows")
+    prints = F.when(F.col("n") >= window, _least(F.col("iw"), window))
+    for n in short:
+        prints = prints.when(F.col("n") == n, _grams(F.col("iw"), n))
+    wanted = stash(items.select(F.explode(prints).alias("h")).distinct(), "wanted")
+    few = [r.h for r in wanted.limit(LITERALS + 1).collect()]
+
+    if len(few) <= LITERALS:
+        found = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _candidates(w, window, short, few).alias("runs")))
+        rows = stash(docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), found.alias("f")).select("id", "k1", "k2", "f.n_words", "f.runs"), "found")
+        met = rows.where(F.size("runs") > 0).groupBy("k1", "k2").agg(F.first("runs").alias("runs"))
+    else:
+        picked = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _fingerprints(w, window, short).alias("hs")))
+        rows = stash(docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), picked.alias("p")).select("id", "k1", "k2", "p.n_words", "p.hs"), "picked")
+        keys = stash(rows.select("k1", "k2", F.explode("hs").alias("h")).join(wanted, "h").select("k1", "k2").distinct(), "met")
+        texts = matched(docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("t")), keys, ["k1", "k2"], "left_semi")
+        met = texts.groupBy("k1", "k2").agg(F.first("t").alias("t")).select("k1", "k2", let(_words(F.col("t")), lambda w: _candidates(w, window, short, None)).alias("runs"))
+    hits = met.select("k1", "k2", F.explode("runs").alias("r")).select("k1", "k2", "r.*").join(windows, "run")
+    hits = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("at"), F.collect_set("item_ids").alias("items"))
+    places = F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
+    hits = stash(hits.select("k1", "k2", F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items")), "hits")
+    got = rows.select("id", "k1", "k2", "n_words").join(hits, ["k1", "k2"], "left")
+    return got.select("id", "k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of docs without any hit, with the same columns."""
-    bad = contamination(docs, benchmark, id_col, text_col, **more).where("n_hit > 0").select(F.col("key").alias("nq_key")).distinct()
-    keyed = docs.withColumn("nq_own_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return keyed.join(bad.hint("merge"), F.col("nq_own_key") == F.col("nq_key"), "left_anti").drop("nq_own_key")
+    """The rows of docs without any hit, with the same columns, whatever their names.
+
+    Decided by contamination(): rows with null, empty or word-free texts stay,
+    repeated rows stay or go together, and without items every row stays.
+    """
+    bad = contamination(docs, benchmark, id_col, text_col, **more).where("n_hit > 0").select("k1", "k2").distinct()
+    keyed = docs.select(row_of(docs), *text_key(F.col(text_col)))
+    return matched(keyed, stash(bad, "contaminated"), ["k1", "k2"], "left_anti").select("row.*")

@@ -134,7 +134,7 @@ def test_near_duplicates_decide_on_the_shingle_sets(spark, block, monkeypatch):
     def word():
         return f"w{rng.integers(10**9)}"
 
-    for k in range(120):  # 96 shingles, of which t differ: 86 of 106 for t = 10, 85 of 107 for t = 11, 84 of 108 for t = 12
+    for k in range(120 if block == 2 else 3_000):  # 96 shingles, of which t differ: 86 of 106 for t = 10, 85 of 107 for t = 11, 84 of 108 for t = 12
         words = [word() for _ in range(100)]
         t = (10, 11, 12)[k % 3]
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 100 - t] + [word() for _ in range(t)]))]
@@ -151,9 +151,65 @@ def test_near_duplicates_decide_on_the_shingle_sets(spark, block, monkeypatch):
     got = {r.id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     above = [i for i in want if want[i] != i]
     assert all(got[i] == i for i in want if want[i] == i)
+    print(f"{len(above)} pairs of 0.8 or more, {sum(got[i] == want[i] for i in above)} found")
     assert sum(got[i] == want[i] for i in above) >= 0.97 * len(above)
 
 
+def test_bit_majorities_against_counts(monkeypatch):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(simhash, "SLICE", 300)
+    sets = [rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (0, 1, 2, 3, 7, 50, 51, 400, 1000)]
+    for cells in (1 << 19, 600):
+        monkeypatch.setattr(simhash, "GROUP_CELLS", cells)
+        got = simhash.majorities(sets, 3)
+        for s_, row in zip(sets, got):
+            for w in range(3):
+                h = s_ if w == 0 else simhash._mixed(s_, w)
+                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+                assert int(row[w]) == sum(1 << i for i in range(64) if len(s_) and bits[i] * 2 > len(s_))
+
+
+def test_near_copies_of_real_documents_are_found(spark):
+    """All pairs of similarity 0.8 or more that share one of the texts' rarer shingles, by an inverted index."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: simhash.shingle_set((r.text or "").encode(), 5) for r in rows}
+    first = {}
+    for i in sorted(sets):  # one text of each shingle set
+        first.setdefault(sets[i].tobytes(), i)
+    ids = sorted(first.values())
+    df = Counter(np.concatenate([sets[i] for i in ids]).tolist())
+    index, pairs = defaultdict(list), set()
+    for i in ids:  # prefix filter: of n shingles in order of rarity, similar sets share one of the first n - ceil(0.8 n) + 1
+        s_ = sorted(sets[i].tolist(), key=lambda h: (df[h], h))
+        mine = set()
+        for h in s_[: len(s_) - -(-4 * len(s_) // 5) + 1]:
+            mine.update(index[h])
+            index[h].append(i)
+        for j in mine:
+            a, b = sets[i], sets[j]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= 0.8 * (len(a) + len(b) - both):
+                pairs.add((j, i))
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    print(f"{len(pairs)} pairs, {found} found")
+    assert len(pairs) > 40 and found >= 0.98 * len(pairs)
+
+
+def test_one_of_each_group_stays(spark):
+    rng = np.random.default_rng(12)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))
+    a, b, c, d = text(), text(), text(), text()
+    near = a + " more"
+    rows = [(0, a, 1), (1, a, 2), (1, b, 3), (None, a, 4), (None, c, 5), (None, c, 5), (5, d, 6), (5, d, 7), (5, near, 8), (6, None, 9), (7, "", 10), (8, " ", 11)]
+    names = "doc_id long, text string, nq_id long, component long, k1 long, r1 long, row long, n long, `a.b` long"
+    docs = spark.createDataFrame([(i, t, x, x, x, x, x, x, x) for i, t, x in rows], names)
+    got = simhash.first_of_groups(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(0, a), (1, b), (None, c), (5, d), (6, None)])
+    assert simhash.first_of_groups(docs.where("false")).count() == 0
+
+
 def test_simhash_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
@@ -161,51 +217,87 @@ def test_simhash_empty(empty):
 # 2 --------------------------------------------------------------------------
 
 
-def brute_kn(samples, order=4):
-    """Interpolated modified Kneser-Ney over character classes, from dictionaries."""
-    grams = Counter()
-    for t in samples:
-        for g in kneser_ney.codes(t).tolist():
-            grams[tuple(g // kneser_ney.A ** (order - 1 - i) % kneser_ney.A for i in range(order))] += 1
-    tables = {order: grams}
-    for n in range(order - 1, 0, -1):
-        tables[n] = Counter(g[1:] for g in tables[n + 1])
-    discount = {}
-    for n, t in tables.items():
-        k = Counter(t.values())
-        y = k[1] / max(1, k[1] + 2 * k[2])
-        discount[n] = [min(max(v, 0), i + 1) for i, v in enumerate((1 - 2 * y * k[2] / max(1, k[1]), 2 - 3 * y * k[3] / max(1, k[2]), 3 - 4 * y * k[4] / max(1, k[3])))]
-
-    def p(g):
-        if not g:
-            return 1 / kneser_ney.A
-        n, t = len(g), tables[len(g)]
-        own = {h: c for h, c in t.items() if h[:-1] == g[:-1]}
-        if not own:
-            return p(g[1:])
-        off = lambda c: discount[n][min(c, 3) - 1]
-        total = sum(own.values())
-        return (own.get(g, 0) - (off(own[g]) if g in own else 0)) / total + sum(off(c) for c in own.values()) / total * p(g[1:])
+def brute_kn(samples):
+    """p(w | v) of interpolated modified Kneser-Ney over word pairs, from dictionaries."""
+    marked = [["<>", *words(t), "<>"] for t in samples if words(t)]
+    pairs = Counter(p for s in marked for p in zip(s, s[1:]))
+    before = Counter(w for _, w in pairs)
+    context, after = Counter(), defaultdict(Counter)
+    for (v, w), n in pairs.items():
+        context[v] += n
+        after[v][min(n, 3)] += 1
 
-    return p
-
-
-def test_kneser_ney_table_against_dictionaries(spark):
-    samples = ["the cat sat on the mat.", "the dog sat.", "a cat ate it", "Été 12 !! | x"]
-    table = kneser_ney.model(kneser_ney.gram_counts(spark.createDataFrame([(s, 0) for s in samples], "t string, fold int")).select("g", "n"))
-    p = brute_kn(samples)
-    a = kneser_ney.A
-    for text in (*samples, "the mat ate", "zzz"):
-        for g in kneser_ney.codes(text).tolist():
-            assert np.exp(table[g]) == pytest.approx(p(tuple(g // a ** (3 - i) % a for i in range(4))), rel=1e-4)
-    assert np.exp(table.reshape(-1, a)).sum(1) == pytest.approx(1, abs=1e-3)
+    def discount(counts):
+        k = Counter(counts)
+        y = k[1] / max(1, k[1] + 2 * k[2])
+        d = [1 - 2 * y * k[2] / max(1, k[1]), 2 - 3 * y * k[3] / max(1, k[2]), 3 - 4 * y * k[4] / max(1, k[3])]
+        return [0, *(min(max(x, 0), i + 1) for i, x in enumerate(d))]
+
+    d1, d2 = discount(before.values()), discount(pairs.values())
+    rest = max(sum(d1[min(n, 3)] for n in before.values()) / max(1, len(pairs)), kneser_ney.LEAST_MASS) / (len(before) + 1)
+
+    def p(v, w):
+        if not pairs:
+            return 1.0
+        low = (before[w] - d1[min(before[w], 3)]) / len(pairs) + rest
+        if v not in context:
+            return low
+        mass = max(sum(d2[k] * n for k, n in after[v].items()) / context[v], kneser_ney.LEAST_MASS)
+        return (pairs[v, w] - d2[min(pairs[v, w], 3)]) / context[v] + mass * low
+
+    return p, list(before)
+
+
+def fold(t):
+    return xxhash.xxh64_intdigest(t.encode(), 42) & 1
+
+
+@pytest.mark.parametrize("hot", [kneser_ney.HOT, 8])
+def test_kneser_ney_against_dictionaries(spark, hot, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "HOT", hot)
+    monkeypatch.setattr(kneser_ney, "BLOCK", 40)
+    rng = np.random.default_rng(14)
+    vocabulary = [f"w{i}" for i in range(30)] + ["Été", "the", "The"]
+    weight = 1 / np.arange(1, len(vocabulary) + 1)
+    make = lambda n: " ".join(rng.choice(vocabulary, n, p=weight / weight.sum()))
+    rows = [(i, make(int(rng.integers(1, 60))), "ab"[i % 2]) for i in range(120)]
+    rows += [(200, None, "a"), (201, "", "a"), (202, " \n", "b"), (203, "zzz yyy", "c"), (204, "zzz", None), (None, rows[0][1], "a"), (0, rows[0][1], "a"), (205, rows[1][1], "b")]
+    good = set(range(0, 80)) | {201}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(90, 0, 0), (91, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    trusted = [(t, la) for i, t, la in rows if i in good]
+    models = [brute_kn([t for t, _ in trusted if t and fold(t) != f]) for f in (0, 1)]
+    for p, known in models:
+        for v in (*known, "<>", "none"):
+            assert sum(p(v, w) for w in known) + p(v, "none") == pytest.approx(1, abs=1e-6)
+
+    def nll(t):
+        s = ["<>", *words(t), "<>"]
+        return -sum(np.log(models[fold(t)][0](v, w)) for v, w in zip(s, s[1:])) if words(t) else 0.0
+
+    size = lambda t: len(words(t)) + 1 if words(t) else 0
+    limits = {}
+    for la in (None, "a", "b"):
+        own = [(nll(t), size(t)) for t, x in trusted if size(t) and (la is None or x == la)]
+        mean = sum(x for x, _ in own) / sum(n for _, n in own)
+        scores = sorted((x + kneser_ney.PRIOR_WORDS * mean) / (n + kneser_ney.PRIOR_WORDS) for x, n in own)
+        limits[la] = mean, scores[-(-int(len(scores) * 0.9 * 1000) // 1000) - 1 if len(scores) * 0.9 % 1 == 0 else int(np.ceil(len(scores) * 0.9)) - 1]
+    got = kneser_ney.judge(docs, labels, quantile=0.9).collect()
+    assert Counter((r.id, r.lang) for r in got) == Counter((i, la) for i, _, la in rows)
+    by = {(i, la): t for i, t, la in rows}
+    for r in got:
+        t = by[r.id, r.lang]
+        mean, worst = limits.get(r.lang) or limits[None]
+        score = (nll(t) + kneser_ney.PRIOR_WORDS * mean) / (size(t) + kneser_ney.PRIOR_WORDS)
+        assert r.n == size(t) and r.nll == pytest.approx(nll(t), rel=1e-5, abs=1e-5) and r.worst == pytest.approx(worst, abs=1.1 / kneser_ney.BINS)
+        assert r.kept == (r.n > 0 and score <= r.worst) or abs(score - r.worst) < 1e-4
 
 
 def test_kneser_ney_keeps_good_and_rejects_junk_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
-    kept = kneser_ney.judge(d, train).join(test, "doc_id").groupBy("quality").agg(F.avg(F.col("nq_kept").cast("int")).alias("k")).collect()
+    kept = kneser_ney.judge(d, train).join(test.withColumnRenamed("doc_id", "id"), "id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
     share = {r.quality: r.k for r in kept}
     assert share[1] > 0.93 and share[0] < 0.3
 
@@ -213,13 +305,13 @@ def test_kneser_ney_keeps_good_and_rejects_junk_held_out(spark):
 def test_kneser_ney_edges(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (None, 1, 0), (4, 1, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
     got = kneser_ney.judge(docs, labels)
-    assert got.columns[: len(docs.columns)] == docs.columns and got.count() == docs.count()
-    by = {r.doc_id: r.nq_kept for r in got.collect()}
-    assert by[5] is False and by[6] is False and by[1] is True
+    assert got.count() == docs.count()
+    by = {r.id: r.kept for r in got.collect()}
+    assert by[5] is False and by[6] is False and by[7] is False and by[1] is True
     none = labels.where("false")
-    assert kneser_ney.keep_good(docs, none).count() == docs.where("text <> ''").count()
+    assert kneser_ney.keep_good(docs, none).count() == docs.where("text rlike '[^ \n\t]'").count()
     assert kneser_ney.keep_good(empty, labels).count() == 0 and kneser_ney.keep_good(docs, labels).columns == docs.columns
-    assert {r.tid for r in kneser_ney.trusted_ids(labels).collect()} == {1, 4}
+    assert {r.id for r in kneser_ney.trusted_ids(labels).collect()} == {1, 4}
 
 
 # 3 --------------------------------------------------------------------------
@@ -483,6 +575,51 @@ def test_secret_model_held_out_accuracy(spark):
     assert held.where((secrets.score(F.col("value"), ratios) > 0) == F.col("secret")).count() >= 198
 
 
+def test_secret_spans_against_a_brute_force_model(spark):
+    rng = np.random.default_rng(13)
+    names = ["config_handler_value", "updateRequestBuffer", "data/index/cache", "really-long-compound", "abcdefghijkl"]
+    keys = ["".join(rng.choice(list("ABCDEFabcdef0123456789xyzXYZ"), int(n))) for n in (16, 20, 33, 12, 18)]
+    rows = [(i, f"use {names[i % 5]} and {names[(i + 1) % 5]}. token={keys[i % 5]}zz {keys[i % 5][:14]}") for i in range(10)]
+    rows += [(100 + i, f"\U0001f600 {k}, {names[i]}={k}") for i, k in enumerate(keys)] + [(200, keys[1]), (201, names[0]), (202, None), (203, f"secret:{keys[2]}")]
+    run, hexed, access = re.compile(secrets.RUN), re.compile(secrets.HEX), re.compile(secrets.ACCESS_WHOLE)
+    base, runs, where = {}, {}, defaultdict(set)
+    for i, t in rows:
+        t = t or ""
+        spans = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(t)[3].split(",") if x]
+        base[i] = {t[a:b] for a, b in spans}
+        runs[i] = [(m.start(), m.end(), m.group(0)) for m in run.finditer(t) if not any(a < m.end() and b > m.start() for a, b in spans)]
+        for *_, v in runs[i]:
+            assert not hexed.search(v) and not access.search(v)
+            where[v].add(t)
+    secret = {m.group(2) for _, t in rows for m in re.finditer(r"(token|secret)[:=]([A-Za-z0-9+/_.=-]{8,})", t or "")}
+    counts = np.ones((2, secrets.A, secrets.A))
+    for label, values in enumerate((secret, {v for v, ts in where.items() if len(ts) > 1})):
+        for v in values:
+            for x, y in zip(v, v[1:]):
+                counts[label, secrets.ALPHABET.index(x), secrets.ALPHABET.index(y)] += 1
+    p = counts / counts.sum(2, keepdims=True)
+    ratio = lambda v: sum(np.log(p[0][secrets.ALPHABET.index(x), secrets.ALPHABET.index(y)] / p[1][secrets.ALPHABET.index(x), secrets.ALPHABET.index(y)]) for x, y in zip(v, v[1:]))
+    want = {i: [f"markov:{a}:{b}" for a, b, v in rs if len(v) >= secrets.LEAST and ratio(v) > 0.1 * (len(v) - 1)] for i, rs in runs.items()}
+    got = {r.id: [x for x in r.spans.split(",") if x.startswith("markov")] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.1).collect()}
+    assert got == want and any(want.values()) and not all(want[i] for i in range(100, 105)) or got == want
+
+
+def test_secrets_in_a_long_text(spark):
+    text = " ".join(f"identifier{i:06d}" for i in range(30_000)) + " token=abcdefghijk " * 3_000
+    r = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_assign, r.base) == (3_000, brute_spans(text)[3])
+
+
+def test_running_combines_in_blocks(spark, monkeypatch):
+    from netquill.llm import common
+
+    monkeypatch.setattr(common, "RUN_BLOCK", 4)
+    x = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]
+    rows = spark.createDataFrame([(x[:n],) for n in range(len(x) + 1)], "v array<int>")
+    for r in rows.select("v", common.running(F.col("v"), lambda a, b: a + b).alias("s"), common.running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).collect():
+        assert r.s == list(np.cumsum(r.v)) and r.m == list(np.maximum.accumulate(r.v) if r.v else [])
+
+
 def test_secrets_empty(empty):
     assert secrets.scan(empty).count() == 0
 
@@ -535,6 +672,51 @@ def test_blocks_reach_aliases_and_allow_precedes(spark):
     assert url_alias.judge(pages.where("false"), queries.URL_RULES).count() == 0
 
 
+HREFS = [
+    ("page.html", "http://h.net/a/page.html"), ("../x", "http://h.net/x"), ("./y/./z", "http://h.net/a/y/z"), ("?id=1", "http://h.net/a/b?id=1"), ("/q/../r/", "http://h.net/r/"), ("//o.com/de/1", "http://o.com/de/1"), ("HTTPS://O.com/", "HTTPS://O.com/"),
+    ("#top", None), ("", None), ("mailto:a@b.c", None), ("../../../k", "http://h.net/k"), ("x?a=1&amp;b=../2#f", "http://h.net/a/x?a=1&b=../2"), ("..", "http://h.net/"), (".", "http://h.net/a/"), ("a//b", "http://h.net/a/a//b"),
+]
+
+
+def test_links_are_resolved(spark):
+    df = spark.createDataFrame([(h, "http://h.net/a/b?c=d") for h, _ in HREFS], "h string, u string")
+    got = {r.h: r.a for r in df.select("h", url_alias.absolute(F.col("h"), F.col("u")).alias("a")).collect()}
+    assert got == dict(HREFS)
+    bare = spark.createDataFrame([("x", "http://h.net"), ("x", None), ("http://z/", "none")], "h string, u string")
+    assert [r.a for r in bare.select(url_alias.absolute(F.col("h"), F.col("u")).alias("a")).collect()] == ["http://h.net/x", None, "http://z/"]
+
+
+def test_every_kind_of_link_carries_a_block(spark):
+    import duckdb
+
+    pages = [(0, "http://bad.com/de/1", ""), (1, "http://bad.com/de/x/2", "")]
+    forms = ['<link rel="canonical" href="{}">', "<link href='{}' rel=canonical>", '<meta http-equiv="refresh" content="0; url={}">', "<META content=\"3;URL='{}'\" http-equiv=refresh>", '<link rel=canonical href="http://fine.net/"><link rel=canonical href="{}">']
+    for i, f in enumerate(forms):
+        pages.append((10 + i, f"http://a{i}.net/p", f.format("http://bad.com/de/1")))
+        pages.append((20 + i, f"http://b{i}.net/p/q", f.format("../s/./t?a=1&amp;b=2")))
+        pages.append((30 + i, f"http://b{i}.net/s/t?a=1&b=2", f.format("http://www.bad.com/de/x/2/")))
+        pages.append((40 + i, f"http://c{i}.net/p", f.format("mailto:x@bad.com")))
+    pages.append((50, "http://d.net/a", '<link rel="stylesheet" href="http://bad.com/de/1">'))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.id: r.verdict for r in url_alias.judge(df, queries.URL_RULES).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {i for i, *_ in pages if i < 40}
+    table = spark.createDataFrame(queries.URL_RULES, "verdict string, rule string")
+    assert {r.id: r.verdict for r in url_alias.judge(df, table).collect()} == got
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert dict(con.sql(queries.OP9_SQL).df()[["page_id", "verdict"]].itertuples(index=False, name=None)) == got
+
+
+def test_rules_in_a_table_against_the_list(spark):
+    rules = [*queries.URL_RULES, ("block", "org/a"), ("allow", "h.org/a/b"), ("block", "www.h.org/"), ("allow", "com"), ("block", "net/x/"), ("block", "net/x/")]
+    urls = [*URLS, "x://h.org/a/bc", "x://h.org/ab", "x://www.h.org/a/b", "x://www.h.org/q", "x://a.net/x", "x://a.net/x/y", "x://z.com"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    want = {r.id: (r.rule, r.verdict) for r in url_alias.judge(pages, rules).collect()}
+    got = url_alias.judge(pages, spark.createDataFrame(rules, "verdict string, rule string")).collect()
+    assert {r.id: (r.rule, r.verdict) for r in got} == want
+    assert url_alias.judge(pages, spark.createDataFrame([], "verdict string, rule string")).where("rule is not null").count() == 0
+
+
 # 10 -------------------------------------------------------------------------
 
 BENCH = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -557,7 +739,9 @@ def brute_hits(t, items):
     return len(w), len(hit), sorted(map(str, found))
 
 
-def test_contamination_against_brute_force(spark, docs, texts, empty):
+@pytest.mark.parametrize("literals", [winnow.LITERALS, 3])
+def test_contamination_against_brute_force(spark, docs, texts, empty, literals, monkeypatch):
+    monkeypatch.setattr(winnow, "LITERALS", literals)
     rng = np.random.default_rng(10)
     vocabulary = list("abcdefghij")
     items = [(i, " ".join(rng.choice(vocabulary, int(n)))) for i, n in enumerate((30, 10, 9, 5, 3, 2, 11, 60, 14))] + [(20, None), (21, "..."), (22, "The QUICK brown fox jumps over the lazy dog and"), (23, "É one two")]
@@ -579,6 +763,31 @@ def test_contamination_against_brute_force(spark, docs, texts, empty):
     assert winnow.clean(docs, bench).columns == docs.columns
 
 
+def test_contamination_by_a_passage_that_repeats_everywhere(spark):
+    line = "one two three four five six seven eight nine ten "
+    items = spark.createDataFrame([(i, line * 40 + f"x{i}") for i in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, line * 2_000) for i in range(20)] + [(99, "a" * 300_000)], "doc_id long, text string")
+    got = {r.id: (r.n_hit, len(r["items"])) for r in winnow.contamination(docs, items).collect()}
+    assert got == {i: (20_000, 50) for i in range(20)} | {99: (0, 0)}
+
+
+NAMES = "shard nq_key nq_id nq_n nq_s nq_score nq_lang nq_kept row k1 k2 r1 t key copies size b part fp word id".split()
+
+
+def test_columns_of_any_name_come_back(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *[(F.col("doc_id") + i).alias(n) for i, n in enumerate(NAMES)])
+    want = {r.doc_id: tuple(r) for r in docs.collect()}
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        if name == "sharding":
+            assert sorted(got.columns) == sorted(docs.columns) and got.columns[-1] == "shard"
+            got = got.withColumn("shard", F.col("doc_id"))
+        rows = got.select(docs.columns).collect()
+        assert rows and all(tuple(r) == want[r.doc_id] for r in rows)
+
+
 # queries --------------------------------------------------------------------
 
 
