@@ -6,45 +6,46 @@ again as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from netquill.llm import kneser_ney, lpt, mixing, simhash, winnow
 from netquill.llm.common import stash, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts within their language's quantile of trusted perplexity."""
+    """Texts within their language's quantile of trusted perplexity.
+
+    Null, empty and white-space texts go; repeated rows stay or go together, rows
+    without an id are never trusted, and further columns come back as they are.
+    """
     return kneser_ney.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the row with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays. A row without a doc_id stays unless
-    it is a near copy of a row with one.
+    Rows are told apart by doc_id and text: a text that only shares another's
+    doc_id stays. Rows without a doc_id come last in their group; ties go by the
+    text's key. Of repeated rows one stays; null and empty texts are one group.
     """
-    groups = simhash.near_duplicates(docs)
-    go = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("nq_id")).distinct()
-    left = docs.join(stash(go, "copies").hint("merge"), F.col("doc_id") == F.col("nq_id"), "left_anti")
-    known, unknown = left.where("doc_id is not null"), left.where("doc_id is null")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
-    known = known.withColumn("nq_n", first).where("nq_n = 1").drop("nq_n")
-    return known.union(unknown)
+    return simhash.first_of_groups(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that share no ten words in a row with a benchmark item."""
+    """Texts that share no ten words in a row with a benchmark item, nor hold a shorter item.
+
+    Null and empty texts stay, and equal texts stay or go together.
+    """
     return winnow.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to their source's target."""
+    """Documents repeated to their source's target; repeated rows get equal numbers of copies, null sources are one source."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents and their shard, 0 to 15; equal texts share one."""
+    """The documents and their shard, 0 to 15; equal texts share one. An input column of the name shard is replaced."""
     return lpt.with_shards(docs)
 
 
