@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquill.sources.tables import work_dir
+
 #: A word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,23 +21,13 @@ RUN_BLOCK = 256
 SMALL_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only a local session may lack it, and uses its warehouse folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir")
-
-
 def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back.
 
     The files outlive any executor and go when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/netquill/{uuid.uuid4().hex}/{name}"
+    path = f"{work_dir(spark)}/netquill/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", compression).parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,8 +48,9 @@ def drop_stash(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Spark removes a shuffle's files once the driver has collected the plan that wrote them."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # Python's references to the plan go first
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def row_of(df: DataFrame) -> Column:

@@ -140,6 +140,8 @@ def values(counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
     log-probability of an unseen word for each of its words and the end.
     """
     pairs = stash(counts, "pairs")
+    del counts
+    release(pairs.sparkSession)
     has = pairs.agg(F.sum("n0"), F.sum("n1")).first()
     if not has[0] or not has[1]:
         pairs = pairs.withColumn("n0", F.col("n0") + F.col("n1")).withColumn("n1", F.col("n0"))
@@ -150,7 +152,8 @@ def values(counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
     as_context = [c for m in models for c in (F.col(f"n{m}").alias(f"c{m}"), *[(F.col(f"n{m}") == k).cast("long").alias(f"n{k}_{m}") for k in (1, 2)], (F.col(f"n{m}") >= 3).cast("long").alias(f"n3_{m}"), F.lit(0).cast("long").alias(f"t{m}"))]
     as_word = [c for m in models for c in (*[F.lit(0).cast("long").alias(k) for k in (f"c{m}", f"n1_{m}", f"n2_{m}", f"n3_{m}")], (F.col(f"n{m}") > 0).cast("long").alias(f"t{m}"))]
     both = pairs.select(F.col("v").alias("x"), *as_context).union(pairs.select(F.col("w").alias("x"), *as_word))
-    words = stash(both.groupBy("x").agg(*[F.sum(c).alias(c) for c in both.columns[1:]]), "words")
+    held = words = stash(both.groupBy("x").agg(*[F.sum(c).alias(c) for c in both.columns[1:]]), "words")
+    del both
     release(words.sparkSession)
     seen = words.agg(*[c for m in models for c in (F.sum(f"t{m}"), one(F.col(f"t{m}") > 0), *[one(F.col(f"t{m}") == k) for k in (1, 2, 3, 4)], one(F.col(f"t{m}") >= 3))]).first()
     unseen, cols = [], []
@@ -181,7 +184,9 @@ def values(counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
     gain = [F.when(F.col(f"n{m}") > 0, F.log1p((F.col(f"n{m}") - _off(F.col(f"n{m}"), off[m])) / (F.col(f"c{m}") * F.col(f"g{m}") * F.col(f"p{m}")))).otherwise(F.lit(0.0)).cast("float").alias(f"val{m}") for m in models]
     of_pairs = full.select(_pair_key("v", "w").alias("key"), *gain, (F.col("n0") + F.col("n1") > F.lit(total / HOT)).alias("hot"))
     table = stash(of_words.union(of_pairs), "values")
+    del full, of_pairs, of_words, words, left, right
     drop_stash(pairs)
+    drop_stash(held)
     return table.drop("hot"), table.where("hot").drop("hot"), unseen
 
 
@@ -195,7 +200,7 @@ def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame
 
     def run(batches):
         hashes, seen = _Hashes(), set()
-        keys, vals = shared.value
+        keys, vals = shared.value  # of hot words and pairs
         for b in batches:
             t_, key_, n_, ll_, w_ = [], [], [], [], []
             for t, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
@@ -223,14 +228,17 @@ def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame
                 yield _batch(t_, key_, n_, ll_, w_)
 
     texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    out = []
-    for k in range(passes):
+    def scored(k: int) -> DataFrame:
         part = texts.where(F.pmod(F.shiftright("t", 1), F.lit(passes)) == k)
         grams = part.mapInArrow(run, "t bigint, key bigint, n int, ll double, words bigint")
-        value = F.when(F.col("t") % 2 == 0, F.col("val1")).otherwise(F.col("val0"))
+        value = F.when(F.expr("t & 1") == 0, F.col("val1")).otherwise(F.col("val0"))
         sums = grams.join(table, "key", "left").groupBy("t").agg(F.sum(F.col("ll") + F.col("n") * F.coalesce(value, F.lit(0.0))).alias("ll"), F.sum("words").alias("words"), F.count_if(F.col("words") > 0).alias("tasks"))
-        out.append(stash(sums.select("t", (-F.col("ll") / F.col("tasks")).alias("nll"), (F.col("words") / F.col("tasks")).cast("long").alias("n")), f"scores{k}"))
-        release(spark)
+        return stash(sums.select("t", (-F.col("ll") / F.col("tasks")).alias("nll"), (F.col("words") / F.col("tasks")).cast("long").alias("n")), f"scores{k}")
+
+    out = []
+    for k in range(passes):
+        out.append(scored(k))
+        release(spark)  # a part's shuffle goes before the next begins
     shared.unpersist()
     return reduce(DataFrame.union, out)
 

@@ -1,15 +1,16 @@
 """Removal of repeated byte strings by suffix arrays.
 
 Every SPAN-byte string has an anchor, the K-byte gram of least hash in it, so
-equal strings have equal anchors at equal offsets. The strings of one anchor are
-taken in four classes by offset; a class has a block (all bytes of its strings)
-and a core (the bytes that they all hold). A block found twice is removed whole.
-Where only the core is found twice, the block's bytes go to a suffix-array
-shard: Larsson-Sadakane refinement sorts its suffixes, Kasai's pass gives the
-common prefixes, and neighbours that share SPAN bytes at different places of the
-input are repeats. Anchors with very many different blocks are dealt over
-several shards, which are merged by binary search in sorted runs of the distinct
-strings' hashes.
+equal strings have equal anchors at equal offsets. All strings that an anchor can
+belong to lie in its context, the bytes from SPAN - K before it to SPAN after its
+start. Hashes of anchors only route: contexts whose anchor stands at two or more
+places go with their bytes to the shard of that anchor. There they are sorted;
+contexts that are byte for byte equal are removed whole, and different contexts
+of one anchor go into the shard's suffix array: Larsson-Sadakane refinement sorts
+their suffixes, Kasai's pass gives the common prefixes, and neighbours that share
+SPAN bytes at different places of the input are repeats. An anchor with very many
+contexts is dealt over several shards by the contexts' bytes, and shards of one
+anchor are merged by binary search in sorted runs of their distinct strings.
 """
 
 from __future__ import annotations
@@ -22,18 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquill.llm.common import stash
+from netquill.llm.common import drop_stash, matched, release, stash
 
 SPAN, K = 200, 64
 WIDE = SPAN - K + 1
-#: Class j of an anchor: the strings in which it begins at byte STEP * j to STEP * (j + 1) - 1.
-CLASSES, STEP = 4, 35
-#: Bytes that all strings of a class hold, and that any of them holds.
-CORE, BLOCK = SPAN - STEP + 1, SPAN + STEP - 1
-#: Bytes hashed at a time, and bytes of blocks in one suffix array.
-PIECE, SHARD_BYTES = 1 << 21, 1 << 20
-#: Blocks of one anchor and class in one shard.
-SHARD_BLOCKS = 4_096
+#: Bytes of a context before its anchor, and in all.
+BEFORE, CONTEXT = SPAN - K, 2 * SPAN - K
+#: Bytes hashed at a time, texts looked through for their own repeats, and contexts in one suffix array.
+PIECE, CHUNK_BYTES, SHARD_BYTES = 1 << 21, 1 << 24, 1 << 20
+#: Contexts of one anchor in one shard.
+SHARD_CONTEXTS = 4_096
 CHUNK_ROWS = 300_000
 # Fixed values of the hash: odd 64-bit multipliers.
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -102,49 +101,27 @@ def _piece(texts, part):
     return data, doc, at, lo, at + s - lo, at + e - lo, size
 
 
-def _part_hash(g: np.ndarray, start: np.ndarray, stop: np.ndarray, salt) -> np.ndarray:
-    """48 bits of the hash of the bytes from start to stop, never 0, from the hashes of grams that cover them."""
-    x = np.zeros(len(start), np.uint64)
-    for o in range(0, BLOCK, K):
-        x = _mix(x ^ g[np.minimum(start + o, stop - K)], salt)
-    return (x >> np.uint64(16)) | np.uint64(1)
-
-
-def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Anchors of all texts: doc, pos in its text, h, and the hashes of the classes' cores (a, 16 bits each, which only choose what is compared) and blocks (b, c, d, 48 bits each).
-
-    A class without strings of this anchor has zeros. A block ends where its text
-    does, and how much it lacks is part of its hash.
-    """
-    out = {k: [] for k in ("doc", "pos", "h", "a", "b", "c", "d")}
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all texts: text, place in it, the gram's hash, and a hash of the context that only chooses what is compared."""
+    out = []
     for data, doc, at, lo, begin, end, size in _pieces(texts):
         g = gram_hashes(data)
-        p, first, last = _anchors(g, begin, end)
+        p, _, _ = _anchors(g, begin, end)
         if not len(p):
             continue
         part = np.searchsorted(at, p, "right") - 1
         zero = at[part] - lo[part]  # where the text's byte 0 is, or would be
-        cores, blocks = [], []
-        for j in range(CLASSES):
-            high = p - STEP * j  # the class's last start; its first is high - STEP + 1
-            own = (first <= high) & (last > high - STEP)
-            s = np.where(own, high, 0)
-            cores.append(np.where(own, _part_hash(g, s, s + CORE, j), 0))
-            s = high - STEP + 1
-            lo_, hi_ = np.maximum(s, zero), np.minimum(s + BLOCK, zero + size[part])
-            lack = CLASSES + j + 8 * (lo_ - s) + 4096 * (hi_ - lo_)
-            blocks.append(np.where(own, _part_hash(g, np.where(own, lo_, 0), np.where(own, hi_, SPAN), np.where(own, lack, 0)), 0))
-        a = sum(((c & np.uint64(0xFFFF)) | (c > 0)) << np.uint64(16 * j) for j, c in enumerate(cores))
-        bcd = [blocks[j] | (((blocks[3] >> np.uint64(16 * j)) & np.uint64(0xFFFF)) << np.uint64(48)) for j in range(3)]
-        for k, v in zip(out, (doc[part], p - zero, _mix(g[p], 0), a, *bcd)):
-            out[k].append(v)
-    got = {k: np.concatenate(v) if v else np.zeros(0, np.int64 if k in ("doc", "pos") else np.uint64) for k, v in out.items()}
-    if len(got["pos"]):  # two pieces of a text may each have some strings of an anchor
-        fresh = np.ones(len(got["pos"]), bool)
-        fresh[1:] = (got["doc"][1:] != got["doc"][:-1]) | (got["pos"][1:] != got["pos"][:-1])
-        at = np.flatnonzero(fresh)
-        got = {k: np.bitwise_or.reduceat(v, at) if k in "abcd" else v[at] for k, v in got.items()}
-    return got
+        first, last = np.maximum(p - BEFORE, zero), np.minimum(p + SPAN, zero + size[part])
+        x = (p - first).astype(np.uint64) * _M[0] + (last - p).astype(np.uint64)
+        for o in range(0, CONTEXT, K):
+            x = _mix(x ^ g[np.minimum(first + o, last - K)], o)
+        out.append((doc[part], p - zero, _mix(g[p], 0), x))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    doc, pos, h, x = map(np.concatenate, zip(*out))
+    fresh = np.ones(len(pos), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])  # two pieces of a text may each have some strings of an anchor
+    return doc[fresh], pos[fresh], h[fresh], x[fresh]
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,19 +133,8 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, new
 
 
-def _core(a: np.ndarray, j: int) -> np.ndarray:
-    return (a.view(np.uint64) >> np.uint64(16 * j)) & np.uint64(0xFFFF)
-
-
-def _block(bcd: list[np.ndarray], j: int) -> np.ndarray:
-    low = np.uint64((1 << 48) - 1)
-    if j < 3:
-        return bcd[j].view(np.uint64) & low
-    return sum((x.view(np.uint64) >> np.uint64(48)) << np.uint64(16 * i) for i, x in enumerate(bcd))
-
-
-_ROW = "kind int, h bigint, k1 bigint, k2 bigint, place bigint, a bigint, b bigint, c bigint, d bigint"
-_NAMES = ["h", "k1", "k2", "place", "a", "b", "c", "d"]
+_ROW = "kind int, h bigint, k1 bigint, k2 bigint, place bigint, a bigint, b bigint"
+_NAMES = ["h", "k1", "k2", "place", "a", "b"]
 
 
 def _key(raw: bytes) -> tuple[int, int]:
@@ -203,27 +169,59 @@ def _known(k1, k2, start, stop) -> pa.RecordBatch:
     return _row(0, h=_mix(k1.view(np.uint64), 1), k1=k1, k2=k2, place=start, a=stop)
 
 
+def _context(text: bytes, pos: int) -> bytes:
+    return text[max(0, pos - BEFORE) : pos + SPAN]
+
+
+def _chunk(texts: list[bytes], copies: list[int]):
+    """Rows of a chunk's different texts; copies: how often each stands in it."""
+    keys = np.array([_key(t) for t in texts], np.int64).reshape(-1, 2)
+    whole = np.flatnonzero(np.array(copies) > 1)
+    if len(whole):
+        yield _known(keys[whole, 0], keys[whole, 1], np.zeros(len(whole), np.int64), np.array([len(texts[i]) for i in whole], np.int64))
+    doc, pos, h, x = anchors(texts)
+    if not len(h):
+        return
+    by, new = _groups(h, x)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(by)))
+    keep, many, found = np.ones(len(h), bool), np.zeros(len(h), np.int64), []
+    many[np.array(copies)[doc] > 1] = 1
+    for b, n in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
+        rep = by[b]
+        first = _context(texts[doc[rep]], pos[rep])
+        same = [i for i in by[b + 1 : b + n].tolist() if _context(texts[doc[i]], pos[i]) == first]
+        if same:
+            many[rep] = 1
+            keep[same] = False
+            found += [rep, *same]
+    if found:
+        i = np.array(found)
+        yield _known(keys[doc[i], 0], keys[doc[i], 1], np.maximum(pos[i] - BEFORE, 0), np.minimum(pos[i] + SPAN, np.array([len(t) for t in texts], np.int64)[doc[i]]))
+    i = np.flatnonzero(keep)
+    for j in range(0, len(i), 1 << 16):
+        r = i[j : j + (1 << 16)]
+        yield _row(1, h=h[r], k1=keys[doc[r], 0], k2=keys[doc[r], 1], place=pos[r], b=many[r])
+
+
 def _map_anchors(batches):
-    """Kind 0: stretches [place, a) known to repeat. Kind 1: each different anchor of a batch; place is twice its place, plus 1 if it is known twice."""
+    """Kind 0: stretches [place, a) that repeat within a chunk of texts. Kind 1: one of the anchors of each different context; b: 1 if its context is known to repeat."""
+    held, size = {}, 0
     for b in batches:
-        texts = [t.as_py() or b"" for t in b.column(0).cast(pa.large_binary())]
-        keys = np.array([_key(t) if len(t) >= SPAN else (0, 0) for t in texts], np.int64).reshape(-1, 2)
-        x = anchors(texts)
-        if not len(x["h"]):
-            continue
-        by, new = _groups(x["h"], x["a"], x["b"], x["c"], x["d"])
-        run = np.cumsum(new) - 1
-        many = np.bincount(run) > 1
-        k1, k2 = keys[x["doc"], 0], keys[x["doc"], 1]
-        found = []
-        for j in range(CLASSES):
-            i = by[many[run] & (_core(x["a"], j)[by] > 0)]
-            s = x["pos"][i] - STEP * (j + 1) + 1
-            found.append((k1[i], k2[i], np.maximum(s, 0), s + BLOCK))
-        if sum(len(f[0]) for f in found):
-            yield _known(*map(np.concatenate, zip(*found)))
-        rep = by[new]
-        yield _row(1, k1=k1[rep], k2=k2[rep], place=2 * x["pos"][rep] + many, **{k: x[k][rep] for k in "habcd"})
+        for t in b.column(0).cast(pa.large_binary()):
+            raw = t.as_py()
+            if raw is None or len(raw) < SPAN:
+                continue
+            if raw in held:
+                held[raw] += 1
+                continue
+            held[raw] = 1
+            size += len(raw)
+            if size >= CHUNK_BYTES:
+                yield from _chunk(list(held), list(held.values()))
+                held, size = {}, 0
+    if held:
+        yield from _chunk(list(held), list(held.values()))
 
 
 def _by_key(batches, columns: int, limit: int, weigh=None):
@@ -249,40 +247,40 @@ def _by_key(batches, columns: int, limit: int, weigh=None):
 
 
 def _map_judge(batches):
-    """Kind 0: stretches that repeat. Kind 1: blocks whose bytes are needed (h: anchor and class, a: shard, b: 1 if known to repeat, place: start)."""
-    for t in _by_key(batches, 1, CHUNK_ROWS):
-        h, kind, k1, k2, place, a, b, c, d = (t.column(i).to_numpy() for i in range(9))
-        known = kind == 0
-        if known.any():
-            yield _row(0, h=h[known], k1=k1[known], k2=k2[known], place=place[known], a=a[known])
-        h, k1, k2, place, a, b, c, d = (x[~known] for x in (h, k1, k2, place, a, b, c, d))
-        if not len(h):
+    """From anchors in order of h and place. Kind 0: contexts of texts that stand twice. Kind 1: anchors whose gram stands at two or more places (b: 1 if the context is known to repeat).
+
+    One place is held back until the next is seen, and no anchor's places together.
+    """
+    last, before = None, False  # the last place, and whether its gram stood before it
+    for b in batches:
+        if not b.num_rows:
             continue
-        pos, many = place >> 1, place & 1
-        for j in range(CLASSES):
-            core, block = _core(a, j), _block([b, c, d], j)
-            i = np.flatnonzero(core)
-            by, new = _groups(h[i], core[i], block[i])
-            i = i[by]
-            run = np.cumsum(new) - 1
-            twice = (np.bincount(run) > 1) | (np.bincount(run, many[i]) > 0)
-            told = twice[run] & (many[i] == 0)
-            if told.any():
-                s = pos[i[told]] - STEP * (j + 1) + 1
-                yield _known(k1[i[told]], k2[i[told]], np.maximum(s, 0), s + BLOCK)
-            rep = i[new]
-            group = np.cumsum(np.concatenate(([True], (h[rep][1:] != h[rep][:-1]) | (core[rep][1:] != core[rep][:-1])))) - 1 if len(rep) else rep
-            if not len(rep):
-                continue
-            need = (np.bincount(group)[group] > 1) & (np.bincount(group, ~twice)[group] > 0)
-            if not need.any():
-                continue
-            rep, twice = rep[need], twice[need]
-            _, at, n = np.unique(group[need], return_inverse=True, return_counts=True)
-            shards = -(-n[at] // SHARD_BLOCKS)
-            key = _mix(h[rep].view(np.uint64) ^ core[rep], j)
-            spread = (_mix(k1[rep].view(np.uint64), place[rep].view(np.uint64)) % shards.astype(np.uint64)).astype(np.int64)
-            yield _row(1, h=key, k1=k1[rep], k2=k2[rep], place=np.maximum(pos[rep] - STEP * (j + 1) + 1, 0), a=np.where(shards > 1, 1 + spread, 0), b=twice.astype(np.int64), c=pos[rep] - STEP * j + SPAN)
+        cols = [b.column(i).to_numpy() for i in range(5)]
+        if last is not None:
+            cols = [np.concatenate(([x], c)) for x, c in zip(last, cols)]
+        h, k1, k2, place, many = cols
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (place[1:] != place[:-1])
+        at = np.flatnonzero(fresh)
+        twice = np.diff(np.append(at, len(h))) > 1  # one text in several tasks
+        flag = np.maximum.reduceat(many, at) | twice
+        h, k1, k2, place = (c[at] for c in (h, k1, k2, place))
+        near = np.zeros(len(at) + 1, bool)
+        near[1:-1] = h[1:] == h[:-1]
+        near[0] = before
+        last, before = (h[-1], k1[-1], k2[-1], place[-1], flag[-1]), bool(near[-2])
+        yield from _judged(h[:-1], k1[:-1], k2[:-1], place[:-1], flag[:-1], near[:-2] | near[1:-1], twice[:-1])
+        if twice[-1]:
+            yield from _judged(*(np.array([x]) for x in last), np.array([False]), np.array([True]))
+    if last is not None:
+        yield from _judged(*(np.array([x]) for x in last), np.array([before]), np.array([False]))
+
+
+def _judged(h, k1, k2, place, flag, asked, twice):
+    if twice.any():
+        yield _known(k1[twice], k2[twice], np.maximum(place[twice] - BEFORE, 0), place[twice] + SPAN)
+    if asked.any():
+        yield _row(1, h=h[asked], k1=k1[asked], k2=k2[asked], place=place[asked], b=flag[asked])
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -363,11 +361,23 @@ def common_prefixes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, order
 
 def _map_shards(batches):
     """Kind 0: stretches that repeat within a shard. Kind 2: the distinct strings of shards of one anchor (h, a: 128-bit hash; b: known to repeat)."""
-    for t in _by_key(batches, 2, SHARD_BYTES, lambda b: b.column(6).nbytes):
-        h, shard, k1, k2, place, many = (t.column(i).to_numpy() for i in range(6))
-        texts = [x.as_py() for x in t.column(6)]
-        size = np.array([len(x) for x in texts], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+    for t in _by_key(batches, 2, SHARD_BYTES, lambda b: b.column(2).nbytes):
+        h, shard, k1, k2, place, many = (t.column(i).to_numpy() for i in (0, 1, 3, 4, 5, 6))
+        texts = t.column(2).to_pylist()
+        new = np.array([True, *(x != y for x, y in zip(texts[1:], texts))]) | np.concatenate(([True], (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])))
+        first = np.flatnonzero(new)  # of each different context of an anchor
+        run = np.cumsum(new) - 1
+        flag = (np.bincount(run) > 1) | (np.bincount(run, many) > 0)
+        size = np.array([len(texts[i]) for i in first], np.int64)
+        told = flag[run] & (many == 0)
+        if told.any():
+            yield _known(k1[told], k2[told], place[told], place[told] + size[run[told]])
+        group = np.cumsum(np.concatenate(([True], h[first][1:] != h[first][:-1]))) - 1
+        some = (np.bincount(group)[group] > 1) | (shard[first] > 0)
+        if not some.any():
+            continue
+        i, flag, size = first[some], flag[some], size[some]
+        data = np.frombuffer(b"".join(texts[j] for j in i), np.uint8)
         stop = np.cumsum(size)
         start = stop - size
         order = suffix_array(data, start, stop)
@@ -375,19 +385,19 @@ def _map_shards(batches):
             continue
         shared = common_prefixes(data, start, stop, order)
         part = np.searchsorted(stop, order, "right")
-        where = place[part] + order - start[part]
+        off = order - start[part]
+        k1, k2, where = k1[i][part], k2[i][part], place[i][part] + off
         run = np.cumsum(np.concatenate(([True], shared[1:] < SPAN))) - 1
-        by, new = _groups(run, k1[part], k2[part], where)
+        by, new = _groups(run, k1, k2, where)  # one place may stand in several contexts
         places = np.bincount(run[by][new], minlength=run[-1] + 1)
-        repeats = (places > 1) | (np.bincount(run, many[part]) > 0)
-        hit = repeats[run] & (many[part] == 0)
+        repeats = (places > 1) | (np.bincount(run, flag[part]) > 0)
+        hit = repeats[run] & ~flag[part]
         if hit.any():
-            yield _known(k1[part[hit]], k2[part[hit]], where[hit], where[hit] + SPAN)
-        several = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])) & (shard[part] > 0))
+            yield _known(k1[hit], k2[hit], where[hit], where[hit] + SPAN)
+        several = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])) & (shard[i][part] > 0))
         if len(several):
             hashes = np.array([divmod(xxhash.xxh3_128_intdigest(data[o : o + SPAN].tobytes()), 1 << 64) for o in order[several].tolist()], np.uint64)
-            i = part[several]
-            yield _row(2, h=hashes[:, 0], a=hashes[:, 1], k1=k1[i], k2=k2[i], place=where[several], b=repeats[run[several]].astype(np.int64))
+            yield _row(2, h=hashes[:, 0], a=hashes[:, 1], k1=k1[several], k2=k2[several], place=where[several], b=repeats[run[several]].astype(np.int64))
 
 
 def _map_merge(batches):
@@ -410,37 +420,28 @@ def _with_key(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumn("sha", sha).withColumn("k1", signed(1)).withColumn("k2", signed(17))
 
 
-def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(k1, k2, text binary), each text once for each task at most."""
-
-    def run(batches):
-        seen = set()
-        for b in batches:
-            k1, k2, text = [], [], []
-            for t in b.column(0).cast(pa.large_binary()):
-                raw = t.as_py()
-                if raw is not None and len(raw) >= SPAN and (key := _key(raw)) not in seen:
-                    seen.add(key)
-                    k1.append(key[0])
-                    k2.append(key[1])
-                    text.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(text, pa.binary())], names=["k1", "k2", "text"])
-
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "k1 bigint, k2 bigint, text binary")
+def _texts_of(docs: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
+    """(k1, k2, text), each text of the keys once."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= SPAN)
+    asked = matched(_with_key(texts, F.col("text")).select("k1", "k2", "text"), stash(keys.select("k1", "k2"), "keys"), ["k1", "k2"], "left_semi")
+    return asked.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
 
 def _map_extract(batches):
-    """Bytes of the blocks asked for."""
-    last = None
+    """Bytes of the contexts asked for; a: 1 and the shard of an anchor that is dealt over several, else 0."""
+    names = ["h", "a", "bytes", "k1", "k2", "place", "b"]
     for b in batches:
         rows = []
-        for k1, k2, text, asks in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if (k1, k2) == last:  # another copy of a text
-                continue
-            last = (k1, k2)
-            rows += [(x["h"], x["a"], k1, k2, x["place"], x["b"], text[x["place"] : x["c"]]) for x in asks]
-        cols = list(zip(*rows)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary())], names=["h", "a", "k1", "k2", "place", "b", "bytes"])
+        for k1, k2, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist(), b.column(3).to_pylist()):
+            for x in asks:
+                raw = _context(text, x["place"])
+                spread = 1 + xxhash.xxh64_intdigest(raw, 7) % x["shards"] if x["shards"] > 1 else 0
+                rows.append((x["h"], spread, raw, k1, k2, max(0, x["place"] - BEFORE), x["b"]))
+            if len(rows) >= 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 2 else pa.int64()) for i, c in enumerate(zip(*rows))], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 2 else pa.int64()) for i, c in enumerate(zip(*rows))], names=names)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -462,13 +463,9 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def _map_cut(batches):
-    last = None
     for b in batches:
         out = []
-        for k1, k2, text, spans in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if (k1, k2) == last:
-                continue
-            last = (k1, k2)
+        for k1, k2, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist(), b.column(3).to_pylist()):
             kept, removed, runs = cut(text, [(s["place"], s["a"]) for s in spans])
             out.append((k1, k2, removed, runs, hashlib.sha256(kept).hexdigest(), kept))
         cols = list(zip(*out)) or [()] * 6
@@ -478,17 +475,20 @@ def _map_cut(batches):
 def repeated_stretches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(k1, k2, place, a): stretches [place, a) of the text with that key that also start elsewhere."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_map_anchors, _ROW)
-    dealt = first.select("h", "kind", *_NAMES[1:]).repartition("h").sortWithinPartitions("h")
+    first = stash(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_map_anchors, _ROW), "anchors")
+    dealt = first.where("kind = 1").select("h", "k1", "k2", "place", "b").repartition("h").sortWithinPartitions("h", "k1", "k2", "place")
     judged = stash(dealt.mapInArrow(_map_judge, _ROW), "judged")
-    asks = judged.where("kind = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "b", "c", "place")).alias("asks"))
+    release(docs.sparkSession)
+    asks = judged.where("kind = 1")
+    hot = asks.groupBy("h").agg(F.ceil(F.count("*") / SHARD_CONTEXTS).alias("shards")).where("shards > 1")  # few: each has very many rows
+    asks = asks.join(hot, "h", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", F.coalesce("shards", F.lit(1).cast("long")).alias("shards"), "b", "place")).alias("asks"))
     asks = stash(asks, "asks")
-    texts = _distinct_texts(docs, text_col)
-    pulled = texts.join(asks.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "asks").sortWithinPartitions("k1", "k2").mapInArrow(_map_extract, "h bigint, a bigint, k1 bigint, k2 bigint, place bigint, b bigint, bytes binary")
-    sorted_ = stash(pulled.repartition(parts, "h", "a").sortWithinPartitions("h", "a").mapInArrow(_map_shards, _ROW), "shards")
+    pulled = _texts_of(docs, text_col, asks).join(asks, ["k1", "k2"]).select("k1", "k2", "text", "asks").mapInArrow(_map_extract, "h bigint, a bigint, bytes binary, k1 bigint, k2 bigint, place bigint, b bigint")
+    sorted_ = stash(pulled.repartition(parts, "h", "a").sortWithinPartitions("h", "a", "bytes").mapInArrow(_map_shards, _ROW), "shards")
+    drop_stash(asks)
     runs = sorted_.where("kind = 2").select("h", "a", "k1", "k2", "place", "b").repartition("h", "a").sortWithinPartitions("h", "a")
     merged = runs.mapInArrow(_map_merge, _ROW)
-    found = judged.where("kind = 0").union(sorted_.where("kind = 0")).union(merged)
+    found = first.where("kind = 0").union(judged.where("kind = 0")).union(sorted_.where("kind = 0")).union(merged)
     return found.select("k1", "k2", "place", "a")
 
 
@@ -496,12 +496,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs; kept is null where nothing went.
 
     Null texts count as empty. Repeated rows are copies of one another, so all of
-    a text of SPAN bytes or more goes. Null ids are allowed. Other columns are
-    left out. An empty table gives an empty result.
+    a text of SPAN bytes or more goes. Texts are read whole, in pieces of PIECE
+    bytes. Which of several equal strings comes first (ties) makes no difference:
+    all go. Null ids are allowed. Other columns are left out. An empty table gives
+    an empty result.
     """
     found = repeated_stretches(docs, text_col).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "a")).alias("spans"))
     found = stash(found, "spans")
-    cuts = _distinct_texts(docs, text_col).join(found.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "spans").sortWithinPartitions("k1", "k2")
+    cuts = _texts_of(docs, text_col, found).join(found, ["k1", "k2"]).select("k1", "k2", "text", "spans")
     cuts = stash(cuts.mapInArrow(_map_cut, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"), "cuts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = _with_key(docs.select(F.col(id_col).alias("id"), text.alias("t")), F.col("t")).select("id", F.octet_length("t").cast("long").alias("n_bytes"), "sha", "k1", "k2")

@@ -407,7 +407,7 @@ def brute_dedup(texts):
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup_against_brute_force(spark, small, monkeypatch):
     if small:
-        for k, v in (("SHARD_BLOCKS", 3), ("PIECE", 700), ("SHARD_BYTES", 5000), ("CHUNK_ROWS", 50)):
+        for k, v in (("SHARD_CONTEXTS", 3), ("PIECE", 700), ("SHARD_BYTES", 5000), ("CHUNK_ROWS", 50), ("CHUNK_BYTES", 3000)):
             monkeypatch.setattr(suffix_dedup, k, v)
     rng = np.random.default_rng(1)
     word = lambda letters, n: "".join(rng.choice(list(letters), n))
