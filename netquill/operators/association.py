@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations, product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquill.operators import ranges
 from netquill.operators.clean import melt_numbers
 
 
@@ -17,8 +18,7 @@ def average_ranks(df: DataFrame, columns: list[str], side: str = "syn") -> DataF
     back by value, so no window runs over all rows.
     """
     counts = melt_numbers(df, columns, [side]).where("value is not null").groupBy("column", side, "value").agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy("column", side).orderBy("value"))
-    ranks = counts.select("column", side, "value", (below - (F.col("n") - 1) / 2).alias("rank"))
+    ranks = ranges.running(counts, ["column", side], "value", ["n"]).select("column", side, "value", (F.col("c_n") - (F.col("n") - 1) / 2).alias("rank"))
     out = df.select(side, *columns)
     for c in columns:
         one = ranks.where(F.col("column") == c).select(F.col(side).alias("nq_side"), F.col("value").alias("nq_value"), F.col("rank").alias(f"r_{c}"))
@@ -46,5 +46,6 @@ def mutual_information(df: DataFrame, columns: list[str], side: str = "syn") ->
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")) for a, b in combinations(columns, 2)])
     joint = df.select(side, F.explode(cells).alias("p")).select(side, "p.*").where("x is not null and y is not null").groupBy(side, "a", "b", "x", "y").agg(F.count("*").cast("double").alias("n"))
     pair = [side, "a", "b"]
-    full = joint.select("*", F.sum("n").over(Window.partitionBy(*pair)).alias("t"), F.sum("n").over(Window.partitionBy(*pair, "x")).alias("n_x"), F.sum("n").over(Window.partitionBy(*pair, "y")).alias("n_y"))
+    sums = lambda name, *by: joint.groupBy(*pair, *by).agg(F.sum("n").alias(name))
+    full = joint.join(sums("n_x", "x"), [*pair, "x"]).join(sums("n_y", "y"), [*pair, "y"]).join(F.broadcast(sums("t")), pair)
     return full.groupBy(*pair).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("n_x") * F.col("n_y")))).alias("mi"))

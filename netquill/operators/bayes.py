@@ -49,12 +49,19 @@ class Description:
     def get(self, name: str) -> Attribute:
         return next(a for a in self.attributes if a.name == name)
 
+    def dumps(self) -> str:
+        return json.dumps(asdict(self), default=str)
+
     def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps(asdict(self), default=str))
+        Path(path).write_text(self.dumps())
 
     @staticmethod
     def load(path: str) -> Description:
-        d = json.loads(Path(path).read_text())
+        return Description.loads(Path(path).read_text())
+
+    @staticmethod
+    def loads(text: str) -> Description:
+        d = json.loads(text)
         return Description(d["rows"], [Attribute(**a) for a in d["attributes"]], [(c, list(p)) for c, p in d["edges"]], d["epsilon"], d["spent"])
 
 

@@ -120,8 +120,8 @@ class Elastic:
 def elastic_summaries(df: DataFrame, columns: list[str], order: str, buckets: int = 3, light: int = 195) -> DataFrame:
     """(column, cardinality, entropy, largest, space): one sketch per column, columns in parallel.
 
-    Rows are counted in runs of equal values first; a group is walked batch by
-    batch, so memory is the sketch's.
+    The sketch depends on the order of its rows, so a column's rows are walked in
+    order by one task, batch by batch; memory is the sketch's.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     rows = df.select(F.col(order).alias("o"), F.explode(cells).alias("x")).select("x.column", "o", "x.value").where("value is not null")

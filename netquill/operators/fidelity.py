@@ -8,11 +8,14 @@ taken per column over distinct values, not over rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netquill.operators import ranges
 from netquill.operators.clean import melt, melt_numbers
 
 
@@ -29,15 +32,14 @@ def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _totals(freq: DataFrame) -> DataFrame:
-    w = Window.partitionBy("column")
-    return freq.withColumn("t_a", F.sum("n_a").over(w).cast("double")).withColumn("t_b", F.sum("n_b").over(w).cast("double"))
+    """freq and its columns' sums; one row a column goes to every task."""
+    sums = freq.groupBy(F.col("column").alias("of")).agg(F.sum("n_a").cast("double").alias("t_a"), F.sum("n_b").cast("double").alias("t_b"))
+    return freq.join(F.broadcast(sums), F.col("column") == F.col("of")).drop("of")
 
 
 def _cdfs(freq: DataFrame) -> DataFrame:
-    w = Window.partitionBy("column")
-    run = w.orderBy("value")
-    both = freq.select("*", F.sum("n_a").over(run).alias("c_a"), F.sum("n_b").over(run).alias("c_b"), F.lead("value").over(run).alias("next"), F.sum("n_a").over(w).cast("double").alias("t_a"), F.sum("n_b").over(w).cast("double").alias("t_b"))
-    return both.withColumn("gap", F.abs(F.try_divide(F.col("c_a"), F.col("t_a")) - F.try_divide(F.col("c_b"), F.col("t_b"))))
+    both = ranges.running(freq, ["column"], "value", ["n_a", "n_b"])
+    return both.withColumn("gap", F.abs(F.try_divide(F.col("c_n_a").cast("double"), F.col("t_n_a").cast("double")) - F.try_divide(F.col("c_n_b").cast("double"), F.col("t_n_b").cast("double"))))
 
 
 def distances(freq: DataFrame) -> DataFrame:
@@ -61,16 +63,17 @@ def divergences(freq: DataFrame) -> DataFrame:
 
 
 def entropy_of(counts: DataFrame, n: str = "n", by: tuple[str, ...] = ("column",), base: float = math.e) -> DataFrame:
-    """(by, entropy) of the frequencies n."""
-    total = F.sum(n).over(Window.partitionBy(*by)).cast("double")
-    p = F.col(n) / F.col("nq_total")
-    return counts.where(F.col(n) > 0).withColumn("nq_total", total).groupBy(*by).agg(F.sum(-p * F.log(p) / math.log(base)).alias("entropy"))
+    """(by, entropy) of the frequencies n, as log t - sum of n log n / t: one aggregate."""
+    x = F.col(n).cast("double")
+    got = counts.where(x > 0).groupBy(*by).agg(F.sum(x).alias("nq_t"), F.sum(x * F.log(x)).alias("nq_s"))
+    return got.select(*by, ((F.log("nq_t") - F.col("nq_s") / F.col("nq_t")) / math.log(base)).alias("entropy"))
 
 
 def auto_bins(df: DataFrame, columns: list[str], side: str = "syn") -> DataFrame:
     """(column, side, low, high, n_bins): the bin number that numpy's rule 'auto' takes, the finer of Sturges and Freedman-Diaconis."""
-    cells = melt_numbers(df, columns, [side]).where("value is not null")
-    stats = cells.groupBy("column", side).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").cast("double").alias("n"), F.expr("percentile(value, array(0.25D, 0.75D))").alias("q"))
+    counts = melt_numbers(df, columns, [side]).where("value is not null").groupBy("column", side, "value").agg(F.count("*").alias("n"))
+    q = ranges.quantiles(counts, ["column", side], "value", "n", [0.25, 0.75])
+    stats = counts.groupBy("column", side).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").cast("double").alias("n")).join(q, ["column", side])
     wide = F.col("high") - F.col("low")
     sturges, fd = wide / (F.log2("n") + 1), 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow(F.col("n"), 1 / 3)
     width = F.when(fd > 0, F.least(sturges, fd)).otherwise(sturges)
@@ -108,8 +111,8 @@ def top_recall_error(freq: DataFrame, k: int, tolerance: float = 0.0) -> DataFra
     """(column, k, tolerance, recall_error): share of the original's top values that no synthetic top value is near.
 
     near: within tolerance times the original's range. Each side's nearest
-    neighbour below and above is found in one ordered pass, not by comparing all
-    with all.
+    neighbour below and above is found in one ordered pass over the 2 k top values
+    of a column, not by comparing all with all.
     """
     a = top_values(freq, k, "n_a").select("column", "value", F.lit(True).alias("own"))
     b = top_values(freq, k, "n_b").select("column", "value", F.lit(False).alias("own"))
@@ -152,10 +155,11 @@ def pooled_frequency_error(freq: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, error): half the summed difference of the shares that values have in both columns pooled."""
     out = None
     pairs = freq.sparkSession.createDataFrame(list(combinations(columns, 2)), "a string, b string")
-    both = freq.join(F.broadcast(pairs), (F.col("column") == F.col("a")) | (F.col("column") == F.col("b")))
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("column"))
+    both = freq.join(F.broadcast(ends), "column")
     pooled = both.groupBy("a", "b", "value").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-    w = Window.partitionBy("a", "b")
-    shares = pooled.select("a", "b", (F.col("n_a") / F.sum("n_a").over(w)).alias("p"), (F.col("n_b") / F.sum("n_b").over(w)).alias("q"))
+    sums = pooled.groupBy(F.col("a").alias("a2"), F.col("b").alias("b2")).agg(F.sum("n_a").alias("t_a"), F.sum("n_b").alias("t_b"))
+    shares = pooled.join(F.broadcast(sums), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).select("a", "b", (F.col("n_a") / F.col("t_a")).alias("p"), (F.col("n_b") / F.col("t_b")).alias("q"))
     out = shares.groupBy("a", "b").agg((F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("error"))
     return out
 
@@ -176,7 +180,7 @@ def summarise(metrics: DataFrame, compat_std: bool = False) -> DataFrame:
 
 def single_report(df: DataFrame, continuous: list[str], categorical: list[str], side: str = "syn", ks: tuple[int, ...] = (100, 1000), tolerances: tuple[float, ...] = (0.001, 0.01, 0.1, 0.15), digits: int = 3) -> DataFrame:
     """(metric, column, value): all single-column measures."""
-    freq = frequencies(df, sorted(continuous + categorical), side).cache()
+    freq = frequencies(df, sorted(continuous + categorical), side)
     long = lambda d, m: d.select(F.lit(m).alias("metric"), "column", F.round(F.col(m), digits).alias("value"))
     gaps, div = distances(freq), divergences(freq)
     parts = [long(gaps, "ks"), long(gaps, "mean_quantile_error"), long(gaps, "emd"), long(div, "jsd"), long(entropy_differences(column_entropies(df, continuous, categorical, side), side), "entropy_error")]
@@ -204,7 +208,8 @@ def cross_report(df: DataFrame, columns: list[str], side: str = "syn", digits: i
 def weighted_bins_entropy(freq: DataFrame, n: str) -> DataFrame:
     """(column, entropy): of bins whose width is Sturges' bin count or Freedman-Diaconis over distinct values, the variant that sketches are held to."""
     some = freq.where(F.col(n) > 0)
-    stats = some.groupBy("column").agg(F.count("*").cast("double").alias("u"), F.expr("percentile(value, array(0.25D, 0.75D))").alias("q"), F.min("value").alias("low"))
+    q = ranges.quantiles(some.select("column", "value", F.lit(1).cast("long").alias("one")), ["column"], "value", "one", [0.25, 0.75])
+    stats = some.groupBy("column").agg(F.count("*").cast("double").alias("u"), F.min("value").alias("low")).join(q, "column")
     fd = 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow(F.col("u"), 1 / 3)
     stats = stats.select("column", "low", F.greatest(fd, F.log2("u") + 1).alias("width"))
     binned = some.join(F.broadcast(stats), "column").groupBy("column", F.floor((F.col("value") - F.col("low")) / F.col("width")).alias("b")).agg(F.sum(n).alias("n"))
@@ -213,16 +218,16 @@ def weighted_bins_entropy(freq: DataFrame, n: str) -> DataFrame:
 
 def rank_counts(freq: DataFrame, n: str) -> DataFrame:
     """(column, value, rows_below): rows with a smaller value."""
-    w = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return freq.select("column", "value", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long").alias("rows_below"))
+    return ranges.running(freq.select("column", "value", n), ["column"], "value", [n]).select("column", "value", (F.col(f"c_{n}") - F.col(n)).cast("long").alias("rows_below"))
 
 
 def padded_cdf_gap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row (max_gap, mean_gap) of two (i, cdf) tables; past its end a table keeps its last value."""
-    both = a.select("i", F.col("cdf").alias("a")).join(b.select("i", F.col("cdf").alias("b")), "i", "full_outer")
-    w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.select(F.last("a", True).over(w).alias("a"), F.last("b", True).over(w).alias("b"))
-    return filled.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("max_gap"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_gap"))
+    """One row (max_gap, mean_gap) of two (i, n) tables' distribution functions at every i of either; before its start one is 0, past its end 1."""
+    one = lambda df, x, y: df.select("i", x.alias("n_a"), y.alias("n_b"))
+    zero = F.lit(0).cast("long")
+    both = one(a, F.col("n"), zero).union(one(b, zero, F.col("n"))).groupBy("i").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    gaps = _cdfs(both.select(F.lit("i").alias("column"), F.col("i").cast("double").alias("value"), "n_a", "n_b"))
+    return gaps.agg(F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"))
 
 
 def histograms(df: DataFrame, column: str, bins: int = 15, side: str = "syn") -> DataFrame:
@@ -233,13 +238,22 @@ def histograms(df: DataFrame, column: str, bins: int = 15, side: str = "syn") ->
     return wide.groupBy("bin").agg(F.sum(F.when(~F.col(side), F.col("count")).otherwise(0)).alias("n_a"), F.sum(F.when(F.col(side), F.col("count")).otherwise(0)).alias("n_b"))
 
 
-def mmd(df: DataFrame, columns: list[str], side: str = "syn", sample: int = 500, width: float = 1.0, seed: int = 7) -> DataFrame:
-    """One row: squared maximum mean discrepancy under a Gaussian kernel, on a sample of fixed size from each side."""
-    take = lambda s: df.where(F.col(side) == F.lit(s)).orderBy(F.rand(seed)).limit(sample).select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    a, b = take(False), take(True)
+def fourier_draws(columns: int, features: int, width: float = 1.0, seed: int = 7) -> list[tuple[list[float], float]]:
+    """Frequencies and phase of each random Fourier feature of the Gaussian kernel."""
+    rng = np.random.default_rng(seed)
+    return [([float(x) for x in rng.normal(0, 1 / width, columns)], float(rng.uniform(0, 2 * math.pi))) for _ in range(features)]
 
-    def mean(p: DataFrame, q: DataFrame) -> DataFrame:
-        gap = F.aggregate(F.zip_with("x", "y", lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda acc, v: acc + v)
-        return p.crossJoin(q.select(F.col("x").alias("y"))).agg(F.avg(F.exp(-gap / (2 * width * width))).alias("k"))
 
-    return mean(a, a).select(F.col("k").alias("aa")).crossJoin(mean(b, b).select(F.col("k").alias("bb"))).crossJoin(mean(a, b).select(F.col("k").alias("ab"))).select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("mmd2"))
+def mmd(df: DataFrame, columns: list[str], side: str = "syn", features: int = 128, width: float = 1.0, seed: int = 7) -> DataFrame:
+    """One row: squared maximum mean discrepancy under a Gaussian kernel, over all rows.
+
+    The kernel is taken by random Fourier features, whose error falls with the
+    root of their number: mmd2 = 2 / features * sum of (mean on one side - mean on
+    the other)^2, from one aggregate.
+    """
+    draws = fourier_draws(len(columns), features, width, seed)
+    total = lambda ws: reduce(lambda a, b: a + b, [F.col(c).cast("double") * F.lit(w) for c, w in zip(columns, ws)])
+    cells = [F.cos(total(ws) + F.lit(o)) for ws, o in draws]
+    means = df.groupBy(side).agg(*[F.avg(c).alias(f"f{i}") for i, c in enumerate(cells)])
+    pick = lambda i, s: F.max(F.when(F.col(side) == F.lit(s), F.col(f"f{i}")))
+    return means.agg((F.lit(2.0 / features) * reduce(lambda a, b: a + b, [F.pow(pick(i, False) - pick(i, True), 2) for i in range(features)])).alias("mmd2"))

@@ -68,7 +68,7 @@ def iterate(df: DataFrame, columns: list[str] | None = None) -> Iterator:
 
 def worker_split(df: DataFrame, rank: int, workers: int, key: str) -> DataFrame:
     """The rows of one of several workers, by hash of a key; together they are all rows."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(workers)) == rank)
+    return df.where(F.floor(hash_fraction(F.col(key)) * workers) == rank)
 
 
 def hash_fraction(c: Column, seed: str = "") -> Column:
@@ -81,9 +81,10 @@ def sample_rows(df: DataFrame, fraction: float, key: str | None = None, seed: in
     return df.where(hash_fraction(F.col(key), str(seed)) < fraction) if key else df.sample(fraction=fraction, seed=seed)
 
 
-def capped_sample(df: DataFrame, fraction: float = 0.1, rows: int = 50_000, seed: int = 0) -> DataFrame:
-    """A random share of rows, at most rows of them."""
-    return df.sample(fraction=fraction, seed=seed).limit(rows)
+def capped_sample(df: DataFrame, fraction: float = 0.1, rows: int = 50_000, seed: int = 0, key: Column | None = None) -> DataFrame:
+    """A random share of rows, at most rows of them, drawn alike from all partitions: those of least hash of the key, or of least random number."""
+    u = hash_fraction(key, str(seed)) if key is not None else F.rand(seed)
+    return df.withColumn("nq_u", u).where(F.col("nq_u") < fraction).orderBy("nq_u").limit(rows).drop("nq_u")
 
 
 def split(df: DataFrame, key: str, share: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:

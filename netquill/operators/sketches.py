@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netquill.operators import ranges
 from netquill.operators.clean import melt
 
 
@@ -162,3 +163,32 @@ def univmon_entropy(heavy: DataFrame, rows_in: DataFrame, levels: int = 12, base
 
 def univmon_heavy_hitters(heavy: DataFrame, threshold: float) -> DataFrame:
     return heavy.groupBy("column", "value").agg(F.max("estimate").alias("estimate")).where(F.col("estimate") >= threshold)
+
+
+# Against exact answers ------------------------------------------------------
+
+
+def compare_top_k(est: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """(column, recall): share of the k commonest values that are among the k greatest estimates."""
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
+    exact = counts.withColumn("rank", rank).where(F.col("rank") <= k).select("column", "value")
+    got = top_k(est, k).select("column", "value", F.lit(1.0).alias("hit"))
+    return exact.join(got, ["column", "value"], "left").groupBy("column").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+
+
+def compare_entropies(est: DataFrame, counts: DataFrame) -> DataFrame:
+    """(column, exact, estimate, error): entropies in nats, and their difference as a share of the exact one."""
+    x = F.col("n").cast("double")
+    own = counts.where("n > 0").groupBy("column").agg((F.log(F.sum(x)) - F.sum(x * F.log(x)) / F.sum(x)).alias("exact"))
+    both = own.join(entropy(est).withColumnRenamed("entropy", "estimate"), "column")
+    return both.withColumn("error", F.try_divide(F.abs(F.col("estimate") - F.col("exact")), F.col("exact")))
+
+
+def compare_ranks(ranks: DataFrame, counts: DataFrame) -> DataFrame:
+    """(column, mean_error, max_error): of estimated ranks (column, x, rank), as a share of the column's rows. counts: (column, value number, n)."""
+    asked = ranks.select("column", F.col("x").cast("double").alias("value"), F.col("rank").alias("asked"), F.lit(0).cast("long").alias("n"))
+    both = counts.select("column", F.col("value").cast("double").alias("value"), F.lit(None).cast("double").alias("asked"), "n").union(asked)
+    each = both.groupBy("column", "value").agg(F.max("asked").alias("asked"), F.sum("n").alias("n"))
+    run = ranges.running(each, ["column"], "value", ["n"]).where("asked is not null")
+    gap = F.abs(F.col("asked") - (F.col("c_n") - F.col("n"))) / F.col("t_n")
+    return run.groupBy("column").agg(F.avg(gap).alias("mean_error"), F.max(gap).alias("max_error"))

@@ -12,6 +12,9 @@ from typing import ClassVar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netquill.operators import ranges
+from netquill.operators.clean import melt_numbers
+
 EPSILON = 1e-6
 STEPS: dict[str, type] = {}
 
@@ -74,8 +77,11 @@ def fit_minmax(df: DataFrame, columns: list[str]) -> Affine:
 
 
 def fit_robust(df: DataFrame, columns: list[str]) -> Affine:
-    """By median and interquartile range."""
-    return _fit(df, columns, lambda c: F.percentile(c, 0.5), lambda c: F.percentile(c, 0.75) - F.percentile(c, 0.25))
+    """By median and interquartile range, exact, from value counts."""
+    counts = melt_numbers(df, columns).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    q = {r["column"]: r.q for r in ranges.quantiles(counts, ["column"], "value", "n", [0.25, 0.5, 0.75]).collect()}
+    wide = {c: q[c][2] - q[c][0] if c in q else 0.0 for c in columns}
+    return Affine({c: q[c][1] if c in q else 0.0 for c in columns}, {c: wide[c] or 1.0 for c in columns})
 
 
 @_step

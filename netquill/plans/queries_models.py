@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from netquill.operators import transforms as T
 from netquill.plans import transform_plan
 from netquill.plans.queries_stats import _round
 from netquill.queries import FLOWS, flows, load, query
+from netquill.sources import tables
 
 _COLS = ["in_bytes", "in_pkts", "discount"]
 
@@ -122,7 +125,7 @@ def transform_mixture_inverse(s, d):
 @query()
 def transform_fitted_mixture(s, d):
     df = _keyed(s, d).select("k", "n", "in_bytes", "in_pkts")
-    step = mixture.fit_mixture(df, ["in_bytes", "in_pkts"], share=1.0)
+    step = mixture.fit_mixture(df, ["in_bytes", "in_pkts"])
     return step.forward(df)
 
 
@@ -191,12 +194,14 @@ def sketch_entropy(s, d):
 
 @query(f"{_CS}, x AS (SELECT \"column\", value, n, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) AS rank FROM v QUALIFY rank <= 20), y AS (SELECT \"column\", value, row_number() OVER (PARTITION BY \"column\" ORDER BY abs(estimate) DESC, value) AS rank FROM e QUALIFY rank <= 20) SELECT \"column\", avg((y.value IS NOT NULL)::INT) AS recall FROM x LEFT JOIN y USING (\"column\", value) GROUP BY 1")
 def sketch_top_k_recall(s, d):
-    from netquill.operators import fidelity
+    v = _counts(s, d)
+    return sketches.compare_top_k(sketches.estimates(sketches.count_sketch(v, 5, 64), v, 5, 64), v, 20)
+
 
+@query(f"{_CS}, a AS (SELECT \"column\", ln(sum(n)) - sum(n * ln(n)) / sum(n) AS exact FROM v GROUP BY 1), p AS (SELECT \"column\", abs(estimate) / sum(abs(estimate)) OVER (PARTITION BY \"column\") AS p FROM e WHERE estimate <> 0), b AS (SELECT \"column\", sum(-p * ln(p)) AS estimate FROM p GROUP BY 1) SELECT \"column\", round(exact, 6) AS exact, round(estimate, 6) AS estimate, round(abs(estimate - exact) / exact, 6) AS error FROM a JOIN b USING (\"column\")")
+def sketch_entropy_error(s, d):
     v = _counts(s, d)
-    exact = fidelity.top_values(v, 20, "n").select("column", "value")
-    got = sketches.top_k(sketches.estimates(sketches.count_sketch(v, 5, 64), v, 5, 64), 20).select("column", "value", F.lit(1.0).alias("hit"))
-    return exact.join(got, ["column", "value"], "left").groupBy("column").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+    return _round(sketches.compare_entropies(sketches.estimates(sketches.count_sketch(v, 5, 64), v, 5, 64), v), 6, "exact", "estimate", "error")
 
 
 @query()
@@ -228,25 +233,35 @@ def sketch_dyadic_rank(s, d):
     return sketches.dyadic_rank(_dyadic(s, d), asked, _U, _G)
 
 
+@query(f"""{_DY}, q AS (SELECT x FROM range(0, 2000, 100) t(x)), a AS (SELECT x, l AS level, l::VARCHAR || ':' || ((x >> l) - 1)::VARCHAR AS value, 0 AS n FROM q, range(0, {_LV}) t(l) WHERE (x >> l) & 1 = 1),
+ u AS (SELECT DISTINCT level, value, n FROM a), b AS ({_cells_sql('u', _RW, _WD, 'level')}), e AS (SELECT level, value, median(sign * coalesce(cell, 0)) AS estimate FROM b LEFT JOIN s USING (level, row, bucket) GROUP BY ALL),
+ r AS (SELECT x, coalesce(sum(estimate), 0)::DOUBLE AS rank FROM q LEFT JOIN a USING (x) LEFT JOIN e USING (level, value) GROUP BY x), g AS (SELECT abs(rank - (SELECT coalesce(sum(n), 0) FROM v WHERE v < x)) / (SELECT sum(n) FROM v) AS gap FROM r)
+ SELECT 'dst' AS "column", round(avg(gap), 6) AS mean_error, round(max(gap), 6) AS max_error FROM g""")
+def sketch_rank_error(s, d):
+    asked = s.range(0, 2000, 100).select(F.lit("dst").alias("column"), F.col("id").alias("x"))
+    v = load(s, d, "lineitem").groupBy(F.lit("dst").alias("column"), F.col("l_partkey").alias("value")).agg(F.count("*").alias("n"))
+    return _round(sketches.compare_ranks(sketches.dyadic_rank(_dyadic(s, d), asked, _U, _G), v), 6, "mean_error", "max_error")
+
+
 @query(f"SELECT {_LV} AS levels, {_RW} AS sketch_rows, {_WD} AS width, {sketches.memory_budget(_U, _G)} AS bytes")
 def sketch_dyadic_budget(s, d):
     lv, rw, wd = sketches.dyadic_shape(_U, _G)
     return s.createDataFrame([(lv, rw, wd, sketches.memory_budget(_U, _G))], "levels int, sketch_rows int, width int, bytes int")
 
 
-_UM = {"memory": 1 << 14, "levels": 6, "rows": 5}
+_UM = {"memory": 1 << 20, "levels": 12, "rows": 5}
 _UW = sketches.univmon_shape(**_UM)
 _BITS = "[" + ", ".join(f"{_hash_sql('value', chr(39) + f'sample{i}' + chr(39))} % 2" for i in range(_UM["levels"] - 1)) + "]"
 _UV = f"""{_VC}, h AS (SELECT *, coalesce(list_position({_BITS}, 0) - 1, {_UM['levels'] - 1}) AS depth FROM v), l AS (SELECT "column", l AS level, value, n, (depth > l)::INT AS bit FROM h, range(0, {_UM['levels']}) t(l) WHERE l <= depth),
  c AS ({_cells_sql('l', _UM['rows'], _UW, '\"column\", level, bit')}), s AS (SELECT "column", level, row, bucket, sum(sign * n)::BIGINT AS cell FROM c GROUP BY ALL),
  e AS (SELECT "column", level, value, bit, floor(median(sign * coalesce(cell, 0))) AS estimate FROM c LEFT JOIN s USING ("column", level, row, bucket) GROUP BY ALL),
- t AS (SELECT * FROM e WHERE estimate > 0 QUALIFY row_number() OVER (PARTITION BY "column", level ORDER BY estimate DESC, value) <= 50)"""
+ t AS (SELECT * FROM e WHERE estimate > 0 QUALIFY row_number() OVER (PARTITION BY "column", level ORDER BY estimate DESC, value) <= 1000)"""
 _LAST = _UM["levels"] - 1
 
 
 def _heavy(s, d):
     v = _counts(s, d)
-    return v, sketches.univmon_heavy(sketches.univmon(v, **_UM), v, 50, **_UM)
+    return v, sketches.univmon_heavy(sketches.univmon(v, **_UM), v, 1000, **_UM)
 
 
 @query(f"{_UV} SELECT \"column\", level::INT AS level, row::INT AS row, bucket, cell FROM s")
@@ -302,12 +317,17 @@ def sample_split(s, d):
     return a.withColumn("part", F.lit("train")).union(b.withColumn("part", F.lit("test")))
 
 
-@query()
+_U01 = "(('0x' || substr(md5({}), 1, 8))::BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, {_U01.format(chr(39) + '0' + chr(39) + ' || l_orderkey::VARCHAR || ' + chr(39) + '-' + chr(39) + ' || l_linenumber::VARCHAR || ' + chr(39) + '-' + chr(39) + ' || l_extendedprice::VARCHAR')} AS u FROM (SELECT l_orderkey, l_linenumber, l_quantity, round(l_extendedprice * 100)::BIGINT AS l_extendedprice FROM lineitem)) WHERE u < 0.1 ORDER BY u, l_orderkey LIMIT 500")
 def sample_capped(s, d):
-    return sequences.capped_sample(load(s, d, "lineitem"), 0.1, 500)
+    t = load(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "cents")
+    return sequences.capped_sample(t, 0.1, 500, key=key).drop("cents")
 
 
-@query()
+@query(f"SELECT * FROM orders WHERE floor({_U01.format('o_orderkey::VARCHAR')} * 4) = 1")
 def sample_worker_split(s, d):
     return sequences.worker_split(load(s, d, "orders"), 1, 4, "o_orderkey")
 
@@ -338,17 +358,18 @@ def equal_semi_join(s, d):
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
 
 
-@query(f"""WITH e AS (SELECT vec_id, {_UNIT} AS u FROM embeddings), q AS (SELECT vec_id AS qid, u AS qu FROM e WHERE vec_id >= 100), v AS (SELECT vec_id AS word, u FROM e WHERE vec_id < 100),
- g AS (SELECT qid, word, round(sqrt(greatest(0, 2 - 2 * list_sum(list_transform(range(1, 65), lambda i: qu[i] * u[i])))), 6) AS distance FROM q, v) SELECT qid AS vec_id, word, distance FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, word) = 1""")
+@query(f"""WITH e AS (SELECT vec_id, {_UNIT} AS u FROM embeddings), q AS (SELECT vec_id AS qid, u AS qu FROM e WHERE vec_id % 100 = 0),
+ g AS (SELECT qid, vec_id AS word, round(sqrt(greatest(0, 2 - 2 * list_sum(list_transform(range(1, 65), lambda i: qu[i] * u[i])))), 6) AS distance FROM q, e WHERE vec_id <> qid) SELECT qid AS vec_id, word, distance FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, word) = 1""")
 def nearest_word(s, d):
     e = load(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return nearest.nearest_vector(e.where("vec_id >= 100"), e.where("vec_id < 100").withColumnRenamed("vec_id", "word"), "vec_id", digits=6)
+    return nearest.nearest_vector(e.where("vec_id % 100 = 0"), e.withColumnRenamed("vec_id", "word"), "vec_id", digits=6, apart=True)
 
 
 @query()
-def nearest_word_lsh(s, d):
+def nearest_word_index(s, d):
+    """Every row is in the index; its recall against nearest_word is tested."""
     e = load(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return nearest.nearest_vector_lsh(e.where("vec_id >= 100"), e.where("vec_id < 100").withColumnRenamed("vec_id", "word"), "vec_id")
+    return nearest.nearest_vector_index(e.where("vec_id % 100 = 0"), e.withColumnRenamed("vec_id", "word"), "vec_id", digits=6, apart=True)
 
 
 @query()
@@ -361,7 +382,36 @@ def _port_vectors(s) -> DataFrame:
     return s.range(0, 2000, 3).select(F.lit("PORT").alias("type"), F.col("id").cast("string").alias("word"), F.array(F.round(F.cos(F.col("id") / 400), 9), F.round(F.sin(F.col("id") / 400), 9)).alias("vector"))
 
 
-@query("""WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 3 WHEN 1 THEN l_partkey - 1 WHEN 2 THEN least(l_partkey + 1, 1998) ELSE l_partkey END AS w FROM lineitem) SELECT l_orderkey, l_linenumber, round(cos(w / 400.0::DOUBLE), 9) AS l_partkey_0, round(sin(w / 400.0::DOUBLE), 9) AS l_partkey_1 FROM q""")
+@query("SELECT 'PORT' AS type, range::VARCHAR AS word, round(cos(range / 400.0::DOUBLE), 9) AS x, round(sin(range / 400.0::DOUBLE), 9) AS y FROM range(0, 2000, 3)")
+def embed_saved_words(s, d):
+    path = f"{tables.work_dir(s)}/netquill-io-{uuid.uuid4().hex}"
+    nearest.save_words(_port_vectors(s), path)
+    return nearest.load_words(s, path).select("type", "word", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
+
+
+@query("SELECT DISTINCT t.type, t.word FROM (SELECT 'PORT' AS type, l_partkey::VARCHAR AS word FROM lineitem UNION SELECT 'PORT', l_suppkey::VARCHAR FROM lineitem UNION SELECT 'PROTOCOL', l_linenumber::VARCHAR FROM lineitem) t JOIN (SELECT range::VARCHAR AS word FROM range(0, 2000, 3)) USING (word)")
+def embed_vocabulary(s, d):
+    words = _port_vectors(s).select("word", "vector")
+    return nearest.vocabulary(flows(s, d), {"PORT": ["src", "dst"], "PROTOCOL": ["proto"]}, words).select("type", "word")
+
+
+_ENCODED = """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 3 WHEN 1 THEN l_partkey - 1 WHEN 2 THEN least(l_partkey + 1, 1998) ELSE l_partkey END AS w FROM lineitem) SELECT l_orderkey, l_linenumber, round(cos(w / 400.0::DOUBLE), 9) AS l_partkey_0, round(sin(w / 400.0::DOUBLE), 9) AS l_partkey_1 FROM q"""
+
+
+@query(_ENCODED)
+def embed_written(s, d):
+    path = f"{tables.work_dir(s)}/netquill-io-{uuid.uuid4().hex}"
+    tables.write(embed_encode(s, d), path, "csv", single_file=True)
+    return tables.read(s, path, "csv", "l_orderkey long, l_linenumber int, l_partkey_0 double, l_partkey_1 double")
+
+
+@query()
+def transform_log_mixture(s, d):
+    df = _keyed(s, d).select("k", "n", "in_bytes")
+    return transform_plan.prepare(df, ["in_bytes"], [], {"transforms": {"custom": [{"method": "GMM_log", "columns": ["in_bytes"]}]}}).data
+
+
+@query(_ENCODED)
 def embed_encode(s, d):
     df = load(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return _round(nearest.encode(df, {"l_partkey": "PORT"}, _port_vectors(s), 2), 9, "l_partkey_0", "l_partkey_1")

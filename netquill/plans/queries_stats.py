@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquill.operators import association, clean, fidelity, flow_queries
-from netquill.queries import FLOWS, flows, load, query
+from netquill.queries import FLOWS, ORACLE, flows, load, query
 
 NUM = ["in_bytes", "in_pkts", "discount", "dst"]
 CAT = ["proto", "tax"]
@@ -276,14 +276,27 @@ def fidelity_joint_frequency(s, d):
     return _round(fidelity.joint_frequency_error(flows(s, d), "src", "proto"), 6, "error")
 
 
-@query()
+def _named(metric: str, column: str, sql: str) -> str:
+    return f"""SELECT '{metric}' AS metric, "column", {column} AS value FROM ({sql})"""
+
+
+def _report_sql() -> str:
+    of = lambda q: ORACLE[q]
+    parts = [_named(m, m, of("fidelity_cdf_distances")) for m in ("ks", "mean_quantile_error", "emd")] + [_named("jsd", "jsd", of("fidelity_divergences")), _named("entropy_error", "entropy_error", of("fidelity_entropy_error"))]
+    for k in (100, 1000):
+        for cols, t, name in ((NUM, 0.001, f"top_{k}_within_0.001"), (NUM, 0.1, f"top_{k}_within_0.1"), (CAT, 0.0, f"top_{k}_exact")):
+            parts.append(_named(name, "recall_error", f"WITH {FLOWS}, {_cells(cols)}, {_recall_with((k,))} {_recall_sql(k, t)}"))
+    return " UNION ALL ".join(parts)
+
+
+@query(_report_sql())
 def fidelity_single_report(s, d):
-    return fidelity.single_report(flows(s, d), NUM, CAT, tolerances=(0.001, 0.1))
+    return fidelity.single_report(flows(s, d), NUM, CAT, tolerances=(0.001, 0.1), digits=6)
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, a, b, error AS value FROM ({ORACLE[q]})" for m, q in (("cardinality", "fidelity_pair_cardinality"), ("norm", "fidelity_pair_norms"), ("pooled_frequency", "fidelity_pooled_frequency"))))
 def fidelity_cross_report(s, d):
-    return fidelity.cross_report(flows(s, d), NUM)
+    return fidelity.cross_report(flows(s, d), NUM, digits=6)
 
 
 @query(f"""WITH {FLOWS}, {_cells(NUM + CAT)}, r AS (SELECT "column", abs(sum(n_a) OVER w / sum(n_a) OVER (PARTITION BY "column") - sum(n_b) OVER w / sum(n_b) OVER (PARTITION BY "column")) AS gap FROM q WINDOW w AS (PARTITION BY "column" ORDER BY value)), m AS (SELECT "column", max(gap) AS v FROM r GROUP BY 1)
@@ -304,14 +317,11 @@ def rank_counts(s, d):
     return fidelity.rank_counts(fidelity.frequencies(flows(s, d), ["dst", "in_pkts"]), "n_a")
 
 
-@query(f"WITH {FLOWS}, a AS (SELECT proto AS i, sum(count(*)) OVER (ORDER BY proto) / sum(count(*)) OVER () AS a FROM f WHERE NOT syn AND proto <= 4 GROUP BY proto), b AS (SELECT proto AS i, sum(count(*)) OVER (ORDER BY proto) / sum(count(*)) OVER () AS b FROM f WHERE syn GROUP BY proto), j AS (SELECT last_value(a IGNORE NULLS) OVER w AS a, last_value(b IGNORE NULLS) OVER w AS b FROM a FULL JOIN b USING (i) WINDOW w AS (ORDER BY i)) SELECT round(max(abs(a - b)), 6) AS max_gap, round(avg(abs(a - b)), 6) AS mean_gap FROM j")
+@query(f"WITH {FLOWS}, a AS (SELECT proto AS i, sum(count(*)) OVER (ORDER BY proto) / sum(count(*)) OVER () AS a FROM f WHERE NOT syn GROUP BY proto), b AS (SELECT proto + 2 AS i, sum(count(*)) OVER (ORDER BY proto) / sum(count(*)) OVER () AS b FROM f WHERE syn GROUP BY proto), j AS (SELECT coalesce(last_value(a IGNORE NULLS) OVER w, 0) AS a, coalesce(last_value(b IGNORE NULLS) OVER w, 0) AS b FROM a FULL JOIN b USING (i) WINDOW w AS (ORDER BY i)) SELECT round(max(abs(a - b)), 6) AS max_gap, round(avg(abs(a - b)), 6) AS mean_gap FROM j")
 def cdf_gap_padded(s, d):
-    def cdf(df):
-        n = df.groupBy(F.col("proto").alias("i")).agg(F.count("*").alias("n"))
-        return n.select("i", (F.sum("n").over(Window.orderBy("i")) / F.sum("n").over(Window.partitionBy())).alias("cdf"))
-
     f = flows(s, d)
-    return _round(fidelity.padded_cdf_gap(cdf(f.where("not syn and proto <= 4")), cdf(f.where("syn"))), 6, "max_gap", "mean_gap")
+    count = lambda df, i: df.groupBy(i.alias("i")).agg(F.count("*").alias("n"))
+    return _round(fidelity.padded_cdf_gap(count(f.where("not syn"), F.col("proto")), count(f.where("syn"), F.col("proto") + 2)), 6, "max_gap", "mean_gap")
 
 
 @query(f"WITH {FLOWS} SELECT least(floor((in_bytes - lo) / (hi - lo) * 15), 14)::INT AS bin, sum((NOT syn)::INT)::BIGINT AS n_a, sum(syn::INT)::BIGINT AS n_b FROM f, (SELECT min(in_bytes) lo, max(in_bytes) hi FROM f) GROUP BY 1")
@@ -319,9 +329,16 @@ def histogram_comparison(s, d):
     return fidelity.histograms(flows(s, d), "in_bytes")
 
 
-@query()
+def _mmd_sql(columns: list[str], features: int = 128) -> str:
+    draws = fidelity.fourier_draws(len(columns), features)
+    cell = lambda ws, o: "cos(" + " + ".join(f"{c} * ({w!r})::DOUBLE" for c, w in zip(columns, ws)) + f" + ({o!r})::DOUBLE)"
+    means = ", ".join(f"avg({cell(ws, o)}) FILTER (NOT syn) - avg({cell(ws, o)}) FILTER (syn) AS f{i}" for i, (ws, o) in enumerate(draws))
+    return f"WITH {FLOWS}, m AS (SELECT {means} FROM f) SELECT round({2.0 / features!r} * ({' + '.join(f'f{i} * f{i}' for i in range(features))}), 9) AS mmd2 FROM m"
+
+
+@query(_mmd_sql(["discount", "tax"]))
 def fidelity_mmd(s, d):
-    return fidelity.mmd(flows(s, d), ["discount", "tax"], sample=100)
+    return _round(fidelity.mmd(flows(s, d), ["discount", "tax"]), 9, "mmd2")
 
 
 _RANKED = ["in_bytes", "in_pkts", "discount", "tax"]

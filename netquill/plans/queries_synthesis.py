@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquill.operators import bayes, elastic, generator, sequences, utility
+from netquill.operators import bayes, elastic, flow_queries, generator, sequences, utility
+from netquill.plans import settings
 from netquill.plans.queries_stats import _round
-from netquill.queries import load, query
+from netquill.queries import ORACLE, QUERIES, flows, load, query
 from netquill.sources import tables
 from netquill.streaming import flow_stream
 
@@ -89,7 +89,7 @@ def bayes_synthesis_rows(s, d):
 
 @query()
 def bayes_synthesis(s, d):
-    return bayes.synthesise(_table(s, d), rows=1000)
+    return bayes.synthesise(_table(s, d))
 
 
 @query()
@@ -97,18 +97,19 @@ def bayes_independent(s, d):
     t = _table(s, d)
     desc = bayes.describe(t)
     names = [a.name for a in desc.attributes]
-    return bayes.decode(bayes.sample_independent(s, 500, bayes.marginals(bayes.encode(t, desc), desc, 1.0), names), desc)
+    return bayes.decode(bayes.sample_independent(s, desc.rows, bayes.marginals(bayes.encode(t, desc), desc, 1.0), names), desc)
 
 
 @query()
 def bayes_random(s, d):
-    return bayes.sample_random(s, 500, bayes.describe(_table(s, d)))
+    desc = bayes.describe(_table(s, d))
+    return bayes.sample_random(s, desc.rows, desc)
 
 
-@query("SELECT range AS id, range AS c_custkey FROM range(0, 300)")
+@query("SELECT range AS id, range AS c_custkey FROM range(0, (SELECT count(*) FROM customer))")
 def bayes_candidate_keys(s, d):
     desc = bayes.describe(load(s, d, "customer").select("c_custkey", "c_nationkey"))
-    return bayes.candidate_keys(s, 300, desc)
+    return bayes.candidate_keys(s, desc.rows, desc)
 
 
 @query()
@@ -127,18 +128,17 @@ def classifier_comparison(s, d):
     t = load(s, d, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), (F.col("l_extendedprice") > 36000).cast("int").alias("label"), F.col("l_orderkey").alias("k"))
     train, test = sequences.split(t, "k", 0.5)
     real, synthetic = sequences.split(train, "k", 0.5, seed=1)
-    return utility.compare(real, synthetic, test, ["q", "p", "d"], "label", ["logistic", "naive_bayes", "quadratic"])
+    return utility.compare(real, synthetic, test, ["q", "p", "d"], "label")
 
 
 @query()
 def generated_rows(s, d):
     t = _table(s, d)
-    return generator.synthesise(t, ["price", "tax"], ["flag", "status"], 1000, settings=generator.Settings(epochs=2))
+    return generator.synthesise(t, ["price", "tax"], ["flag", "status"], t.count())
 
 
 def _scratch(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/netquill-io-{uuid.uuid4().hex}"
+    return f"{tables.work_dir(s)}/netquill-io-{uuid.uuid4().hex}"
 
 
 @query("SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -172,25 +172,28 @@ def source_reload_prepared(s, d):
     return transform_plan.restore(got.data, got.steps, got.columns).agg(F.count("*").alias("n_rows"))
 
 
-def _events_folder(s, d) -> tuple[str, object]:
+def _events_folder(s, d, ends: bool = False) -> tuple[str, object]:
+    """Events as four files; ends: and a later row that closes all windows."""
     df = load(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     path = _scratch(s)
     df.repartitionByRange(4, "ts").write.parquet(path)
+    if ends:
+        flow_stream.close(df, path, "ts")
     return path, df.schema
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windowed_counts(s, d):
-    path, schema = _events_folder(s, d)
-    got = flow_stream.windowed_counts(flow_stream.read_stream(s, path, schema), "ts", ["event_type"], late="3650 days")
-    return flow_stream.run_to_end(got, f"w{uuid.uuid4().hex}").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    path, schema = _events_folder(s, d, ends=True)
+    got = flow_stream.windowed_counts(flow_stream.read_stream(s, path, schema, 4), "ts", ["event_type"])
+    return flow_stream.run_to_end(got, _scratch(s)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT count(*) AS n_events FROM events")
 def stream_sessions(s, d):
-    path, schema = _events_folder(s, d)
-    got = flow_stream.sessions(flow_stream.read_stream(s, path, schema), "ts", "user_id", late="3650 days")
-    return flow_stream.run_to_end(got, f"s{uuid.uuid4().hex}").agg(F.sum("n").alias("n_events"))
+    path, schema = _events_folder(s, d, ends=True)
+    got = flow_stream.sessions(flow_stream.read_stream(s, path, schema, 4), "ts", "user_id")
+    return flow_stream.run_to_end(got, _scratch(s)).agg(F.sum("n").alias("n_events"))
 
 
 @query()
@@ -208,4 +211,45 @@ def table_size(s, d):
     return s.createDataFrame([(n, tables.block_size(s, f"{d}/lineitem.parquet"))], "bytes long, block long")
 
 
+@query("SELECT count(*) AS n_rows FROM customer")
+def source_sample(s, d):
+    got = tables.read_sample(s, f"{d}/customer.parquet", 1.0, "parquet")
+    return got.data.agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT c_custkey, c_name || ' é' AS c_name, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS c_nationkey FROM customer")
+def source_latin1(s, d):
+    """Latin-1 bytes, a string for nulls, and blanks after the separator, as they come."""
+    path = _scratch(s)
+    df = load(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit(" é")).alias("c_name"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey").cast("string")).otherwise("?").alias("c_nationkey"))
+    df.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return tables.read(s, path, "csv", "c_custkey long, c_name string, c_nationkey int", nulls="?")
+
+
+@query(ORACLE["flow_report"])
+def report_saved(s, d):
+    path = _scratch(s)
+    report = flow_queries.flow_report(flows(s, d))
+    tables.save_report(report, path, source=d, rows=report.count())
+    return tables.load_report(s, path, report.schema)[0]
+
+
+@query(ORACLE["fidelity_cdf_distances"])
+def report_saved_distances(s, d):
+    path = _scratch(s)
+    report = QUERIES["fidelity_cdf_distances"](s, d)
+    tables.save_report(report, path, source=d, columns=["column"])
+    return tables.load_report(s, path, report.schema)[0]
+
+
+@query(ORACLE["bayes_description"])
+def bayes_description_saved(s, d):
+    desc = bayes.Description.loads(bayes.describe(_table(s, d)).dumps())
+    return s.createDataFrame([(a.name, a.kind, a.categorical, a.candidate_key) for a in desc.attributes], "attribute string, kind string, categorical boolean, candidate_key boolean")
+
 
+@query("SELECT 'a.csv,b.csv' AS inputs, 'syn' AS output, 'parquet' AS kind, 'time,timestamp' AS excluded, 2 AS digits, 1000 AS n_rows, 7 AS seed, true AS private, 1.5::DOUBLE AS epsilon, 1e-5::DOUBLE AS delta")
+def run_settings(s, d):
+    got = settings.RunSettings.from_args("--inputs a.csv b.csv --output syn --kind parquet --digits 2 --seed 7 --private --epsilon 1.5".split())
+    row = (",".join(got.inputs), got.output, got.kind, ",".join(got.excluded), got.digits, got.rows, got.seed, got.private, got.epsilon, got.delta)
+    return s.createDataFrame([row], "inputs string, output string, kind string, excluded string, digits int, n_rows int, seed int, private boolean, epsilon double, delta double")

@@ -22,14 +22,21 @@ class Loaded:
     categorical: list[str]
 
 
-def read(spark: SparkSession, paths: str | list[str], kind: str = "csv", schema: StructType | str | None = None, encoding: str = "UTF-8", nulls: str = "") -> DataFrame:
-    """CSV with a header, or Parquet, from a path, a glob or a list of them."""
+def read(spark: SparkSession, paths: str | list[str], kind: str = "csv", schema: StructType | str | None = None, encoding: str | None = None, nulls: str = "") -> DataFrame:
+    """CSV with a header, or Parquet, from a path, a glob or a list of them.
+
+    Without an encoding, CSV is read as UTF-8, and as Latin-1 if a line of it is
+    not UTF-8.
+    """
     if kind not in ("csv", "parquet"):
         raise ValueError(f"unknown format: {kind}")
     reader = spark.read.schema(schema) if schema else spark.read
     paths = [paths] if isinstance(paths, str) else list(paths)
     if kind == "parquet":
         return reader.parquet(*paths)
+    if encoding is None:
+        lines = spark.read.text(paths)
+        encoding = "latin1" if lines.where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
     options = {"header": True, "encoding": {"latin1": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(encoding.lower(), encoding), "nullValue": nulls, "ignoreLeadingWhiteSpace": True}
     return reader.options(**options, **({} if schema else {"inferSchema": True})).csv(paths)
 
@@ -56,6 +63,16 @@ def read_sample(spark: SparkSession, path: str, fraction: float, kind: str = "cs
     return Loaded(df, [c for c in df.columns if c not in cats], cats)
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session may lack it, and uses its warehouse folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
 def total_bytes(spark: SparkSession, paths: str | list[str]) -> int:
     """By Spark's file index, so any store it reads will do."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("length")
@@ -89,13 +106,21 @@ def load_prepared(spark: SparkSession, folder: str):
     return Prepared(spark.read.parquet(f"{folder}/data"), [Step.from_dict(x) for x in d["steps"]], d["columns"], d["continuous"], d["categories"])
 
 
-def save_report(metrics: DataFrame, path: str | Path, **about) -> dict:
-    """A report's few rows and what they are about, as JSON."""
+def save_report(metrics: DataFrame, folder: str, **about) -> dict:
+    """A report's few rows and what they are about, as JSON in any store that Spark writes."""
     out = {"about": about, "rows": [r.asDict(recursive=True) for r in metrics.collect()]}
-    Path(path).write_text(json.dumps(out, default=str, indent=1))
+    spark = metrics.sparkSession
+    spark.createDataFrame([(json.dumps(out, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
     return out
 
 
+def load_report(spark: SparkSession, folder: str, schema: str | StructType) -> tuple[DataFrame, dict]:
+    """A saved report's rows and what they are about."""
+    got = json.loads(spark.read.text(folder).first().value)
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    return spark.createDataFrame([tuple(r.get(c) for c in kind.names) for r in got["rows"]], kind), got["about"]
+
+
 def save_settings(settings: dict, path: str | Path) -> None:
     Path(path).write_text(json.dumps(settings, default=str, indent=1))
 

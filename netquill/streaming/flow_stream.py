@@ -41,9 +41,19 @@ def merged_sketch(spark: SparkSession, table: str) -> DataFrame:
     return sketches.merge(spark.read.parquet(table).drop("batch"))
 
 
-def run_to_end(result: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All that is there now, through a memory table; for tests and backfills."""
-    writer = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    q = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def run_to_end(result: DataFrame, folder: str) -> DataFrame:
+    """All that is there now, appended to Parquet in folder; a window or session is written once the watermark has passed it.
+
+    The checkpoint lies beside the data, so a run that was stopped goes on where it
+    was, and each result is written once.
+    """
+    q = result.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return result.sparkSession.table(name)
+    return result.sparkSession.read.schema(result.schema).parquet(f"{folder}/data")
+
+
+def close(last: DataFrame, folder: str, time: str, after: str = "1000 days") -> None:
+    """Ends a finite stream: one more row, long after the last of a batch, moves the watermark past all others. Its own window stays open."""
+    end = last.agg(F.max(time).alias("nq_end"))
+    row = end.select(*[(F.col("nq_end") + F.expr(f"INTERVAL {after}")).alias(c) if c == time else F.lit(None).cast(last.schema[c].dataType).alias(c) for c in last.columns])
+    row.coalesce(1).write.mode("append").parquet(folder)

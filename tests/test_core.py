@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquill import queries
-from netquill.operators import bayes, clean, elastic, fidelity, flow_queries, generator, mixture, nearest, sequences, sketches
+from netquill.operators import bayes, clean, elastic, fidelity, flow_queries, generator, mixture, nearest, ranges, sequences, sketches
 from netquill.operators import transforms as T
 from netquill.plans import queries_models, queries_stats, queries_synthesis, transform_plan  # noqa: F401
 from netquill.sources import tables
@@ -98,7 +98,7 @@ def numbers(spark):
     return spark.createDataFrame([(int(i), float(abs(v)), int(i % 7), "abc"[i % 3], 5.0) for i, v in enumerate(x)], "id long, x double, n int, c string, k double")
 
 
-@pytest.mark.parametrize("fit", [T.fit_standard, T.fit_minmax, T.fit_robust, lambda d, c: T.Log(c), lambda d, c: mixture.fit_mixture(d, c, share=1.0)])
+@pytest.mark.parametrize("fit", [T.fit_standard, T.fit_minmax, T.fit_robust, lambda d, c: T.Log(c), lambda d, c: mixture.fit_mixture(d, c)])
 def test_inverse_is_identity(numbers, fit):
     step = fit(numbers, ["x"])
     back = T.Step.from_dict(step.to_dict()).inverse(step.forward(numbers)).select("id", F.col("x").alias("y"))
@@ -182,6 +182,69 @@ def test_nearest_value_ties_and_outside(spark):
     assert {r.value: r.nearest for r in nearest.nearest_value(q, v).collect()} == {-5.0: 1.0, 2.0: 1.0, 2.5: 3.0, 99.0: 10.0, 3.0: 3.0}
 
 
+def test_nearest_value_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    q, v = rng.integers(-1000, 5000, 700), rng.integers(0, 4000, 300)
+    got = {r.value: r.nearest for r in nearest.nearest_value(spark.createDataFrame([(float(x),) for x in q], "value double"), spark.createDataFrame([(float(x),) for x in v], "value double")).collect()}
+    assert got == {float(x): float(min(set(v.tolist()), key=lambda k: (abs(k - x), k))) for x in set(q.tolist())}
+
+
+def test_running_sums_and_quantiles_in_ranges(spark):
+    rng = np.random.default_rng(7)
+    x = {k: rng.integers(0, 10**6, n) ** 2 / 7.0 for k, n in (("a", 900), ("b", 3), ("c", 1))}
+    counts = spark.createDataFrame([(k, float(v)) for k, vs in x.items() for v in vs], "key string, v double").groupBy("key", "v").agg(F.count("*").alias("n"))
+    for buckets in (1, 5, 64):
+        rows = ranges.running(counts, ["key"], "v", ["n"], buckets).collect()
+        for k, vs in x.items():
+            own = sorted((r for r in rows if r.key == k), key=lambda r: r.v)
+            assert [r.v for r in own] == sorted(set(vs)) and [r.c_n for r in own] == [int((vs <= r.v).sum()) for r in own]
+            assert [r.next for r in own] == [*[r.v for r in own[1:]], None] and {r.t_n for r in own} == {len(vs)}
+    got = {r.key: r.q for r in ranges.quantiles(counts, ["key"], "v", "n", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    assert all(got[k] == pytest.approx(list(np.quantile(vs, [0.0, 0.25, 0.5, 0.9, 1.0]))) for k, vs in x.items())
+
+
+def test_index_recall_and_hot_cells(spark, monkeypatch):
+    d = "/root/testdata/sf0.1"
+    exact = {r.vec_id: r.distance for r in queries.QUERIES["nearest_word"](spark, d).collect()}
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    assert len(exact) == e.where("vec_id % 100 = 0").count()
+    for rows in (nearest.CELL_ROWS, 7):
+        monkeypatch.setattr(nearest, "CELL_ROWS", rows)
+        got = {r.vec_id: r.distance for r in queries.QUERIES["nearest_word_index"](spark, d).collect()}
+        assert got.keys() == exact.keys() and np.mean([abs(got[k] - exact[k]) < 1e-6 for k in exact]) >= 0.9
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 3)
+    assert {r.vec_id: r.distance for r in queries.QUERIES["nearest_word"](spark, d).collect()} == exact
+
+
+def test_mixture_fits_all_rows_in_any_order(spark):
+    rng = np.random.default_rng(8)
+    late = np.concatenate((rng.normal(10, 1, 60_000), rng.normal(900, 30, 6_000)))  # the second mode comes last
+    df = spark.createDataFrame([(float(x),) for x in late], "x double").repartition(3)
+    a, b = mixture.fit_mixture(df, ["x"]), mixture.fit_mixture(df.orderBy(F.col("x").desc()).repartition(7), ["x"])
+    assert a.means["x"] == pytest.approx(b.means["x"], rel=1e-3) and max(a.means["x"]) > 800
+    assert sum(w for w, m in zip(a.weights["x"], a.means["x"]) if m > 500) == pytest.approx(1 / 11, abs=0.01)
+
+
+def test_capped_sample_draws_from_all_rows(spark):
+    df = spark.range(0, 100_000, 1, 10)
+    got = [r.id for r in sequences.capped_sample(df, 0.5, 2_000).collect()]
+    assert len(got) == 2_000 and 45_000 < np.mean(got) < 55_000
+
+
+def test_mmd_of_equal_and_shifted_tables(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 2))
+    rows = [(float(a), float(b), i % 2 == 1) for i, (a, b) in enumerate(x)]
+    same = fidelity.mmd(spark.createDataFrame(rows, "a double, b double, syn boolean"), ["a", "b"]).first().mmd2
+    far = fidelity.mmd(spark.createDataFrame([(a + 2 * s, b, s) for a, b, s in rows], "a double, b double, syn boolean"), ["a", "b"]).first().mmd2
+    exact = 2 * (1 / 3) * (1 - math.exp(-4 / 6))  # E k = 1/3 exp(-|shift|^2 / 6) for unit normals and width 1
+    assert same < 0.005 and far == pytest.approx(exact, rel=0.25)
+
+
+def test_rows_come_one_partition_at_a_time(spark):
+    assert sorted(r.id for r in sequences.iterate(spark.range(0, 100, 1, 7), ["id"])) == list(range(100))
+
+
 def test_network_follows_dependence_and_budget_adds_up(spark):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 4, 2000)
