@@ -5,12 +5,15 @@ equal strings have equal anchors at equal offsets. All strings that an anchor ca
 belong to lie in its context, the bytes from SPAN - K before it to SPAN after its
 start. Hashes of anchors only route: contexts whose anchor stands at two or more
 places go with their bytes to the shard of that anchor. There they are sorted;
-contexts that are byte for byte equal are removed whole, and different contexts
-of one anchor go into the shard's suffix array: Larsson-Sadakane refinement sorts
-their suffixes, Kasai's pass gives the common prefixes, and neighbours that share
-SPAN bytes at different places of the input are repeats. An anchor with very many
-contexts is dealt over several shards by the contexts' bytes, and shards of one
-anchor are merged by binary search in sorted runs of their distinct strings.
+contexts that are byte for byte equal are removed whole. An anchor's strings fall
+into four classes by its offset; the bytes that all strings of a class hold (its
+core) have to be equal too, and so the blocks of classes whose core stands twice
+are what the shard's suffix array takes: Larsson-Sadakane refinement sorts their
+suffixes, Kasai's pass gives the common prefixes, and neighbours that share SPAN
+bytes at different places of the input are repeats. An anchor with very many
+contexts is dealt over shards by class and core. A shard that is still too large
+is cut, and its parts are merged by binary search in sorted runs of their distinct
+strings.
 """
 
 from __future__ import annotations
@@ -29,10 +32,14 @@ SPAN, K = 200, 64
 WIDE = SPAN - K + 1
 #: Bytes of a context before its anchor, and in all.
 BEFORE, CONTEXT = SPAN - K, 2 * SPAN - K
+#: Class j of an anchor: the strings in which it begins at byte STEP * j to STEP * (j + 1) - 1.
+CLASSES, STEP = 4, 35
+#: Bytes that all strings of a class hold.
+CORE = SPAN - STEP + 1
 #: Bytes hashed at a time, texts looked through for their own repeats, and contexts in one suffix array.
-PIECE, CHUNK_BYTES, SHARD_BYTES = 1 << 21, 1 << 24, 1 << 20
+PIECE, CHUNK_BYTES, SHARD_BYTES = 1 << 21, 1 << 24, 1 << 19
 #: Contexts of one anchor in one shard.
-SHARD_CONTEXTS = 4_096
+SHARD_CONTEXTS = 2_048
 CHUNK_ROWS = 300_000
 # Fixed values of the hash: odd 64-bit multipliers.
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -359,45 +366,102 @@ def common_prefixes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, order
     return out[order]
 
 
+def _shard_parts(batches):
+    """(table, cut): whole runs of equal (h, a), SHARD_BYTES or more; cut: a part of one run that is longer, so nothing is held whole."""
+    held, size, cut = [], 0, False
+    for b in batches:
+        for at in range(0, b.num_rows, SHARD_CONTEXTS):
+            part = b.slice(at, SHARD_CONTEXTS)
+            held.append(part)
+            size += part.column(2).nbytes
+            if size < SHARD_BYTES and sum(x.num_rows for x in held) < 4 * SHARD_CONTEXTS:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            h, a = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            last = np.flatnonzero((h[1:] != h[:-1]) | (a[1:] != a[:-1]))
+            if cut:  # the run that was cut ends in its own part
+                first = int(last[0]) + 1 if len(last) else whole.num_rows
+                yield whole.slice(0, first), True
+                whole, last = whole.slice(first), last[1:] - first
+                cut = not whole.num_rows
+            if len(last):
+                yield whole.slice(0, int(last[-1]) + 1), False
+                whole = whole.slice(int(last[-1]) + 1)
+            elif whole.num_rows >= 2 * SHARD_CONTEXTS:
+                yield whole, True
+                whole, cut = whole.slice(0, 0), True
+            held = whole.combine_chunks().to_batches() if whole.num_rows else []
+            size = sum(x.column(2).nbytes for x in held)
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        if cut:
+            h, a = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            last = np.flatnonzero((h[1:] != h[:-1]) | (a[1:] != a[:-1]))
+            first = int(last[0]) + 1 if len(last) else whole.num_rows
+            yield whole.slice(0, first), True
+            whole = whole.slice(first)
+        if whole.num_rows:
+            yield whole, False
+
+
+def _equal(keys: list, k1, k2, place, size, known):
+    """Index of the first of each run of equal keys, whether it is known to repeat now, and the stretches that this tells."""
+    new = np.array([True, *(x != y for x, y in zip(keys[1:], keys))], bool)
+    first, run = np.flatnonzero(new), np.cumsum(new) - 1
+    flag = (np.bincount(run) > 1) | (np.bincount(run, known) > 0)
+    told = flag[run] & ~known
+    return first, flag, _known(k1[told], k2[told], place[told], place[told] + size[told]) if told.any() else None
+
+
 def _map_shards(batches):
-    """Kind 0: stretches that repeat within a shard. Kind 2: the distinct strings of shards of one anchor (h, a: 128-bit hash; b: known to repeat)."""
-    for t in _by_key(batches, 2, SHARD_BYTES, lambda b: b.column(2).nbytes):
-        h, shard, k1, k2, place, many = (t.column(i).to_numpy() for i in (0, 1, 3, 4, 5, 6))
-        texts = t.column(2).to_pylist()
-        new = np.array([True, *(x != y for x, y in zip(texts[1:], texts))]) | np.concatenate(([True], (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])))
-        first = np.flatnonzero(new)  # of each different context of an anchor
-        run = np.cumsum(new) - 1
-        flag = (np.bincount(run) > 1) | (np.bincount(run, many) > 0)
-        size = np.array([len(texts[i]) for i in first], np.int64)
-        told = flag[run] & (many == 0)
-        if told.any():
-            yield _known(k1[told], k2[told], place[told], place[told] + size[run[told]])
-        group = np.cumsum(np.concatenate(([True], h[first][1:] != h[first][:-1]))) - 1
-        some = (np.bincount(group)[group] > 1) | (shard[first] > 0)
+    """Kind 0: stretches that repeat within a shard. Kind 2: the distinct strings of a shard that was cut (h, a: 128-bit hash; b: known to repeat)."""
+    for t, cut_ in _shard_parts(batches):
+        h, shard, k1, k2, place, b = (t.column(i).to_numpy() for i in (0, 1, 3, 4, 5, 6))
+        texts, off, known = t.column(2).to_pylist(), b >> 1, (b & 1) > 0
+        size = np.array([len(x) for x in texts], np.int64)
+        first, flag, told = _equal(list(zip(h.tolist(), shard.tolist(), texts)), k1, k2, place, size, known)
+        if told is not None:
+            yield told
+        cores, blocks = {}, []
+        for i, f in zip(first.tolist(), flag.tolist()):
+            for j, at, core, block in _blocks(texts[i], int(off[i])):
+                key = (h[i], shard[i], j, core)
+                cores[key] = cores.get(key, 0) + 1
+                blocks.append((key, block, i, at, f))
+        blocks = sorted((x for x in blocks if cut_ or cores[x[0]] > 1), key=lambda x: x[:2])
+        if not blocks:
+            continue
+        keys, raws, of, at, flag = zip(*blocks)
+        of, at, flag, size = np.array(of), np.array(at), np.array(flag), np.array([len(x) for x in raws])
+        first, flag, told = _equal([(k, r) for k, r in zip(keys, raws)], k1[of], k2[of], place[of] + at, size, flag)
+        if told is not None:
+            yield told
+        cores = {}
+        for i in first.tolist():
+            cores[keys[i]] = cores.get(keys[i], 0) + 1
+        some = np.array([cut_ or cores[keys[i]] > 1 for i in first.tolist()])
         if not some.any():
             continue
-        i, flag, size = first[some], flag[some], size[some]
-        data = np.frombuffer(b"".join(texts[j] for j in i), np.uint8)
-        stop = np.cumsum(size)
-        start = stop - size
+        first, flag = first[some], flag[some]
+        data, stop = np.frombuffer(b"".join(raws[i] for i in first), np.uint8), np.cumsum(size[first])
+        start, of, at = stop - size[first], of[first], at[first]
         order = suffix_array(data, start, stop)
         if not len(order):
             continue
         shared = common_prefixes(data, start, stop, order)
         part = np.searchsorted(stop, order, "right")
-        off = order - start[part]
-        k1, k2, where = k1[i][part], k2[i][part], place[i][part] + off
+        one, two, where = k1[of][part], k2[of][part], place[of][part] + at[part] + order - start[part]
         run = np.cumsum(np.concatenate(([True], shared[1:] < SPAN))) - 1
-        by, new = _groups(run, k1, k2, where)  # one place may stand in several contexts
+        by, new = _groups(run, one, two, where)  # one place may stand in several contexts
         places = np.bincount(run[by][new], minlength=run[-1] + 1)
         repeats = (places > 1) | (np.bincount(run, flag[part]) > 0)
         hit = repeats[run] & ~flag[part]
         if hit.any():
-            yield _known(k1[hit], k2[hit], where[hit], where[hit] + SPAN)
-        several = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])) & (shard[i][part] > 0))
-        if len(several):
+            yield _known(one[hit], two[hit], where[hit], where[hit] + SPAN)
+        if cut_:
+            several = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
             hashes = np.array([divmod(xxhash.xxh3_128_intdigest(data[o : o + SPAN].tobytes()), 1 << 64) for o in order[several].tolist()], np.uint64)
-            yield _row(2, h=hashes[:, 0], a=hashes[:, 1], k1=k1[several], k2=k2[several], place=where[several], b=repeats[run[several]].astype(np.int64))
+            yield _row(2, h=hashes[:, 0], a=hashes[:, 1], k1=one[several], k2=two[several], place=where[several], b=repeats[run[several]].astype(np.int64))
 
 
 def _map_merge(batches):
@@ -427,21 +491,43 @@ def _texts_of(docs: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
     return asked.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
 
+def _blocks(raw: bytes, off: int):
+    """(class, first byte, core, block) of each class of a context's strings; off: where the anchor begins."""
+    for j in range(CLASSES):
+        at = off - STEP * j  # the class's last start
+        if at < 0 or at + CORE > len(raw):
+            continue
+        first = max(0, at - STEP + 1)
+        block = raw[first : at + SPAN]
+        if len(block) >= SPAN:
+            yield j, first, raw[at : at + CORE], block
+
+
 def _map_extract(batches):
-    """Bytes of the contexts asked for; a: 1 and the shard of an anchor that is dealt over several, else 0."""
-    names = ["h", "a", "bytes", "k1", "k2", "place", "b"]
+    """Bytes of the contexts asked for, and what anchors begin at (b: 2 * place in the bytes, plus 1 if known to repeat).
+
+    Of an anchor with very many contexts each class's block goes alone, to the
+    shard (a) that the class and its core choose; of others a is 0.
+    """
+    names, kinds = ["h", "a", "bytes", "k1", "k2", "place", "b"], [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+    out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    rows = []
     for b in batches:
-        rows = []
-        for k1, k2, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).to_pylist(), b.column(3).to_pylist()):
-            for x in asks:
-                raw = _context(text, x["place"])
-                spread = 1 + xxhash.xxh64_intdigest(raw, 7) % x["shards"] if x["shards"] > 1 else 0
-                rows.append((x["h"], spread, raw, k1, k2, max(0, x["place"] - BEFORE), x["b"]))
+        for i in range(b.num_rows):
+            k1, k2, text = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py().encode()
+            for x in b.column(3)[i].as_py():
+                raw, first = _context(text, x["place"]), max(0, x["place"] - BEFORE)
+                off = x["place"] - first
+                if x["hot"]:
+                    for j, at, core, block in _blocks(raw, off):
+                        rows.append((x["h"], 1 + (xxhash.xxh64_intdigest(core, j) >> 2), block, k1, k2, first + at, x["b"] + 2 * (off - at)))
+                else:
+                    rows.append((x["h"], 0, raw, k1, k2, first, x["b"] + 2 * off))
             if len(rows) >= 1 << 14:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 2 else pa.int64()) for i, c in enumerate(zip(*rows))], names=names)
+                yield out(rows)
                 rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 2 else pa.int64()) for i, c in enumerate(zip(*rows))], names=names)
+    if rows:
+        yield out(rows)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -480,8 +566,8 @@ def repeated_stretches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     judged = stash(dealt.mapInArrow(_map_judge, _ROW), "judged")
     release(docs.sparkSession)
     asks = judged.where("kind = 1")
-    hot = asks.groupBy("h").agg(F.ceil(F.count("*") / SHARD_CONTEXTS).alias("shards")).where("shards > 1")  # few: each has very many rows
-    asks = asks.join(hot, "h", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", F.coalesce("shards", F.lit(1).cast("long")).alias("shards"), "b", "place")).alias("asks"))
+    hot = asks.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_CONTEXTS).select("h", F.lit(True).alias("hot"))  # few: each has very many rows
+    asks = asks.join(hot, "h", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", F.coalesce("hot", F.lit(False)).alias("hot"), "b", "place")).alias("asks"))
     asks = stash(asks, "asks")
     pulled = _texts_of(docs, text_col, asks).join(asks, ["k1", "k2"]).select("k1", "k2", "text", "asks").mapInArrow(_map_extract, "h bigint, a bigint, bytes binary, k1 bigint, k2 bigint, place bigint, b bigint")
     sorted_ = stash(pulled.repartition(parts, "h", "a").sortWithinPartitions("h", "a", "bytes").mapInArrow(_map_shards, _ROW), "shards")
