@@ -217,13 +217,13 @@ def source_sample(s, d):
     return got.data.agg(F.count("*").alias("n_rows"))
 
 
-@query("SELECT c_custkey, c_name || ' é' AS c_name, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS c_nationkey FROM customer")
+@query("SELECT c_custkey, c_name || ' é' AS c_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
 def source_latin1(s, d):
     """Latin-1 bytes, a string for nulls, and blanks after the separator, as they come."""
     path = _scratch(s)
-    df = load(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit(" é")).alias("c_name"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey").cast("string")).otherwise("?").alias("c_nationkey"))
+    df = load(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit(" é")).alias("c_name"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).otherwise("?").alias("c_mktsegment"))
     df.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    return tables.read(s, path, "csv", "c_custkey long, c_name string, c_nationkey int", nulls="?")
+    return tables.read(s, path, "csv", "c_custkey long, c_name string, c_mktsegment string", nulls="?")
 
 
 @query(ORACLE["flow_report"])
