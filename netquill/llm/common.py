@@ -15,6 +15,8 @@ from netquill.sources.tables import work_dir
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Folders of stash(), in order.
+_MADE: list[str] = []
 #: Values that running() combines in one piece.
 RUN_BLOCK = 256
 #: Rows of two or three longs that may go to every executor at once, some 40 MB.
@@ -24,17 +26,29 @@ SMALL_ROWS = 1_000_000
 def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back.
 
-    The files outlive any executor and go when the driver's JVM ends.
+    The files outlive any executor. They go when drop_stash() or forget() is told
+    so, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/netquill/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", compression).parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
+    _MADE.append(where.getParent().toString())
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where.getParent())
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Removes the folders that stash() has made since it had made so many, but for that of keep."""
+    kept = {f.rsplit("/", 2)[0] for f in keep.inputFiles()}
+    for folder in _MADE[since:]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not any(folder.rstrip("/").rsplit("/", 1)[1] in k for k in kept):
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    release(spark)
+
+
 def drop_stash(df: DataFrame) -> None:
     """Removes the files of a stashed table that nothing reads any more, and lets go of shuffles without readers."""
     spark = df.sparkSession
@@ -46,6 +60,11 @@ def drop_stash(df: DataFrame) -> None:
     release(spark)
 
 
+def made() -> int:
+    """How many tables have been stashed so far."""
+    return len(_MADE)
+
+
 def release(spark: SparkSession) -> None:
     """Spark removes a shuffle's files once the driver has collected the plan that wrote them."""
     for _ in range(2):  # Python's references to the plan go first

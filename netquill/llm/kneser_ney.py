@@ -12,7 +12,7 @@ and p(w) the continuation probability, log(a + g p) = log p(w) + log g(v) +
 log(1 + a / (g p)). The first two belong to words, the last to the pair and is 0
 for one never seen. So a text's log-likelihood is a sum of values of its words and
 pairs: its grams are joined with the table and summed, once for each different
-text, in PASSES parts of the texts, so that only a part's grams lie on disk. Words
+text. Pairs are counted in PARTS parts and texts scored in PASSES. Words
 and pairs of more than 1 / HOT of all counts, of which there can be HOT at most,
 are looked up where the text is; the others are the sharded join.
 
@@ -44,7 +44,8 @@ BINS = 2000.0
 BLOCK = 1 << 21
 #: A word or pair of more than 1 / HOT of all counts is hot.
 HOT = 1 << 17
-PASSES = 4
+#: Parts of the pairs and of the texts that are worked on one after the other, so that only one lies in shuffle files.
+PARTS, PASSES = 4, 8
 #: Different words whose hash a task remembers.
 CACHE = 1 << 20
 #: The mark before the first and after the last word.
@@ -86,8 +87,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(v, w, n0, n1): how often w follows v in texts (text) of either fold, summed over blocks of each task and then in shards."""
+def pair_counts(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(v, w, n0, n1): how often w follows v in texts (text) of either fold, summed over blocks of each task and then in shards; one of parts by the pair's hash."""
 
     def run(batches):
         hashes, held, size = _Hashes(), ([], []), 0
@@ -97,7 +98,10 @@ def pair_counts(texts: DataFrame) -> DataFrame:
                 if held[fold]:
                     v = np.concatenate([s[:-1] for s in held[fold]])
                     w = np.concatenate([s[1:] for s in held[fold]])
-                    _, at, n = np.unique(pair_key(v, w), return_index=True, return_counts=True)
+                    key = pair_key(v, w)
+                    own = np.flatnonzero(key % np.uint64(parts) == part)
+                    _, at, n = np.unique(key[own], return_index=True, return_counts=True)
+                    v, w = v[own], w[own]
                     for i in range(0, len(at), 1 << 16):
                         j, zero = at[i : i + (1 << 16)], np.zeros(min(1 << 16, len(at) - i), np.int64)
                         both = (n[i : i + (1 << 16)], zero)
@@ -132,19 +136,25 @@ def _off(n: Column, d: list[float]) -> Column:
     return F.when(n >= 3, d[2]).when(n == 2, d[1]).when(n == 1, d[0]).otherwise(0.0)
 
 
-def values(counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(key, val0, val1) of all words and pairs, the hot rows of it, and each model's log-probability of a word never seen.
+def values(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(key, val0, val1) of all words and pairs of texts (text), the hot rows of it, and each model's log-probability of a word never seen.
 
     val0 and val1 are of the models of fold 0 and fold 1; one that has no texts is
     that of all. A text's log-likelihood is the sum of its grams' values and of the
     log-probability of an unseen word for each of its words and the end.
     """
-    pairs = stash(counts, "pairs")
-    del counts
-    release(pairs.sparkSession)
+    spark, held = texts.sparkSession, []
+    for k in range(PARTS):
+        held.append(stash(pair_counts(texts, k, PARTS), f"pairs{k}"))
+        release(spark)
+    pairs = reduce(DataFrame.union, held)
     has = pairs.agg(F.sum("n0"), F.sum("n1")).first()
-    if not has[0] or not has[1]:
-        pairs = pairs.withColumn("n0", F.col("n0") + F.col("n1")).withColumn("n1", F.col("n0"))
+    one_model = not has[0] or not has[1]
+
+    def folded(df: DataFrame) -> DataFrame:
+        return df.withColumn("n0", F.col("n0") + F.col("n1")).withColumn("n1", F.col("n0")) if one_model else df
+
+    pairs = folded(pairs)
     models = (0, 1)
     at = pairs.agg(F.sum(F.col("n0") + F.col("n1")), *[F.count_if(F.col(f"n{m}") == k) for m in models for k in (1, 2, 3, 4)]).first()
     total, off = at[0] or 0, [discounts(*map(float, at[1 + 4 * m : 5 + 4 * m])) for m in models]
@@ -152,9 +162,9 @@ def values(counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
     as_context = [c for m in models for c in (F.col(f"n{m}").alias(f"c{m}"), *[(F.col(f"n{m}") == k).cast("long").alias(f"n{k}_{m}") for k in (1, 2)], (F.col(f"n{m}") >= 3).cast("long").alias(f"n3_{m}"), F.lit(0).cast("long").alias(f"t{m}"))]
     as_word = [c for m in models for c in (*[F.lit(0).cast("long").alias(k) for k in (f"c{m}", f"n1_{m}", f"n2_{m}", f"n3_{m}")], (F.col(f"n{m}") > 0).cast("long").alias(f"t{m}"))]
     both = pairs.select(F.col("v").alias("x"), *as_context).union(pairs.select(F.col("w").alias("x"), *as_word))
-    held = words = stash(both.groupBy("x").agg(*[F.sum(c).alias(c) for c in both.columns[1:]]), "words")
-    del both
-    release(words.sparkSession)
+    counted = words = stash(both.groupBy("x").agg(*[F.sum(c).alias(c) for c in both.columns[1:]]), "words")
+    del both, pairs
+    release(spark)
     seen = words.agg(*[c for m in models for c in (F.sum(f"t{m}"), one(F.col(f"t{m}") > 0), *[one(F.col(f"t{m}") == k) for k in (1, 2, 3, 4)], one(F.col(f"t{m}") >= 3))]).first()
     unseen, cols = [], []
     for m in models:
@@ -180,17 +190,20 @@ def values(counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
         cold = tried.where("known is null").drop("known").join(side.where("not hot").drop("hot"), name)
         return tried.where("known is not null").select(*rows.columns, "known.*").unionByName(cold.select(*rows.columns, *new))
 
-    full = with_words(with_words(pairs.select("v", "w", "n0", "n1"), left, "v"), right, "w")
     gain = [F.when(F.col(f"n{m}") > 0, F.log1p((F.col(f"n{m}") - _off(F.col(f"n{m}"), off[m])) / (F.col(f"c{m}") * F.col(f"g{m}") * F.col(f"p{m}")))).otherwise(F.lit(0.0)).cast("float").alias(f"val{m}") for m in models]
-    of_pairs = full.select(_pair_key("v", "w").alias("key"), *gain, (F.col("n0") + F.col("n1") > F.lit(total / HOT)).alias("hot"))
-    table = stash(of_words.union(of_pairs), "values")
-    del full, of_pairs, of_words, words, left, right
-    drop_stash(pairs)
-    drop_stash(held)
+    tables = [stash(of_words, "word_values")]
+    for k, part in enumerate(held):
+        full = with_words(with_words(folded(part).select("v", "w", "n0", "n1"), left, "v"), right, "w")
+        tables.append(stash(full.select(_pair_key("v", "w").alias("key"), *gain, (F.col("n0") + F.col("n1") > F.lit(total / HOT)).alias("hot")), f"pair_values{k}"))
+        del full
+        drop_stash(part)
+    del words, left, right, of_words
+    drop_stash(counted)
+    table = reduce(DataFrame.union, tables)
     return table.drop("hot"), table.where("hot").drop("hot"), unseen
 
 
-def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame, unseen: list[float], passes: int = PASSES) -> DataFrame:
+def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame, unseen: list[float], passes: int | None = None) -> DataFrame:
     """(t, nll, n) of each different text with a word: t is xxhash64 of the text, n its words and the end."""
     spark = docs.sparkSession
     known = hot.toArrow()  # at most 2 * HOT rows
@@ -228,6 +241,8 @@ def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame
                 yield _batch(t_, key_, n_, ll_, w_)
 
     texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    passes = passes or PASSES
+
     def scored(k: int) -> DataFrame:
         part = texts.where(F.pmod(F.shiftright("t", 1), F.lit(passes)) == k)
         grams = part.mapInArrow(run, "t bigint, key bigint, n int, ll double, words bigint")
@@ -283,7 +298,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = F.col(text_col).cast("string")
     trusted = stash(trusted_ids(labels), "trusted")
     good = matched(docs.select(F.col(id_col).alias("id"), text.alias("text")), trusted, ["id"], "left_semi")
-    table, hot, unseen = values(pair_counts(good.select("text")))
+    table, hot, unseen = values(good.select("text"))
     scores = stash(text_scores(docs, text_col, table, hot, unseen), "scores")
     drop_stash(table)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), *text_key(text))

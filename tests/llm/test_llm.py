@@ -19,6 +19,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, id long, component string, size int"
 
 
+@pytest.fixture(autouse=True)
+def few_parts(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "PARTS", 2)
+    monkeypatch.setattr(kneser_ney, "PASSES", 2)
+
+
 @pytest.fixture(scope="module")
 def texts():
     base = "the quick brown fox jumps over the lazy dog and runs far away from here to there".split()
