@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netquill.llm import kneser_ney, lpt, mixing, simhash, winnow
-from netquill.llm.common import stash, table
+from netquill.llm.common import drop_stash, forget, made, stash, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; what a stage wrote besides its result goes when the stage ends."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stash(stage(spark, docs, sf_dir), f"stage{k}")
+        since = made()
+        done = stash(stage(spark, docs, sf_dir), f"stage{k}")
+        forget(spark, since, done)
+        if k:
+            drop_stash(docs)
+        docs = done
     return docs

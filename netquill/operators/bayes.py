@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquill.operators import clean
+from netquill.sources import tables
 
 BINS, CATEGORICAL = 20, 20
 
@@ -112,6 +113,11 @@ def laplace(u: Column, scale: float) -> Column:
     return -F.lit(scale) * F.signum(v) * F.log(F.greatest(1 - 2 * F.abs(v), F.lit(1e-300)))
 
 
+def noise_draw(seed: int, *cols: str) -> Column:
+    """A number in (0, 1) from the cell's key, the same at any partitioning."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+
+
 def marginals(codes: DataFrame, d: Description, epsilon: float = 0.0, seed: int = 0) -> DataFrame:
     """(attribute, code, probability); with epsilon, Laplace noise of scale (2 / n) / (epsilon / m) on each share, cut at 0, renormalised."""
     names = codes.columns
@@ -120,7 +126,7 @@ def marginals(codes: DataFrame, d: Description, epsilon: float = 0.0, seed: int
     grid = codes.sparkSession.createDataFrame([(c, i) for c in names for i in range(len(d.get(c).bins) + (d.get(c).missing_rate > 0))], "attribute string, code int")
     share = F.coalesce("n", F.lit(0)) / F.lit(max(1, d.rows))
     if epsilon > 0:
-        share = F.greatest(share + laplace(F.rand(seed), 2 / max(1, d.rows) / (epsilon / len(names))), F.lit(0.0))
+        share = F.greatest(share + laplace(noise_draw(seed, "attribute", "code"), 2 / max(1, d.rows) / (epsilon / len(names))), F.lit(0.0))
     full = grid.join(counts, ["attribute", "code"], "left").select("attribute", "code", share.alias("p"))
     total = full.groupBy("attribute").agg(F.sum("p").alias("t"))
     return full.join(total, "attribute").select("attribute", "code", F.when(F.col("t") > 0, F.col("p") / F.col("t")).otherwise(F.lit(0.0)).alias("probability"))
@@ -179,7 +185,7 @@ def conditionals(codes: DataFrame, edges: list[tuple[str, list[str]]], sizes: di
             every = codes.sparkSession.createDataFrame([(x,) for x in range(sizes[c])], "code int")
             grid = n.select("parents").distinct().crossJoin(F.broadcast(every))
             scale = 2 / (epsilon / len(edges))
-            n = grid.join(n, ["parents", "code"], "left").select("parents", "code", F.greatest(F.coalesce("n", F.lit(0.0)) + laplace(F.rand(seed + i), scale), F.lit(0.0)).alias("n"))
+            n = grid.join(n, ["parents", "code"], "left").select("parents", "code", F.greatest(F.coalesce("n", F.lit(0.0)) + laplace(noise_draw(seed + i + 1, "parents", "code"), scale), F.lit(0.0)).alias("n"))
         total = n.groupBy("parents").agg(F.sum("n").alias("t"))
         one = n.join(total, "parents").select(F.lit(c).alias("child"), "parents", "code", F.when(F.col("t") > 0, F.col("n") / F.col("t")).otherwise(1.0 / sizes[c]).alias("probability"))
         out = one if out is None else out.union(one)
@@ -268,13 +274,13 @@ def learn(df: DataFrame, parents: int = 1, epsilon: float = 0.0, seed: int = 0,
     """Correlated mode: (description, conditional tables, marginals). epsilon is split into thirds: network, conditionals, marginals."""
     d = describe(df, **how)
     names = [a.name for a in d.attributes if not a.candidate_key and a.bins]
-    codes = encode(df, d, names).cache()
+    codes = tables.written(encode(df, d, names))
     part = epsilon / 3
     edges = learn_network(codes, d.rows, parents, part, seed)
     sizes = {c: len(d.get(c).bins) + (d.get(c).missing_rate > 0) for c in names}
-    tables = conditionals(codes, edges, sizes, part, seed)
+    given = conditionals(codes, edges, sizes, part, seed)
     spent = {k: part for k in ("network", "conditionals", "marginals")}
-    return Description(d.rows, d.attributes, edges, epsilon, spent), tables, marginals(codes, d, part, seed)
+    return Description(d.rows, d.attributes, edges, epsilon, spent), given, marginals(codes, d, part, seed)
 
 
 def synthesise(df: DataFrame, rows: int | None = None, parents: int = 1, epsilon: float = 2.0, seed: int = 0, ips: list[str] = (), **how) -> DataFrame:
@@ -282,8 +288,8 @@ def synthesise(df: DataFrame, rows: int | None = None, parents: int = 1, epsilon
     from netquill.operators.transforms import ip_to_number, number_to_ip
 
     df = df.withColumns({c: ip_to_number(F.col(c)) for c in ips}) if ips else df
-    d, tables, marginal = learn(df, parents, epsilon, seed, **how)
-    out = decode(sample_codes(df.sparkSession, rows or d.rows, d.edges, tables, marginal, seed), d, seed)
+    d, given, marginal = learn(df, parents, epsilon, seed, **how)
+    out = decode(sample_codes(df.sparkSession, rows or d.rows, d.edges, given, marginal, seed), d, seed)
     keys = candidate_keys(df.sparkSession, rows or d.rows, d, seed)
     out = out.join(keys, "id") if len(keys.columns) > 1 else out
     out = out.withColumns({c: number_to_ip(F.col(c).cast("long")) for c in ips}) if ips else out

@@ -7,8 +7,9 @@ repeatable, as each row's latent numbers come from its id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,33 @@ from netquill.operators.clean import to_type
 from netquill.plans.transform_plan import Prepared, prepare, restore
 
 
+def privacy_spent(noise: float, share: float, steps: int, delta: float) -> float:
+    """epsilon of steps rounds of Gaussian noise (times the clip) on a random share of the rows, by Renyi accounting over whole orders."""
+    if noise <= 0:
+        return math.inf
+    best = math.inf
+    for order in range(2, 129):
+        if share >= 1:
+            one = order / (2 * noise**2)
+        else:  # sum over how many of order rows are drawn
+            terms = [math.lgamma(order + 1) - math.lgamma(k + 1) - math.lgamma(order - k + 1) + k * math.log(share) + (order - k) * math.log1p(-share) + k * (k - 1) / (2 * noise**2) for k in range(order + 1)]
+            top = max(terms)
+            one = (top + math.log(sum(math.exp(t - top) for t in terms))) / (order - 1)
+        best = min(best, steps * one + math.log1p(-1 / order) - math.log(delta * order) / (order - 1))
+    return max(best, 0.0)
+
+
+def noise_for(epsilon: float, delta: float, share: float, steps: int) -> float:
+    """The least noise, to 0.1 %, that keeps within (epsilon, delta)."""
+    low, high = 1e-2, 1.0
+    while privacy_spent(high, share, steps, delta) > epsilon:
+        high *= 2
+    while high / low > 1.001:
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if privacy_spent(mid, share, steps, delta) > epsilon else (low, mid)
+    return high
+
+
 @dataclass(frozen=True)
 class Settings:
     hidden: int = 64
@@ -30,6 +58,8 @@ class Settings:
     patience: int = 5
     clip: float | None = None
     noise: float = 0.0
+    epsilon: float | None = None
+    delta: float = 1e-5
     covariance: float = 0.0
     seed: int = 0
 
@@ -39,7 +69,8 @@ class Autoencoder:
 
     covariance: weight of the squared gap between a batch's covariance and that
     of what is decoded from it. clip and noise: each row's gradient is cut to that norm and Gaussian noise of
-    noise * clip is added to the sum (DP-SGD); accounting is the caller's.
+    noise * clip is added to the sum (DP-SGD). With epsilon, train() finds the noise
+    that all epochs together may need to stay within (epsilon, delta).
     """
 
     def __init__(self, width: int, blocks: list[tuple[int, int]], settings: Settings = Settings()):
@@ -171,6 +202,10 @@ def train(prepared: Prepared, settings: Settings = Settings()) -> Autoencoder:
         blocks.append((at, at + size))
         at += size
     data = to_type(prepared.data).select(*[F.col(f"`{c}`") for c in names])
+    if settings.epsilon is not None:
+        n = max(1, data.count())
+        steps = settings.epochs * -(-n // settings.batch)
+        settings = replace(settings, clip=settings.clip or 1.0, noise=noise_for(settings.epsilon, settings.delta, min(1.0, settings.batch / n), steps))
     return Autoencoder(len(names), blocks, settings).fit(lambda epoch: stream(data, settings.seed + epoch))
 
 

@@ -58,11 +58,15 @@ def noise_scale(rho: float, rows: int) -> float:
     return math.sqrt(math.log(2 / math.exp(-rows)) / rho)
 
 
-def with_noise(sketch: DataFrame, rho: float, rows: int = 10, width: int = 2000, keys: tuple[str, ...] = ("column",), seed: int = 0) -> DataFrame:
-    """Every cell, empty ones too, with Gaussian noise; once, on the merged sketch."""
+def with_noise(sketch: DataFrame, rho: float, rows: int = 10, width: int = 2000, keys: tuple[str, ...] = ("column",), seed: str = "noise") -> DataFrame:
+    """Every cell, empty ones too, with Gaussian noise; once, on the merged sketch. A cell's noise comes from the seed and its key, whatever the partitioning; keep the seed secret."""
     spark = sketch.sparkSession
-    grid = sketch.select(*keys).distinct().crossJoin(spark.range(rows * width).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).alias("bucket")))
-    return grid.join(sketch, [*keys, "row", "bucket"], "left").select(*keys, "row", "bucket", (F.coalesce("cell", F.lit(0)) + F.randn(seed) * noise_scale(rho, rows)).alias("cell"))
+    cells = spark.range(rows * width).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).alias("bucket"))
+    grid = sketch.select(*keys).distinct().crossJoin(F.broadcast(cells))  # a table of fixed size
+    name = F.concat_ws("|", *keys, "row", "bucket")
+    u = [(hashed(name, F.lit(seed), at) + 0.5) / F.lit(4294967296.0) for at in (1, 9)]
+    normal = F.sqrt(-2 * F.log(u[0])) * F.cos(F.lit(2 * math.pi) * u[1])
+    return grid.join(sketch, [*keys, "row", "bucket"], "left").select(*keys, "row", "bucket", (F.coalesce("cell", F.lit(0)) + normal * noise_scale(rho, rows)).alias("cell"))
 
 
 def top_k(est: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -204,9 +205,13 @@ def sketch_entropy_error(s, d):
     return _round(sketches.compare_entropies(sketches.estimates(sketches.count_sketch(v, 5, 64), v, 5, 64), v), 6, "exact", "estimate", "error")
 
 
-@query()
+_NOISE = "(({} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+_NAME = "(\"column\" || '|' || row::VARCHAR || '|' || bucket::VARCHAR)"
+
+
+@query(f"{_CS}, g AS (SELECT \"column\", r::INT AS row, b AS bucket FROM (SELECT DISTINCT \"column\" FROM s), range(0, 5) t(r), range(0, 64) u(b)) SELECT \"column\", row, bucket, round(coalesce(cell, 0) + sqrt(-2 * ln({_NOISE.format(_hash_sql(_NAME, chr(39) + 'noise' + chr(39)))})) * cos({2 * math.pi!r}::DOUBLE * {_NOISE.format(_hash_sql(_NAME, chr(39) + 'noise' + chr(39), 9))}) * {sketches.noise_scale(2.0, 5)!r}::DOUBLE, 6) AS cell FROM g LEFT JOIN s USING (\"column\", row, bucket)")
 def sketch_with_noise(s, d):
-    return sketches.with_noise(sketches.count_sketch(_counts(s, d), 5, 64), 2.0, 5, 64)
+    return _round(sketches.with_noise(sketches.count_sketch(_counts(s, d), 5, 64), 2.0, 5, 64), 6, "cell")
 
 
 _U, _G = 2048, 0.05

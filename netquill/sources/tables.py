@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -73,6 +74,16 @@ def work_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that what is used again is not worked out again."""
+    path = f"{work_dir(df.sparkSession)}/netquill-io-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def total_bytes(spark: SparkSession, paths: str | list[str]) -> int:
     """By Spark's file index, so any store it reads will do."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("length")
