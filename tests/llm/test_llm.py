@@ -482,6 +482,65 @@ def test_mcd_against_numpy(spark):
         assert got[f"s_{i}{i}"] == pytest.approx(cov[i, i], rel=0.12)
 
 
+def brute_outliers(rows):
+    """(d2, kept) of each (lang, source, text): the concentration steps, reweighting and blending in numpy, a group at a time."""
+    P, floors = outliers.P, np.diag(np.array(outliers.FLOORS) ** 2)
+    stats = [base_statistics(t) for *_, t in rows]
+    use = [i for i, b in enumerate(stats) if b[0]]
+    x = {i: np.array([np.log(n), np.log(c / n), np.log1p(100 * y / c), np.log1p(d), r / n]) for i, (n, c, y, d, r) in enumerate(stats) if n}
+
+    def moments(own, above, factor):
+        m, s_, n = own.mean(0), np.cov(own.T, bias=True).reshape(P, P) * factor, len(own)
+        if above is None:
+            return m, s_
+        k = outliers.PRIOR_ROWS
+        return (n * m + k * above[0]) / (n + k), (n * s_ + k * above[1]) / (n + k)
+
+    def distances(own, est):
+        c = np.linalg.cholesky(est[1] + floors)
+        return (np.linalg.solve(c, (own - est[0]).T) ** 2).sum(0)
+
+    def mcd(own, starts, above):
+        found = []
+        for est in starts:
+            for _ in range(outliers.STEPS):
+                bins = np.floor(np.log1p(distances(own, est)) * 100).astype(int)
+                limit = np.sort(bins)[int(np.ceil(len(own) * outliers.SUBSET)) - 1]
+                est = moments(own[bins <= limit], above, outliers.consistency(outliers.SUBSET))
+            found.append((np.linalg.slogdet(est[1] + floors)[1], len(found), est))
+        best = min(found, key=lambda f: f[:2])[2]
+        inside = distances(own, best) <= outliers.chi2_quantile(0.975, P)
+        return moments(own[inside], above, outliers.consistency(0.975)) if inside.any() else best
+
+    def median(v):
+        v = np.sort(v)
+        return v[(len(v) + 1) // 2 - 1] / 500
+
+    rounded = lambda v: np.array([int(np.floor(abs(y) * 500 + 0.5) * np.sign(y)) for y in v])
+    out = {}
+    for lang in {rows[i][0] for i in use}:
+        mine = [i for i in use if rows[i][0] == lang]
+        own = np.array([x[i] for i in mine])
+        med = np.array([median(rounded(own[:, j])) for j in range(P)])
+        mad = np.array([median(rounded(np.abs(own[:, j] - med[j]))) for j in range(P)])
+        above = mcd(own, [(med, np.diag((mad * 1.4826) ** 2)), moments(own, None, 1.0)], None)
+        for source in {rows[i][1] for i in mine}:
+            part = [i for i in mine if rows[i][1] == source]
+            own = np.array([x[i] for i in part])
+            est = mcd(own, [above, moments(own, above, 1.0)], above)
+            out |= dict(zip(part, distances(own, est)))
+    limit = outliers.chi2_quantile(outliers.CUTOFF, P)
+    return [(out.get(i), not (b[0] < 10 or 100 * b[4] > 20 * b[0]) and out.get(i, 0) <= limit) for i, b in enumerate(stats)]
+
+
+def test_quality_rules_against_numpy(spark):
+    rows = [(r.doc_id, r.lang, r.source if r.doc_id % 9 else None, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(10**6, "en", "src0", ""), (10**6 + 1, None, None, "alone in its language " * 5)]
+    got = {r.id: (r.d2, r.kept) for r in outliers.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    for (i, *_), (d2, kept) in zip(rows, brute_outliers([r[1:] for r in rows])):
+        assert got[i][0] == (None if d2 is None else pytest.approx(d2, rel=1e-6, abs=1e-9)), i
+        assert got[i][1] == kept
+
+
 def test_quality_rules_keep_good_documents(spark):
     d = "/root/testdata/sf0.01"
     got = outliers.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet").withColumnRenamed("doc_id", "id"), "id")
