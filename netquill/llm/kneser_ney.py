@@ -12,7 +12,8 @@ and p(w) the continuation probability, log(a + g p) = log p(w) + log g(v) +
 log(1 + a / (g p)). The first two belong to words, the last to the pair and is 0
 for one never seen. So a text's log-likelihood is a sum of values of its words and
 pairs: its grams are joined with the table and summed, once for each different
-text. Pairs are counted in PARTS parts and texts scored in PASSES. Words
+text. Pairs are counted in PARTS parts and texts scored in PASSES; the
+table stands in buckets by model and key, so a pass moves only its grams. Words
 and pairs of more than 1 / HOT of all counts, of which there can be HOT at most,
 are looked up where the text is; the others are the sharded join.
 
@@ -25,6 +26,7 @@ a quantile of its trusted documents' scores, from mergeable counts in narrow bin
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquill.llm.common import drop_stash, matched, release, row_of, stash, text_key
+from netquill.llm.common import drop_stash, matched, release, row_of, stash, stash_buckets, text_key
 
 #: Share of trusted documents of a language that stay.
 QUANTILE = 0.995
@@ -45,7 +47,9 @@ BLOCK = 1 << 21
 #: A word or pair of more than 1 / HOT of all counts is hot.
 HOT = 1 << 17
 #: Parts of the pairs and of the texts that are worked on one after the other, so that only one lies in shuffle files.
-PARTS, PASSES = 4, 8
+PARTS, PASSES = 2, 6
+#: Cuts of a part of the pairs, and of the finished table, for the same reason.
+CUTS = 3
 #: Different words whose hash a task remembers.
 CACHE = 1 << 20
 #: The mark before the first and after the last word.
@@ -193,9 +197,12 @@ def values(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
     gain = [F.when(F.col(f"n{m}") > 0, F.log1p((F.col(f"n{m}") - _off(F.col(f"n{m}"), off[m])) / (F.col(f"c{m}") * F.col(f"g{m}") * F.col(f"p{m}")))).otherwise(F.lit(0.0)).cast("float").alias(f"val{m}") for m in models]
     tables = [stash(of_words, "word_values")]
     for k, part in enumerate(held):
-        full = with_words(with_words(folded(part).select("v", "w", "n0", "n1"), left, "v"), right, "w")
-        tables.append(stash(full.select(_pair_key("v", "w").alias("key"), *gain, (F.col("n0") + F.col("n1") > F.lit(total / HOT)).alias("hot")), f"pair_values{k}"))
-        del full
+        for c in range(CUTS):
+            cut = part.where(F.pmod(F.xxhash64("v", "w"), F.lit(CUTS)) == c)
+            full = with_words(with_words(folded(cut).select("v", "w", "n0", "n1"), left, "v"), right, "w")
+            tables.append(stash(full.select(_pair_key("v", "w").alias("key"), *gain, (F.col("n0") + F.col("n1") > F.lit(total / HOT)).alias("hot")), f"pair_values{k}_{c}"))
+            del cut, full
+            release(spark)
         drop_stash(part)
     del words, left, right, of_words
     drop_stash(counted)
@@ -203,8 +210,18 @@ def values(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
     return table.drop("hot"), table.where("hot").drop("hot"), unseen
 
 
+def by_model(table: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """(m, key, val), the values other than 0 of each model, in buckets by key; and what removes it."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"val{m}").alias("val")) for m in (0, 1)])).alias("x")
+    cuts = (table.where(F.pmod(F.xxhash64("key"), F.lit(CUTS)) == c).select("key", each).select("key", "x.val", "x.m").where("val <> 0") for c in range(CUTS))
+    return stash_buckets(table.sparkSession, cuts, "key", "m", table.count())
+
+
 def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame, unseen: list[float], passes: int | None = None) -> DataFrame:
-    """(t, nll, n) of each different text with a word: t is xxhash64 of the text, n its words and the end."""
+    """(t, nll, n) of each different text with a word: t is xxhash64 of the text, n its words and the end.
+
+    table: that of by_model(). A pass takes texts of one fold, so one model's values.
+    """
     spark = docs.sparkSession
     known = hot.toArrow()  # at most 2 * HOT rows
     key = known.column("key").to_numpy().view(np.uint64)
@@ -241,19 +258,20 @@ def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame
                 yield _batch(t_, key_, n_, ll_, w_)
 
     texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    passes = passes or PASSES
+    each = max(1, (passes or PASSES) // 2)
 
-    def scored(k: int) -> DataFrame:
-        part = texts.where(F.pmod(F.shiftright("t", 1), F.lit(passes)) == k)
+    def scored(m: int, j: int) -> DataFrame:
+        part = texts.where((F.expr("t & 1") == 1 - m) & (F.pmod(F.shiftright("t", 1), F.lit(each)) == j))
         grams = part.mapInArrow(run, "t bigint, key bigint, n int, ll double, words bigint")
-        value = F.when(F.expr("t & 1") == 0, F.col("val1")).otherwise(F.col("val0"))
-        sums = grams.join(table, "key", "left").groupBy("t").agg(F.sum(F.col("ll") + F.col("n") * F.coalesce(value, F.lit(0.0))).alias("ll"), F.sum("words").alias("words"), F.count_if(F.col("words") > 0).alias("tasks"))
-        return stash(sums.select("t", (-F.col("ll") / F.col("tasks")).alias("nll"), (F.col("words") / F.col("tasks")).cast("long").alias("n")), f"scores{k}")
+        own = table.where(F.col("m") == m).select("key", "val")
+        sums = grams.join(own, "key", "left").groupBy("t").agg(F.sum(F.col("ll") + F.col("n") * F.coalesce("val", F.lit(0.0))).alias("ll"), F.sum("words").alias("words"), F.count_if(F.col("words") > 0).alias("tasks"))
+        return stash(sums.select("t", (-F.col("ll") / F.col("tasks")).alias("nll"), (F.col("words") / F.col("tasks")).cast("long").alias("n")), f"scores{m}_{j}")
 
     out = []
-    for k in range(passes):
-        out.append(scored(k))
-        release(spark)  # a part's shuffle goes before the next begins
+    for m in (0, 1):
+        for j in range(each):
+            out.append(scored(m, j))
+            release(spark)  # a part's shuffle goes before the next begins
     shared.unpersist()
     return reduce(DataFrame.union, out)
 
@@ -299,8 +317,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted = stash(trusted_ids(labels), "trusted")
     good = matched(docs.select(F.col(id_col).alias("id"), text.alias("text")), trusted, ["id"], "left_semi")
     table, hot, unseen = values(good.select("text"))
-    scores = stash(text_scores(docs, text_col, table, hot, unseen), "scores")
+    hot = stash(hot, "hot")
+    split, drop = by_model(table)
     drop_stash(table)
+    scores = stash(text_scores(docs, text_col, split, hot, unseen), "scores")
+    drop()
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), *text_key(text))
     scored = rows.join(scores, F.col("k1") == F.col("t"), "left").select("id", "lang", "k1", "k2", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("nll", F.lit(0.0)).alias("nll"))
     scored = stash(scored, "scored")
