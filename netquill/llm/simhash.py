@@ -347,9 +347,12 @@ def _walk(rows: pa.Table, width: int, budget: int, check_bits: int | None):
         chk = flat.view(np.uint64).reshape(len(v), -1)[by]
         same = lambda i, j: np.bitwise_count(chk[i] ^ chk[j]).sum(1, dtype=np.int64) <= check_bits
     lab = trie_links(v, start, stop, depth[start].astype(np.int64), width, budget, same)
-    far = np.flatnonzero(node != node[lab])
+    least = node.copy()
+    np.minimum.at(least, lab, node)
+    least = least[lab]  # the same end in every bucket that holds it, so that edges of many tables coincide
+    far = np.flatnonzero(node != least)
     if len(far):
-        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[lab[far]])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(least[far])], names=["u", "v"])
 
 
 def exact_edges(docs: DataFrame, text_col: str, shingle: int, loose: DataFrame, similarity: float) -> DataFrame:
