@@ -53,8 +53,10 @@ def _candidates(words: Column, window: int, short: list[int], wanted: list[int]
         places = F.filter(F.transform(hashes, lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull())
         return F.transform(places, cell)
 
-    parts = [let(_least(words, window), lambda h: runs(h, window)), *[let(_grams(words, n), lambda h, n=n: runs(h, n)) for n in short]]
-    return F.concat(*parts)
+    def found(hashes: Column, n: int) -> Column:
+        return let(hashes, lambda h: runs(h, n))  # a second parameter would be taken for the place in the array
+
+    return F.concat(found(_least(words, window), window), *[found(_grams(words, n), n) for n in short])
 
 
 def _fingerprints(words: Column, window: int, short: list[int]) -> Column:
