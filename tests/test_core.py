@@ -310,3 +310,10 @@ def test_dirty_csv(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, "caf\xe9"), (None, "x")]
     with pytest.raises(ValueError):
         tables.read(spark, "x", "xml")
+
+
+def test_ports_beyond_the_last_word_take_it_both_ways(spark):
+    vocab = queries_models._port_vectors(spark)
+    df = spark.createDataFrame([(i, i) for i in (1997, 1998, 1999, 2000, 3000, 3001, 3002, 199_990)] + [(9, None)], "k long, port long")
+    got = {r.k: r.port for r in nearest.decode(nearest.encode(df, {"port": "PORT"}, vocab, 2), {"port": "PORT"}, vocab, 2, "k").collect()}
+    assert got == {k: "1998" for k in (1997, 1998, 1999, 2000, 3000, 3001, 3002, 199_990)} | {9: None}
