@@ -317,3 +317,9 @@ def test_ports_beyond_the_last_word_take_it_both_ways(spark):
     df = spark.createDataFrame([(i, i) for i in (1997, 1998, 1999, 2000, 3000, 3001, 3002, 199_990)] + [(9, None)], "k long, port long")
     got = {r.k: r.port for r in nearest.decode(nearest.encode(df, {"port": "PORT"}, vocab, 2), {"port": "PORT"}, vocab, 2, "k").collect()}
     assert got == {k: "1998" for k in (1997, 1998, 1999, 2000, 3000, 3001, 3002, 199_990)} | {9: None}
+
+
+def test_numbers_have_addresses_up_to_32_bits(spark):
+    df = spark.createDataFrame([(0,), (167772161,), (2**32 - 1,), (2**32 + 5,)], "n long").select("n", T.number_to_ip(F.col("n")).alias("ip"))
+    got = df.select("n", "ip", T.ip_to_number(F.col("ip")).alias("back")).collect()
+    assert [(r.ip, r.back) for r in got] == [("0.0.0.0", 0), ("10.0.0.1", 167772161), ("255.255.255.255", 2**32 - 1), ("0.0.0.5", 5)]
