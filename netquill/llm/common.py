@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +21,18 @@ _MADE: list[str] = []
 RUN_BLOCK = 256
 #: Rows of two or three longs that may go to every executor at once, some 40 MB.
 SMALL_ROWS = 1_000_000
-#: Rows of a bucket of stash_buckets().
-BUCKET_ROWS = 250_000
 
 
-def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back.
+def stash(df: DataFrame, name: str, compression: str = "snappy", split: str | None = None) -> DataFrame:
+    """Cuts lineage: writes df as Parquet into the shared folder, in a folder for each value of split, and reads it back.
 
     The files outlive any executor. They go when drop_stash() or forget() is told
     so, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = _new_folder(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(split) if split else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,30 +44,6 @@ def _new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash_buckets(spark: SparkSession, parts: Iterable[DataFrame], key: str, split: str, rows: int) -> tuple[DataFrame, Callable[[], None]]:
-    """Writes the parts, one after the other, as one table in buckets by key under a folder for each value of split.
-
-    A join by key with rows of one value of split moves only the other side. There
-    are as many buckets as shuffle partitions, or more for many rows. The second
-    result removes the table.
-    """
-    conf = spark.conf
-    least = max(int(conf.get("spark.sql.shuffle.partitions")), int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 1))
-    n = min(max(least, -(-rows // BUCKET_ROWS)), int(conf.get("spark.sql.sources.bucketing.maxBuckets")))
-    path, name = _new_folder(spark, "buckets"), f"nq_{uuid.uuid4().hex}"
-    for part in parts:
-        part.repartition(n, key).write.format("parquet").mode("append").partitionBy(split).bucketBy(n, key).option("path", path).saveAsTable(name)
-        release(spark)
-
-    def drop() -> None:
-        spark.sql(f"drop table if exists {name}")
-        where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        release(spark)
-
-    return spark.table(name), drop
-
-
 def forget(spark: SparkSession, since: int, keep: DataFrame) -> None:
     """Removes the folders that stash() has made since it had made so many, but for that of keep."""
     kept = {f.rsplit("/", 2)[0] for f in keep.inputFiles()}

@@ -26,16 +26,16 @@ a quantile of its trusted documents' scores, from mergeable counts in narrow bin
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquill.llm.common import drop_stash, matched, release, row_of, stash, stash_buckets, text_key
+from netquill.llm.common import drop_stash, matched, release, row_of, stash, text_key
 
 #: Share of trusted documents of a language that stay.
 QUANTILE = 0.995
@@ -50,6 +50,8 @@ HOT = 1 << 17
 PARTS, PASSES = 2, 6
 #: Cuts of a part of the pairs, and of the finished table, for the same reason.
 CUTS = 3
+#: Rows of a shard of the finished table, and texts whose sums a task holds.
+SHARD_ROWS, HELD = 250_000, 1 << 21
 #: Different words whose hash a task remembers.
 CACHE = 1 << 20
 #: The mark before the first and after the last word.
@@ -210,17 +212,87 @@ def values(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
     return table.drop("hot"), table.where("hot").drop("hot"), unseen
 
 
-def by_model(table: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """(m, key, val), the values other than 0 of each model, in buckets by key; and what removes it."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"val{m}").alias("val")) for m in (0, 1)])).alias("x")
-    cuts = (table.where(F.pmod(F.xxhash64("key"), F.lit(CUTS)) == c).select("key", each).select("key", "x.val", "x.m").where("val <> 0") for c in range(CUTS))
-    return stash_buckets(table.sparkSession, cuts, "key", "m", table.count())
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """x in the fewest bytes that hold it; _wide() reads it again."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
 
 
-def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame, unseen: list[float], passes: int | None = None) -> DataFrame:
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}" if n else "u1")
+
+
+def _cut(x: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """x as binary values, each of so many items."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * x.itemsize, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _rows(kind: int, shard: np.ndarray, block: int, n: int, a: pa.Array, b: pa.Array, c: pa.Array | None = None) -> pa.RecordBatch:
+    size = len(shard)
+    columns = [pa.array(np.full(size, kind, np.int32)), pa.array(shard.astype(np.int32)), pa.array(np.full(size, block, np.int64)), pa.array(np.full(size, n, np.int32)), a, b, c if c is not None else pa.nulls(size, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "shard", "block", "n", "a", "b", "c"])
+
+
+_PACKED = "kind int, shard int, block bigint, n int, a binary, b binary, c binary"
+#: What a row of _PACKED holds: keys and values of the model; keys, how often each stands, and in which texts of a block;
+#: a block's texts, their sums so far and their sizes; texts of a block by number, and what to add to their sums.
+MODEL, GRAMS, TEXTS, SUMS = range(4)
+
+
+def _shard(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+
+
+def by_model(table: DataFrame) -> tuple[DataFrame, int]:
+    """The values other than 0 of each model m, packed in shards by the first bits of the key; and how many bits."""
+    bits = max(6, math.ceil(math.log2(max(1, table.count() / SHARD_ROWS))))
+
+    def run(batches):
+        held, size = [], 0
+
+        def packed():
+            key = np.concatenate([k for k, _ in held])
+            for m in (0, 1):
+                val = np.concatenate([v[m] for _, v in held])
+                own = np.flatnonzero(val)
+                shard = _shard(key[own], bits)
+                own = own[np.argsort(shard, kind="stable")]
+                sizes = np.bincount(shard, minlength=1 << bits)
+                some = np.flatnonzero(sizes)
+                rows = _rows(MODEL, some, 0, m, _cut(key[own], sizes[some]), _cut(val[own], sizes[some]))
+                yield pa.RecordBatch.from_arrays([rows.column(3), *rows.columns], names=["m", *rows.schema.names])
+            held.clear()
+
+        for b in batches:
+            held.append((b.column(0).to_numpy().view(np.uint64), [b.column(1 + m).to_numpy(zero_copy_only=False) for m in (0, 1)]))
+            size += b.num_rows
+            if size >= BLOCK >> 1:
+                yield from packed()
+                size = 0
+        if held:
+            yield from packed()
+
+    return stash(table.select("key", "val0", "val1").mapInArrow(run, f"m int, {_PACKED}"), "model", split="m"), bits
+
+
+def _found(keys: np.ndarray, vals: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of asked are among the sorted keys, and their values, else 0. asked in order, which is fast."""
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    hit = keys[at] == asked
+    return hit, np.where(hit, vals[at], 0.0)
+
+
+def text_scores(docs: DataFrame, text_col: str, table: DataFrame, bits: int, hot: DataFrame, unseen: list[float], passes: int | None = None) -> DataFrame:
     """(t, nll, n) of each different text with a word: t is xxhash64 of the text, n its words and the end.
 
-    table: that of by_model(). A pass takes texts of one fold, so one model's values.
+    table, bits: those of by_model(). A pass takes texts of one fold, so one model's
+    values. Texts are taken in blocks; each gram of a block that is not hot goes to
+    its shard once, with the texts it stands in, meets the model there, and what its
+    texts gain comes back to the block. Rows are packed: one for each block and shard.
     """
     spark = docs.sparkSession
     known = hot.toArrow()  # at most 2 * HOT rows
@@ -228,44 +300,109 @@ def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame
     by = np.argsort(key)
     shared = spark.sparkContext.broadcast((key[by], np.stack([known.column(f"val{m}").to_numpy()[by].astype(np.float64) for m in (0, 1)])))
 
-    def run(batches):
-        hashes, seen = _Hashes(), set()
+    def sent(batches, m):
+        hashes, seen, held, size, block = _Hashes(), set(), [], 0, TaskContext.get().partitionId() << 32
         keys, vals = shared.value  # of hot words and pairs
+
+        def packed():
+            sizes = np.array([len(s) for _, s in held])
+            s = np.concatenate([s for _, s in held])
+            inner = np.ones(len(s), bool)
+            inner[np.cumsum(sizes) - 1] = False
+            at = np.flatnonzero(inner)
+            v = s[at]
+            grams = np.concatenate((v, pair_key(v, s[at + 1])))
+            own = np.tile(np.repeat(np.arange(len(held), dtype=np.uint32), sizes - 1), 2)
+            order = np.argsort(grams)
+            grams, own = grams[order], own[order]
+            first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            runs, asked = np.diff(first, append=len(grams)), grams[first]
+            hit, val = _found(keys, vals[m], asked)
+            ll = np.bincount(own, np.repeat(val, runs), len(held)) + (sizes - 1) * unseen[m]
+            yield _rows(TEXTS, np.array([block % (1 << bits)]), block, len(held), *[_cut(x, np.array([len(held)])) for x in (np.array([t for t, _ in held], np.int64), ll, (sizes - 1).astype(np.int64))])
+            own, runs, asked = own[np.repeat(~hit, runs)], runs[~hit], asked[~hit]
+            if len(asked):
+                shard = _shard(asked, bits)
+                start = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+                yield _rows(GRAMS, shard[start], block, len(held), _cut(asked, np.diff(start, append=len(asked))), _cut(_narrow(runs), np.diff(start, append=len(asked))), _cut(_narrow(own), np.add.reduceat(runs, start)))
+
         for b in batches:
-            t_, key_, n_, ll_, w_ = [], [], [], [], []
             for t, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
                 if t in seen:
                     continue
                 seen.add(t)
                 s = sequence(raw.as_py(), hashes)
-                if not len(s):
-                    continue
-                model = 1 - (t & 1)
-                grams, n = np.unique(np.concatenate((s[:-1], pair_key(s[:-1], s[1:]))), return_counts=True)
-                at = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
-                found = keys[at] == grams if len(keys) else np.zeros(len(grams), bool)
-                ll = float((vals[model][at[found]] * n[found]).sum()) + (len(s) - 1) * unseen[model]
-                cold = grams[~found]
-                t_.append(np.full(len(cold) + 1, t, np.int64))
-                key_.append(np.append(cold, np.array([t], np.int64).view(np.uint64)).view(np.int64))
-                n_.append(np.append(n[~found], 0).astype(np.int32))
-                ll_.append(np.append(np.zeros(len(cold)), ll))
-                w_.append(np.append(np.zeros(len(cold), np.int64), len(s) - 1))
-                if sum(map(len, t_)) >= 1 << 16:
-                    yield _batch(t_, key_, n_, ll_, w_)
-                    t_, key_, n_, ll_, w_ = [], [], [], [], []
-            if t_:
-                yield _batch(t_, key_, n_, ll_, w_)
+                if len(s):
+                    held.append((t, s))
+                    size += len(s)
+                if size >= BLOCK >> 1:
+                    yield from packed()
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield from packed()
+
+    def met(batches):
+        at, parts, keys, vals, sums, size = None, [], None, None, {}, 0
+
+        def gained():
+            for block, x in sums.items():
+                some = np.flatnonzero(x)
+                if len(some):
+                    yield _rows(SUMS, np.zeros(1), block, len(some), _cut(_narrow(some), np.array([len(some)])), _cut(x[some], np.array([len(some)])))
+
+        for b in batches:
+            through = np.flatnonzero(b.column(0).to_numpy() == TEXTS)
+            if len(through):
+                yield b.take(pa.array(through))
+            for kind, shard, block, n, a, v, c in zip(*[b.column(i).to_pylist() for i in range(4)], *[b.column(i) for i in range(4, 7)]):
+                if shard != at:
+                    at, parts, keys = shard, [], None
+                if kind == MODEL:
+                    parts.append((np.frombuffer(a.as_py(), np.uint64), np.frombuffer(v.as_py(), np.float32)))
+                elif kind == GRAMS:
+                    if keys is None:
+                        keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
+                        order = np.argsort(keys)
+                        keys, vals = keys[order], (np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.float32))[order]
+                        parts = []
+                    asked = np.frombuffer(a.as_py(), np.uint64)
+                    runs = _wide(v.as_py(), len(asked))
+                    own = _wide(c.as_py(), int(runs.sum()))
+                    gain = np.bincount(own, np.repeat(_found(keys, vals, asked)[1], runs), n)
+                    if block in sums:
+                        sums[block] += gain
+                    else:
+                        sums[block] = gain
+                        size += n
+                    if size >= HELD:
+                        yield from gained()
+                        sums, size = {}, 0
+        yield from gained()
+
+    def ended(batches):
+        t = None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(t), pa.array(-ll), pa.array(n)], names=["t", "nll", "n"])
+        for b in batches:
+            for kind, size, a, v, c in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), *[b.column(i) for i in range(4, 7)]):
+                if kind == TEXTS:
+                    if t is not None:
+                        yield out()
+                    t, ll, n = np.frombuffer(a.as_py(), np.int64), np.frombuffer(v.as_py(), np.float64).copy(), np.frombuffer(c.as_py(), np.int64)
+                else:
+                    ll[_wide(a.as_py(), size)] += np.frombuffer(v.as_py(), np.float64)
+        if t is not None:
+            yield out()
 
     texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     each = max(1, (passes or PASSES) // 2)
 
     def scored(m: int, j: int) -> DataFrame:
         part = texts.where((F.expr("t & 1") == 1 - m) & (F.pmod(F.shiftright("t", 1), F.lit(each)) == j))
-        grams = part.mapInArrow(run, "t bigint, key bigint, n int, ll double, words bigint")
-        own = table.where(F.col("m") == m).select("key", "val")
-        sums = grams.join(own, "key", "left").groupBy("t").agg(F.sum(F.col("ll") + F.col("n") * F.coalesce("val", F.lit(0.0))).alias("ll"), F.sum("words").alias("words"), F.count_if(F.col("words") > 0).alias("tasks"))
-        return stash(sums.select("t", (-F.col("ll") / F.col("tasks")).alias("nll"), (F.col("words") / F.col("tasks")).cast("long").alias("n")), f"scores{m}_{j}")
+        grams = part.mapInArrow(lambda batches: sent(batches, m), _PACKED)
+        own = table.where(F.col("m") == m).select("kind", "shard", "block", "n", "a", "b", "c")
+        sums = own.union(grams).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(met, _PACKED)
+        whole = sums.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(ended, "t bigint, nll double, n bigint")
+        return stash(whole.groupBy("t").agg(F.max("nll").alias("nll"), F.max("n").alias("n")), f"scores{m}_{j}")
 
     out = []
     for m in (0, 1):
@@ -276,10 +413,6 @@ def text_scores(docs: DataFrame, text_col: str, table: DataFrame, hot: DataFrame
     return reduce(DataFrame.union, out)
 
 
-def _batch(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["t", "key", "n", "ll", "words"])
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Documents whose labels all say good and none says toxic."""
     per = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
@@ -318,10 +451,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = matched(docs.select(F.col(id_col).alias("id"), text.alias("text")), trusted, ["id"], "left_semi")
     table, hot, unseen = values(good.select("text"))
     hot = stash(hot, "hot")
-    split, drop = by_model(table)
+    model, bits = by_model(table)
     drop_stash(table)
-    scores = stash(text_scores(docs, text_col, split, hot, unseen), "scores")
-    drop()
+    scores = stash(text_scores(docs, text_col, model, bits, hot, unseen), "scores")
+    drop_stash(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), *text_key(text))
     scored = rows.join(scores, F.col("k1") == F.col("t"), "left").select("id", "lang", "k1", "k2", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("nll", F.lit(0.0)).alias("nll"))
     scored = stash(scored, "scored")
