@@ -46,7 +46,7 @@ BINS = 2000.0
 BLOCK = 1 << 21
 #: A word or pair of more than 1 / HOT of all counts is hot.
 HOT = 1 << 17
-#: Parts of the pairs and of the texts that are worked on one after the other, so that only one lies in shuffle files.
+#: Parts of the pairs (half of them each fold's) and of the texts that are worked on one after the other, so that only one lies in shuffle files.
 PARTS, PASSES = 2, 6
 #: Cuts of a part of the pairs, and of the finished table, for the same reason.
 CUTS = 3
@@ -93,42 +93,42 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def pair_counts(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
-    """(v, w, n0, n1): how often w follows v in texts (text) of either fold, summed over blocks of each task and then in shards; one of parts by the pair's hash."""
+def pair_counts(texts: DataFrame, fold: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """(v, w, n): how often w follows v in texts (text) of a fold, summed over blocks of each task and then in shards; one of parts by the pair's hash."""
 
     def run(batches):
-        hashes, held, size = _Hashes(), ([], []), 0
+        hashes, held, size = _Hashes(), [], 0
 
         def counted():
-            for fold in (0, 1):
-                if held[fold]:
-                    v = np.concatenate([s[:-1] for s in held[fold]])
-                    w = np.concatenate([s[1:] for s in held[fold]])
-                    key = pair_key(v, w)
-                    own = np.flatnonzero(key % np.uint64(parts) == part)
-                    _, at, n = np.unique(key[own], return_index=True, return_counts=True)
-                    v, w = v[own], w[own]
-                    for i in range(0, len(at), 1 << 16):
-                        j, zero = at[i : i + (1 << 16)], np.zeros(min(1 << 16, len(at) - i), np.int64)
-                        both = (n[i : i + (1 << 16)], zero)
-                        yield pa.RecordBatch.from_arrays([_signed(v[j]), _signed(w[j]), pa.array(both[fold]), pa.array(both[1 - fold])], names=["v", "w", "n0", "n1"])
-                    held[fold].clear()
+            v = np.concatenate([s[:-1] for s in held])
+            w = np.concatenate([s[1:] for s in held])
+            key = pair_key(v, w)
+            if parts > 1:
+                own = np.flatnonzero(key % np.uint64(parts) == part)
+                v, w, key = v[own], w[own], key[own]
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else order
+            n, at = np.diff(first, append=len(key)), order[first]
+            for i in range(0, len(at), 1 << 16):
+                j = at[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([_signed(v[j]), _signed(w[j]), pa.array(n[i : i + (1 << 16)])], names=["v", "w", "n"])
+            held.clear()
 
         for b in batches:
             for t in b.column(0).cast(pa.large_binary()):
-                if t.is_valid:
-                    raw = t.as_py()
-                    s = sequence(raw, hashes)
-                    if len(s):
-                        held[xxhash.xxh64_intdigest(raw, 42) & 1].append(s)
-                        size += len(s)
+                s = sequence(t.as_py(), hashes)
+                if len(s):
+                    held.append(s)
+                    size += len(s)
                 if size >= BLOCK:
                     yield from counted()
                     size = 0
-        yield from counted()
+        if held:
+            yield from counted()
 
-    rows = texts.mapInArrow(run, "v bigint, w bigint, n0 bigint, n1 bigint")
-    return rows.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    own = texts.where(F.col("text").isNotNull() & (F.xxhash64("text").bitwiseAND(F.lit(1)) == fold))
+    return own.mapInArrow(run, "v bigint, w bigint, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n"))
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
@@ -145,23 +145,24 @@ def _off(n: Column, d: list[float]) -> Column:
 def values(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
     """(key, val0, val1) of all words and pairs of texts (text), the hot rows of it, and each model's log-probability of a word never seen.
 
-    val0 and val1 are of the models of fold 0 and fold 1; one that has no texts is
+    A pair that both folds have has a row for each, with 0 for the other. val0 and val1 are of the models of fold 0 and fold 1; one that has no texts is
     that of all. A text's log-likelihood is the sum of its grams' values and of the
     log-probability of an unseen word for each of its words and the end.
     """
-    spark, held = texts.sparkSession, []
-    for k in range(PARTS):
-        held.append(stash(pair_counts(texts, k, PARTS), f"pairs{k}"))
-        release(spark)
-    pairs = reduce(DataFrame.union, held)
-    has = pairs.agg(F.sum("n0"), F.sum("n1")).first()
+    spark, held, models = texts.sparkSession, [], (0, 1)
+    parts = max(1, PARTS // 2)
+    for m in models:
+        for k in range(parts):
+            held.append((m, stash(pair_counts(texts, m, k, parts), f"pairs{m}_{k}")))
+            release(spark)
+    has = [sum(p.agg(F.sum("n")).first()[0] or 0 for m, p in held if m == k) for k in models]
     one_model = not has[0] or not has[1]
 
-    def folded(df: DataFrame) -> DataFrame:
-        return df.withColumn("n0", F.col("n0") + F.col("n1")).withColumn("n1", F.col("n0")) if one_model else df
+    def counts(m: int) -> list[Column]:
+        """The pair's count in each model; a pair of both folds has a row for each."""
+        return [F.col("n") if one_model or m == k else F.lit(0).cast("long") for k in models]
 
-    pairs = folded(pairs)
-    models = (0, 1)
+    pairs = reduce(DataFrame.union, [part.select("v", "w", *[c.alias(f"n{k}") for k, c in zip(models, counts(m))]) for m, part in held])
     at = pairs.agg(F.sum(F.col("n0") + F.col("n1")), *[F.count_if(F.col(f"n{m}") == k) for m in models for k in (1, 2, 3, 4)]).first()
     total, off = at[0] or 0, [discounts(*map(float, at[1 + 4 * m : 5 + 4 * m])) for m in models]
     one = lambda c: F.sum(c.cast("long"))
@@ -185,8 +186,8 @@ def values(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
     words = words.select("x", (F.col("c0") + F.col("c1")).alias("c"), "c0", "c1", *cols)
     hot = F.col("c") > F.lit(total / HOT)
     of_words = words.select(F.col("x").alias("key"), *[(F.log(f"p{m}") + F.log(f"g{m}") - F.lit(unseen[m])).cast("float").alias(f"val{m}") for m in models], hot.alias("hot"))
-    left = words.select(F.col("x").alias("v"), *[c for m in models for c in (f"c{m}", f"g{m}")], hot.alias("hot"))
-    right = words.select(F.col("x").alias("w"), "p0", "p1", hot.alias("hot"))
+    left = [words.select(F.col("x").alias("v"), (F.col(f"c{m}") * F.col(f"g{m}")).alias("left"), hot.alias("hot")) for m in models]
+    right = [words.select(F.col("x").alias("w"), f"p{m}", hot.alias("hot")) for m in models]
 
     def with_words(rows: DataFrame, side: DataFrame, name: str) -> DataFrame:
         """A hot word's row goes to the pairs, at most HOT rows; the other pairs are joined by key."""
@@ -196,13 +197,14 @@ def values(texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
         cold = tried.where("known is null").drop("known").join(side.where("not hot").drop("hot"), name)
         return tried.where("known is not null").select(*rows.columns, "known.*").unionByName(cold.select(*rows.columns, *new))
 
-    gain = [F.when(F.col(f"n{m}") > 0, F.log1p((F.col(f"n{m}") - _off(F.col(f"n{m}"), off[m])) / (F.col(f"c{m}") * F.col(f"g{m}") * F.col(f"p{m}")))).otherwise(F.lit(0.0)).cast("float").alias(f"val{m}") for m in models]
     tables = [stash(of_words, "word_values")]
-    for k, part in enumerate(held):
+    for k, (m, part) in enumerate(held):
+        gain = F.log1p((F.col("n") - _off(F.col("n"), off[m])) / (F.col("left") * F.col(f"p{m}"))).cast("float")
         for c in range(CUTS):
             cut = part.where(F.pmod(F.xxhash64("v", "w"), F.lit(CUTS)) == c)
-            full = with_words(with_words(folded(cut).select("v", "w", "n0", "n1"), left, "v"), right, "w")
-            tables.append(stash(full.select(_pair_key("v", "w").alias("key"), *gain, (F.col("n0") + F.col("n1") > F.lit(total / HOT)).alias("hot")), f"pair_values{k}_{c}"))
+            full = with_words(with_words(cut, left[m], "v"), right[m], "w")
+            vals = [(gain if one_model or m == j else F.lit(0.0).cast("float")).alias(f"val{j}") for j in models]
+            tables.append(stash(full.select(_pair_key("v", "w").alias("key"), *vals, (F.col("n") > F.lit(total / HOT)).alias("hot")), f"pair_values{k}_{c}"))
             del cut, full
             release(spark)
         drop_stash(part)
@@ -298,11 +300,12 @@ def text_scores(docs: DataFrame, text_col: str, table: DataFrame, bits: int, hot
     known = hot.toArrow()  # at most 2 * HOT rows
     key = known.column("key").to_numpy().view(np.uint64)
     by = np.argsort(key)
-    shared = spark.sparkContext.broadcast((key[by], np.stack([known.column(f"val{m}").to_numpy()[by].astype(np.float64) for m in (0, 1)])))
+    own = [by[known.column(f"val{m}").to_numpy()[by] != 0] for m in (0, 1)]
+    shared = spark.sparkContext.broadcast([(key[own[m]], known.column(f"val{m}").to_numpy()[own[m]].astype(np.float64)) for m in (0, 1)])
 
     def sent(batches, m):
         hashes, seen, held, size, block = _Hashes(), set(), [], 0, TaskContext.get().partitionId() << 32
-        keys, vals = shared.value  # of hot words and pairs
+        keys, vals = shared.value[m]  # of hot words and pairs
 
         def packed():
             sizes = np.array([len(s) for _, s in held])
@@ -317,7 +320,7 @@ def text_scores(docs: DataFrame, text_col: str, table: DataFrame, bits: int, hot
             grams, own = grams[order], own[order]
             first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
             runs, asked = np.diff(first, append=len(grams)), grams[first]
-            hit, val = _found(keys, vals[m], asked)
+            hit, val = _found(keys, vals, asked)
             ll = np.bincount(own, np.repeat(val, runs), len(held)) + (sizes - 1) * unseen[m]
             yield _rows(TEXTS, np.array([block % (1 << bits)]), block, len(held), *[_cut(x, np.array([len(held)])) for x in (np.array([t for t, _ in held], np.int64), ll, (sizes - 1).astype(np.int64))])
             own, runs, asked = own[np.repeat(~hit, runs)], runs[~hit], asked[~hit]

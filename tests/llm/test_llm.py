@@ -299,6 +299,19 @@ def test_kneser_ney_against_dictionaries(spark, hot, monkeypatch):
         assert r.kept == (r.n > 0 and score <= r.worst) or abs(score - r.worst) < 1e-4
 
 
+def test_kneser_ney_model_lies_packed_in_shards(spark):
+    rng = np.random.default_rng(5)
+    made = [(int(k), float(a), float(b)) for k, a, b in zip(rng.integers(-(2**63), 2**63, 3000), rng.integers(0, 3, 3000), rng.integers(0, 3, 3000))]
+    model, bits = kneser_ney.by_model(spark.createDataFrame(made, "key long, val0 float, val1 float").repartition(3))
+    rows, got = model.collect(), ({}, {})
+    assert len(rows) <= 2 * 3 * 2**bits
+    for r in rows:
+        keys = np.frombuffer(r.a, np.uint64)
+        assert (keys >> np.uint64(64 - bits) == r.shard).all()
+        got[r.m].update(zip(keys.view(np.int64).tolist(), np.frombuffer(r.b, np.float32).tolist()))
+    assert got == ({k: a for k, a, _ in made if a}, {k: b for k, _, b in made if b})
+
+
 def test_kneser_ney_keeps_good_and_rejects_junk_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
